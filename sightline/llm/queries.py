@@ -3,11 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sightline.llm import bpe, canonical, leakage
+from sightline.llm import bpe, canonical, knn, leakage, rankfuse, sketch
 from sightline.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Cached vectors that are each among the most similar of the other."""
+    return knn.mutual_pairs(table(spark, folder, "cache_entries"))
+
+
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest vectors of every cached vector, with their cosines."""
+    near = knn.neighbours(table(spark, folder, "cache_entries"))
+    return near.select("grp", "id", "neighbour", F.round("cosine", 4).alias("cosine"), "rank")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and days whose median latency is twice the group's."""
+    return sketch.slow_days(table(spark, folder, "search_events"))
+
+
+PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def p4_daily(spark: SparkSession, folder: str) -> DataFrame:
+    """Latency percentiles of every group and day."""
+    days = sketch.daily_sketch(table(spark, folder, "search_events"))
+    return sketch.percentiles(days, [*sketch.GROUP, "day"], PERCENTILES)
+
+
+def p4_overall(spark: SparkSession, folder: str) -> DataFrame:
+    """Latency percentiles of every group over all days, from the daily sketches."""
+    days = sketch.daily_sketch(table(spark, folder, "search_events"))
+    return sketch.percentiles(sketch.merge(days, sketch.GROUP), sketch.GROUP, PERCENTILES)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits that their query's sources prefer to each other, though another has a greater final score."""
+    return rankfuse.preferred(table(spark, folder, "hit_explanations"), table(spark, folder, "score_components"))
+
+
+def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """One order of every query's hits, from all its sources."""
+    return rankfuse.ranking(table(spark, folder, "hit_explanations"), table(spark, folder, "score_components"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode_documents(table(spark, folder, "documents"))
@@ -34,6 +76,13 @@ def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
+    "p4_found": p4_found,
+    "p4_daily": p4_daily,
+    "p4_overall": p4_overall,
+    "p5_found": p5_found,
+    "p5_ranking": p5_ranking,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
@@ -41,4 +90,52 @@ QUERIES = {
     "p8_canonical": p8_canonical,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p1_found": """
+        WITH good AS (
+            SELECT DISTINCT entry_id, embedder_id, value::DOUBLE[] AS value FROM cache_entries
+            WHERE len(value) = 64 AND len(list_filter(value, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(value, lambda x: x <> 0)) > 0
+        ), near AS (
+            SELECT a.entry_id AS a, b.entry_id AS b, list_cosine_similarity(a.value, b.value) AS cosine
+            FROM good a JOIN good b ON a.embedder_id = b.embedder_id AND a.entry_id <> b.entry_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS place FROM near WHERE cosine >= 0.9
+        )
+        SELECT x.a AS entry_id_a, x.b AS entry_id_b
+        FROM ranked x JOIN ranked y ON x.a = y.b AND x.b = y.a
+        WHERE x.a < x.b AND x.place <= 10 AND y.place <= 10""",
+    "p4_found": """
+        WITH good AS (
+            SELECT DISTINCT event_id, project_key, lower(trim(query_class)) AS query_class, lower(trim(phase)) AS phase,
+                   strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, latency_us
+            FROM search_events WHERE latency_us > 0 AND project_key IS NOT NULL AND ts_ms IS NOT NULL
+        ), days AS (
+            SELECT project_key, query_class, phase, day, count(*) AS n, median(latency_us) AS middle FROM good GROUP BY ALL
+        ), wholes AS (
+            SELECT project_key, query_class, phase, median(latency_us) AS middle FROM good GROUP BY ALL
+        )
+        SELECT d.project_key, d.query_class, d.phase, d.day
+        FROM days d JOIN wholes w ON d.project_key = w.project_key
+         AND d.query_class IS NOT DISTINCT FROM w.query_class AND d.phase IS NOT DISTINCT FROM w.phase
+        WHERE d.n >= 12 AND d.middle >= 2 * w.middle""",
+    "p5_found": """
+        WITH hits AS (
+            SELECT query_id, doc_id, coalesce(max(final_score), '-inf'::DOUBLE) AS final_score
+            FROM hit_explanations WHERE query_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL
+        ), sources AS (
+            SELECT query_id, source, max(weight) AS weight FROM score_components GROUP BY ALL
+        ), scores AS (
+            SELECT query_id, doc_id, source, max(CASE WHEN NOT isnan(raw_score) AND NOT isinf(raw_score) THEN raw_score END) AS raw_score
+            FROM score_components GROUP BY ALL
+        ), grid AS (
+            SELECT h.query_id, h.doc_id, h.final_score, s.source, s.weight, coalesce(c.raw_score, '-inf'::DOUBLE) AS score
+            FROM hits h JOIN sources s USING (query_id) LEFT JOIN scores c USING (query_id, doc_id, source)
+        ), met AS (
+            SELECT a.query_id, a.doc_id AS one, b.doc_id AS other, max(a.final_score) < max(b.final_score) AS above,
+                   sum(CASE WHEN a.score > b.score THEN a.weight ELSE 0 END) > sum(CASE WHEN a.score < b.score THEN a.weight ELSE 0 END) AS beats
+            FROM grid a JOIN grid b ON a.query_id = b.query_id AND a.source = b.source AND a.doc_id <> b.doc_id
+            GROUP BY ALL
+        )
+        SELECT query_id, one AS doc_id FROM met GROUP BY query_id, one HAVING bool_and(beats) AND bool_or(above)""",
+}
