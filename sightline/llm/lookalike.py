@@ -139,9 +139,17 @@ def base_map() -> dict[str, str | None]:
     return out
 
 
+class _Table(dict):
+    """A table for str.translate that remembers the characters it leaves alone, which is faster than a miss."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
 @lru_cache(1)
-def _translation() -> dict[int, str | None]:
-    return {ord(k): v for k, v in character_map().items()}
+def _translation() -> _Table:
+    return _Table({ord(k): v for k, v in character_map().items()})
 
 
 def look(text: str) -> str:
@@ -169,12 +177,25 @@ def _caseless() -> dict[int, str]:
     return {ord(c): find(c) for c in leader if find(c) != c}
 
 
+@lru_cache(1)
+def _word_table() -> _Table:
+    """Look, lower case and ``_caseless`` in one step."""
+    out, seen = _Table(), character_map()
+    for code in range(sys.maxunicode + 1):
+        char = chr(code)
+        if 0xD800 <= code < 0xE000:
+            continue
+        looks = seen.get(char, char)
+        last = None if looks is None else "".join(c.lower().translate(_caseless()) for c in looks).replace("ς", "σ")
+        if last != char:
+            out[code] = last
+    return out
+
+
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits, without regard to case and to differences that are not seen."""
-    if text.isascii():
-        return _WORD.findall(text.lower())
-    seen = look(text).lower()
-    return _WORD.findall(U.normalize("NFC", seen.translate(_caseless())))
+    seen = text.translate(_word_table())
+    return _WORD.findall(seen if seen.isascii() else U.normalize("NFC", seen))
