@@ -33,7 +33,7 @@ RADIUS = 3
 SIMILARITY = 0.8
 ITEMS_PER_PASS = 2000
 #: Words of text handled at once; longer texts stand alone.
-CHUNK_WORDS = 40_000
+CHUNK_WORDS = 8_000
 KNOWN_WORDS = 300_000
 
 HIT_SCHEMA = "doc_id {0}, item_id {1}, windows bigint, exact_windows bigint, similarity double"
@@ -46,6 +46,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sliding_sum(rows: np.ndarray, count: int) -> np.ndarray:
+    """Sum of each ``count`` consecutive rows, by doubling."""
+    n = len(rows) - count + 1
+    out, power, done, at = None, rows, 0, 1
+    while count:
+        if count & 1:
+            piece = power[done : done + n]
+            out = piece.copy() if out is None else np.add(out, piece, out=out)
+            done += at
+        count >>= 1
+        if count:
+            power, at = power[:-at] + power[at:], at * 2
+    return out
+
+
 class Words:
     """Hashes and lengths of words; remembers those met, within a bound."""
 
@@ -93,10 +108,8 @@ class Windows:
             self.weights[:n] += lengths[k : k + n]
         self.shingles[:n] = mixed
         bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        signed = (bits.astype(np.int32) * 2 - 1) * self.weights[:n, None]
-        sums = np.zeros((n + 1, 64), np.int32)
-        np.cumsum(signed, axis=0, out=sums[1:])
-        over = (sums[self.start + per] - sums[self.start]) > 0
+        signed = bits.astype(np.int32) * (2 * self.weights[:n, None]) - self.weights[:n, None]
+        over = (sliding_sum(signed, per) > 0)[self.start]
         self.prints = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
