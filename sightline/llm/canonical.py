@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm import lookalike
+from sightline.session import shared_dir
 
 COLLATION = "UNICODE"
 #: A text without such a character is blank.
@@ -55,11 +56,16 @@ def skeleton_column(text: Column) -> Column:
 
 
 def suspects(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, skeleton) of documents that share a skeleton with a different text."""
+    """(doc_id, text, skeleton) of documents that share a skeleton with a different text.
+
+    They are few and used several times, so they are written to the shared folder once.
+    """
     named = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(VISIBLE))
     keyed = named.withColumn("skeleton", F.xxhash64(skeleton_column(F.col("text"))))
     shared = keyed.groupBy("skeleton").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
-    return keyed.join(shared.where("low <> high").select("skeleton"), "skeleton", "left_semi")
+    at = shared_dir(documents.sparkSession, "suspects")
+    keyed.join(shared.where("low <> high").select("skeleton"), "skeleton", "left_semi").write.parquet(at)
+    return documents.sparkSession.read.parquet(at)
 
 
 def variants(suspect: DataFrame) -> DataFrame:
