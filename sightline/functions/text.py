@@ -299,8 +299,11 @@ STRUCTURE = {
 
 def code_structure(content: Column) -> Column:
     """array<struct<kind, name>>: names defined or imported in the text and its headings."""
-    found = [F.transform(F.regexp_extract_all(content, F.lit(p), 1), lambda n, k=kind: F.struct(F.lit(k).alias("kind"), n.alias("name"))) for kind, p in STRUCTURE.items()]
-    return F.concat(*found)
+
+    def named(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(content, F.lit(pattern), 1), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    return F.concat(*[named(kind, pattern) for kind, pattern in STRUCTURE.items()])
 
 
 # -- redaction ------------------------------------------------------------------------------

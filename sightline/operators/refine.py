@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import vectors as V
 from sightline.operators.fusion import EPSILON, finite
+from sightline.session import cut
 
 RERANK_MOST, RERANK_LEAST = 100, 5
 
@@ -186,40 +187,37 @@ def build_graph(edges: DataFrame) -> DataFrame:
     return good.groupBy("src", "dst", "edge_type").agg(F.sum("weight").alias("weight"))
 
 
-def personalized_pagerank(edges: DataFrame, hits: DataFrame, restart: float = 0.15, rounds: int = 20, tolerance: float = 1e-6, checkpoint_every: int = 5) -> DataFrame:
+def personalized_pagerank(edges: DataFrame, hits: DataFrame, restart: float = 0.15, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
     """(node, rank), summing to 1: seeds are the documents' greatest positive finite scores, dangling mass goes back to them.
 
     A round is one join and one aggregation on nodes, with map-side combine; a hub
-    with very many edges is spread by its destinations. Lineage is cut by checkpoints
-    in the shared folder, and the rounds stop early once little changes.
+    with very many edges is spread by its destinations. Each round is written to the
+    shared folder, and the rounds stop early once little changes.
     """
     graph = build_graph(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    graph = graph.join(graph.groupBy("src").agg(F.sum("weight").alias("_out")), "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share")).persist()
-    nodes = graph.select(F.col("src").alias("node")).union(graph.select(F.col("dst").alias("node"))).distinct()
+    graph = cut(graph.join(graph.groupBy("src").agg(F.sum("weight").alias("_out")), "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share")), "graph")
+    sources = graph.select(F.col("src").alias("node")).distinct()
+    nodes = sources.union(graph.select(F.col("dst").alias("node"))).distinct()
     seeds = hits.where(finite(F.col("score")) & (F.col("score") > 0)).groupBy(F.col("doc_id").alias("node")).agg(F.max("score").alias("s")).join(nodes, "node", "left_semi")
     total = seeds.agg(F.sum("s")).first()[0]
     if not total:
-        graph.unpersist()
         return nodes.limit(0).select("node", F.lit(0.0).alias("rank"))
-    seeds = seeds.select("node", (F.col("s") / F.lit(total)).alias("seed")).persist()
-    # who has edges out, and the seeds, take part in every round's one aggregation
-    out = graph.select(F.col("src").alias("node")).distinct().select("node", F.lit(0.0).alias("m"), F.lit(0.0).alias("was"), F.lit(1).alias("out")).persist()
+    seeds = cut(seeds.select("node", (F.col("s") / F.lit(total)).alias("seed")), "seeds")
+    # who has edges out takes part in every round's one aggregation
+    parts = lambda m, was, out: [F.col("node"), m.alias("m"), was.alias("was"), F.lit(out).alias("out")]
+    out = sources.select(*parts(F.lit(0.0), F.lit(0.0), 1))
     rank = seeds.select("node", F.col("seed").alias("rank"))
-    dangling = seeds.join(out.select("node"), "node", "left_anti").agg(F.coalesce(F.sum("seed"), F.lit(0.0))).first()[0]
-    held = []
-    for n in range(1, rounds + 1):
+    dangling = seeds.join(sources, "node", "left_anti").agg(F.coalesce(F.sum("seed"), F.lit(0.0))).first()[0]
+    for _ in range(rounds):
         moved = rank.join(graph, rank.node == graph.src).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share") * (1 - restart)).alias("m"), F.lit(0.0).alias("was"), F.lit(0).alias("out"))
-        back = seeds.select("node", (F.col("seed") * F.lit(restart + (1 - restart) * dangling)).alias("m"), F.lit(0.0).alias("was"), F.lit(0).alias("out"))
-        before = rank.select("node", F.lit(0.0).alias("m"), F.col("rank").alias("was"), F.lit(0).alias("out"))
+        back = seeds.select(*parts(F.col("seed") * F.lit(restart + (1 - restart) * dangling), F.lit(0.0), 0))
+        before = rank.select(*parts(F.lit(0.0), F.col("rank"), 0))
         new = moved.unionByName(back).unionByName(before).unionByName(out).groupBy("node").agg(F.sum("m").alias("rank"), F.sum("was").alias("was"), F.max("out").alias("out"))
-        new = new.checkpoint() if n % checkpoint_every == 0 else new.persist()
+        new = cut(new, "rank")
         dangling, change = new.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
         rank = new.where("rank > 0").select("node", "rank")
-        held.append(new)
         if change < tolerance:
             break
-        if len(held) > 2:
-            held.pop(0).unpersist()
     return rank
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.session import cut
+
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
 # The window sizes of summaries.
 WINDOWS = {"1m": MINUTE, "15m": 15 * MINUTE, "1h": HOUR, "6h": 6 * HOUR, "24h": DAY, "3d": 3 * DAY, "1w": 7 * DAY}
@@ -108,7 +110,6 @@ def anomalies(evaluated: DataFrame, open_before: DataFrame | None = None, factor
     before, those that no longer hold come out as ``resolved``.
     """
     keys = ["scope", "project_key"]
-    earlier = Window.partitionBy(*keys).orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1)
     metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("observed")) for m, c in (("error_rate", "error_rate"), ("p95_latency", "p95_us"))]))
     rows = evaluated.select(*keys, "window_start", metrics.alias("m")).select(*keys, "window_start", "m.*")
     base = F.avg("observed").over(Window.partitionBy(*keys, "metric").orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1))
@@ -116,7 +117,6 @@ def anomalies(evaluated: DataFrame, open_before: DataFrame | None = None, factor
     found = found.withColumn("deviation", F.col("observed") / F.col("baseline"))
     severity = F.when(F.col("deviation") >= 3 * factor / 2, "critical").otherwise("warning")
     now = found.select(*keys, "metric", "window_start", "baseline", "observed", "deviation", severity.alias("severity"), F.lit("open").alias("state"))
-    del earlier
     if open_before is None:
         return now
     key = [*keys, "metric", "window_start"]
@@ -208,9 +208,9 @@ def reconcile_instances(sightings: DataFrame, rounds: int = 50) -> DataFrame:
 
     Least label over keys and sightings in turn until nothing changes; each round is
     two aggregations with map-side combine, so a key shared by very many sightings is
-    no hot spot, and lineage is cut by checkpoints.
+    no hot spot, and is written to the shared folder.
     """
-    links = sightings.where("sighting IS NOT NULL AND key IS NOT NULL").select("sighting", "key").distinct().persist()
+    links = cut(sightings.where("sighting IS NOT NULL AND key IS NOT NULL").select("sighting", "key").distinct(), "links")
     label = sightings.where("sighting IS NOT NULL").select("sighting", F.col("sighting").alias("instance")).distinct()
     for _ in range(rounds):
         by_key = links.join(label, "sighting").groupBy("key").agg(F.min("instance").alias("instance"))
@@ -218,7 +218,7 @@ def reconcile_instances(sightings: DataFrame, rounds: int = 50) -> DataFrame:
         # jump: take the label of one's label, which halves long chains
         new = label.join(least, "sighting", "left").select("sighting", F.least("instance", F.coalesce("_least", "instance")).alias("instance"))
         up = new.select(F.col("sighting").alias("instance"), F.col("instance").alias("_up"))
-        new = new.join(up, "instance", "left").select("sighting", F.least("instance", F.coalesce("_up", "instance")).alias("instance")).checkpoint()
+        new = cut(new.join(up, "instance", "left").select("sighting", F.least("instance", F.coalesce("_up", "instance")).alias("instance")), "labels")
         changed = new.join(label.withColumnRenamed("instance", "_was"), "sighting").where("instance <> _was").limit(1).count()
         label = new
         if not changed:

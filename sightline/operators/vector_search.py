@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sightline.functions import vectors as V
 
@@ -49,7 +50,8 @@ def score_blocks(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str, val
     spark = corpus.sparkSession
     named = corpus.select(F.col(doc_id).alias("doc_id"), F.col(value).alias("v")).where("doc_id IS NOT NULL AND v IS NOT NULL")
     doc_kind = named.schema["doc_id"].dataType.simpleString()
-    query_kind = queries.select(query_id).schema[0].dataType.simpleString()
+    query_type = queries.select(query_id).schema[0].dataType
+    query_kind, query_arrow = query_type.simpleString(), to_arrow_type(query_type)
     out = None
     for ids, q in _blocks(queries, query_id, query_value):
         held = spark.sparkContext.broadcast((ids, q))
@@ -67,7 +69,7 @@ def score_blocks(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str, val
                 else:
                     rows, cols = np.nonzero(np.ones_like(s, bool))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids).take(pa.array(cols)), batch.column(0).take(pa.array(rows)), pa.array(s[rows, cols].astype(np.float64))], ["query_id", "doc_id", "score"]
+                    [pa.array(ids, query_arrow).take(pa.array(cols)), batch.column(0).take(pa.array(rows)), pa.array(s[rows, cols].astype(np.float64))], ["query_id", "doc_id", "score"]
                 )
 
         part = named.mapInArrow(run, f"query_id {query_kind}, doc_id {doc_kind}, score double")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", app: str = "sightline") -> SparkSession:
@@ -41,3 +41,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = os.path.join(tempfile.gettempdir(), "sightline-shared")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/sightline-{purpose}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, read back from the shared folder: computed once, without lineage, safe from lost executors."""
+    at = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
