@@ -38,7 +38,8 @@ def _finite(c: Column) -> Column:
 def clean_components(components: DataFrame, key: Sequence[str], source: str, score: str, weight: str) -> DataFrame:
     """(key..., source, score, weight), repeated rows once; scores that are no finite number are null, such weights 0."""
     usable = F.coalesce(_finite(F.col(weight).cast("double")), F.lit(0.0))
-    columns = [*key, F.col(source).alias("source"), _finite(F.col(score).cast("double")).alias("score"), usable.alias("weight")]
+    named = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))  # rows without a source have one of their own
+    columns = [*key, named.alias("source"), _finite(F.col(score).cast("double")).alias("score"), usable.alias("weight")]
     return components.where(" AND ".join(f"{k} IS NOT NULL" for k in key)).select(*columns).distinct()
 
 
