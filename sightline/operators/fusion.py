@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.text import fnv1a_64
+from sightline.operators.ranking import page
 
 K = 60.0
 EPSILON = 1e-12
@@ -48,14 +49,6 @@ def sane_k(k: float) -> float:
     return k if math.isfinite(k) and k >= 0 else K
 
 
-def _page(fused: DataFrame, limit: int | None, offset: int, order: Sequence[Column], by: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    out = fused.withColumn("rank", place)
-    if limit is None:
-        return out.where(F.col("rank") >= offset)
-    return out.where((F.col("rank") >= offset) & (F.col("rank") < offset + limit))
-
-
 def rrf(
     lists: Mapping[str, DataFrame],
     limit: int | None = None,
@@ -88,7 +81,7 @@ def rrf(
     fused = union.groupBy(by, doc).agg(F.sum(F.col("w") / (k + F.col("rank") + 1)).alias("score"), (F.count("*") > 1).alias("in_both"), *cells)
     tie = F.coalesce("lexical_score", F.lit(NEGATIVE)) if "lexical" in lists else F.lit(0.0)
     last = [F.shiftrightunsigned(fnv1a_64(F.col(doc)), 32), fnv1a_64(F.col(doc)).bitwiseAND(F.lit(0xFFFFFFFF))] if hash_ties else []
-    return _page(fused, limit, offset, [F.desc("score"), F.desc("in_both"), F.desc(_key(tie)), *last, F.col(doc)], by)
+    return page(fused, [by], [F.desc("score"), F.desc("in_both"), F.desc(_key(tie)), *last, F.col(doc)], limit, offset)
 
 
 def pool_minmax(lists: Mapping[str, DataFrame], limit: int | None = None, offset: int = 0, weights: Mapping[str, float] | None = None, by: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -104,7 +97,7 @@ def pool_minmax(lists: Mapping[str, DataFrame], limit: int | None = None, offset
         union = part if union is None else union.unionByName(part)
     lexical = F.max(F.when(F.col("list") == "lexical", F.col("raw")))
     fused = union.groupBy(by, doc).agg(F.sum("part").alias("score"), (F.count("*") > 1).alias("in_both"), lexical.alias("_lexical"))
-    return _page(fused, limit, offset, [F.desc("score"), F.desc("in_both"), F.desc(_key(F.col("_lexical"))), F.col(doc)], by).drop("_lexical")
+    return page(fused, [by], [F.desc("score"), F.desc("in_both"), F.desc(_key(F.col("_lexical"))), F.col(doc)], limit, offset).drop("_lexical")
 
 
 def fuse(strategy: str, lists: Mapping[str, DataFrame], **more) -> DataFrame:
@@ -137,9 +130,8 @@ def federated_rrf(shards: DataFrame, k: float = K, by: str = "query_id", doc: st
     """Over (query, shard, shard_weight, doc, rank): summed contributions, number of shards, and the shard that gave most."""
     part = F.col("shard_weight") / (sane_k(k) + F.col("rank") + 1)
     rows = shards.select(by, F.col(doc).cast("string").alias(doc), "shard", "rank", part.alias("part"))
-    best = F.max(F.struct(F.col("part"), (-F.col("rank")).alias("r")))
-    fused = rows.groupBy(by, doc).agg(F.sum("part").alias("score"), F.count_distinct("shard").alias("shards"), F.min_by("shard", F.struct((-F.col("part")).alias("p"), F.col("rank"), F.col("shard"))).alias("primary_shard"), best.alias("_best"))
-    return _page(fused.drop("_best"), None, 0, [F.desc("score"), F.col(doc)], by)
+    fused = rows.groupBy(by, doc).agg(F.sum("part").alias("score"), F.count_distinct("shard").alias("shards"), F.min_by("shard", F.struct((-F.col("part")).alias("p"), F.col("rank"), F.col("shard"))).alias("primary_shard"))
+    return page(fused, [by], [F.desc("score"), F.col(doc)])
 
 
 def federated_weighted(shards: DataFrame, normalizer: str = "min_max", comb_mnz: bool = False, by: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -148,7 +140,7 @@ def federated_weighted(shards: DataFrame, normalizer: str = "min_max", comb_mnz:
     fused = rows.groupBy(by, F.col(doc).cast("string").alias(doc)).agg(F.sum(F.col("normalized") * F.col("shard_weight")).alias("score"), F.count_distinct("shard").alias("shards"))
     if comb_mnz:
         fused = fused.withColumn("score", F.col("score") * F.col("shards"))
-    return _page(fused, None, 0, [F.desc("score"), F.col(doc)], by)
+    return page(fused, [by], [F.desc("score"), F.col(doc)])
 
 
 def federated_coverage(shards: DataFrame, expected: Sequence[str], least: int = 1) -> DataFrame:
@@ -190,7 +182,7 @@ def blend(fast: DataFrame, quality: DataFrame, alpha: float = 0.7, by: str = "qu
         union = part if union is None else union.unionByName(part)
     both = union.groupBy(by, doc).agg(F.max(F.when(F.col("tier") == "fast", F.col("s"))).alias("fast_score"), F.max(F.when(F.col("tier") == "quality", F.col("s"))).alias("quality_score"))
     score = F.coalesce(alpha * F.col("quality_score") + (1 - alpha) * F.col("fast_score"), F.col("quality_score"), F.col("fast_score"))
-    return _page(both.withColumn("score", score), None, 0, [F.desc("score"), F.col(doc)], by)
+    return page(both.withColumn("score", score), [by], [F.desc("score"), F.col(doc)])
 
 
 # -- measures over lists ------------------------------------------------------------------

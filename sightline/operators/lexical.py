@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import text as X
+from sightline.operators.ranking import page
 
 K1, B = 1.2, 0.75
 FIELD_BOOSTS = {"content": 1.0, "title": 2.0}
@@ -115,11 +116,9 @@ def score_terms(index: LexicalIndex, terms: DataFrame) -> DataFrame:
 def top_k(scores: DataFrame, k: int, offset: int = 0, by: str | None = "query_id", score: str = "score", doc: str = "doc_id") -> DataFrame:
     """Ranks from 0 by score, then document id as a string; NaN and null scores come last."""
     order = [F.desc(F.coalesce(F.nanvl(F.col(score), F.lit(float("-inf"))), F.lit(float("-inf")))), F.col(doc).cast("string")]
-    keys = [by] if by else []
     if by is None:
         return scores.orderBy(*order).offset(offset).limit(k)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return scores.withColumn("rank", rank).where((F.col("rank") >= offset) & (F.col("rank") < offset + k))
+    return page(scores, [by], order, k, offset)
 
 
 def search_queries(index: LexicalIndex, queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query", fields: Mapping[str, float] | None = None, offset: int = 0) -> DataFrame:

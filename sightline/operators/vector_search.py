@@ -13,11 +13,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sightline.functions import vectors as V
+from sightline.operators.ranking import page
 
 QUERY_BLOCK = 2_000
 #: How many times k a first pass keeps.
@@ -86,8 +87,7 @@ def dot_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
 def ranked_top_k(scores: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) from 0: score, then document id as a string; each document once, NaN worst."""
     once = scores.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").cast("string"))) - 1
-    return once.withColumn("rank", place).where(F.col("rank") < k)
+    return page(once, ["query_id"], [F.desc("score"), F.col("doc_id").cast("string")], k)
 
 
 def exact_top_k(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", value: str = "embedding", query_id: str = "query_id", query_value: str = "embedding") -> DataFrame:
