@@ -21,6 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.ranking import join_by_key
+from sightline.session import cut
+
 #: Hits of a query that meet in one knock-out.
 PART = 512
 #: Squashed value of a missing score, and the least of a present one.
@@ -44,14 +47,15 @@ def clean_components(components: DataFrame, key: Sequence[str], source: str, sco
 
 
 def source_statistics(clean: DataFrame, query: str) -> DataFrame:
-    """(query, source, weight, middle, scale): median and scaled MAD of each source's scores in a query.
+    """(query, source, weight, middle, scale, n): median and scaled MAD of each source's scores in a query.
 
     Medians come from mergeable rank summaries, exact for groups of ordinary size.
     """
     keys = [query, "source"]
-    middle = clean.groupBy(*keys).agg(F.max("weight").alias("weight"), F.percentile_approx("score", 0.5, ACCURACY).alias("middle"))
-    off = clean.select(*keys, "score").join(middle, keys).select(*keys, "weight", "middle", F.abs(F.col("score") - F.col("middle")).alias("off"))
-    return off.groupBy(*keys).agg(F.max("weight").alias("weight"), F.max("middle").alias("middle"), (F.percentile_approx("off", 0.5, ACCURACY) * MAD_SCALE).alias("scale"))
+    middle = cut(clean.groupBy(*keys).agg(F.max("weight").alias("weight"), F.percentile_approx("score", 0.5, ACCURACY).alias("middle"), F.count("*").alias("n")), "medians")
+    off = join_by_key(clean.drop("weight"), middle, keys, "n").select(*keys, F.abs(F.col("score") - F.col("middle")).alias("off"))
+    scale = off.groupBy(*keys).agg((F.percentile_approx("off", 0.5, ACCURACY) * MAD_SCALE).alias("scale"))
+    return cut(middle.join(scale, keys), "scales")
 
 
 def squashed(score: Column, middle: Column, scale: Column) -> Column:
@@ -69,16 +73,17 @@ def fused(hits: DataFrame, components: DataFrame, query: str = "query_id", doc:
     score; hits whose query or document is null are left out.
     """
     one = hits.where(f"{query} IS NOT NULL AND {doc} IS NOT NULL").groupBy(query, doc).agg(F.max(F.when(~F.isnan(F.col(final)), F.col(final))).alias(final))
-    clean = clean_components(components, [query, doc], source, score, weight)
+    clean = cut(clean_components(components, [query, doc], source, score, weight), "components")
     stats = source_statistics(clean, query)
     per_query = stats.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("weights"), F.sum("weight").alias("_total"))
     numbers = one.groupBy(query).agg(F.count("*").alias("hits"))
     value = F.ln(squashed(F.col("score"), F.col("middle"), F.col("scale")))
-    scored = clean.where("score IS NOT NULL").drop("weight").join(stats, [query, "source"])
+    scored = join_by_key(clean.where("score IS NOT NULL").drop("weight"), stats, [query, "source"], "n")
     # repeated (query, doc, source) with different scores: the greatest holds
     held = scored.groupBy(query, doc, "source").agg(F.max("score").alias("score"), F.max(value).alias("_ln"), F.max("weight").alias("weight"))
     vectors = held.groupBy(query, doc).agg(F.collect_list(F.struct("source", "score")).alias("scores"), F.sum(F.col("weight") * F.col("_ln")).alias("_sum"), F.sum("weight").alias("_held"))
-    rows = one.join(vectors, [query, doc], "left").join(per_query, query, "left").join(numbers, query)
+    info = cut(numbers.join(per_query, query, "left"), "queries")
+    rows = join_by_key(one.join(vectors, [query, doc], "left"), info, [query], "hits")
     missing = (F.col("_total") - F.coalesce("_held", F.lit(0.0))) * F.ln(F.lit(LEAST))
     mean = F.exp((F.coalesce("_sum", F.lit(0.0)) + missing) / F.col("_total"))
     return rows.select(query, doc, final, F.when(F.col("_total") > 0, mean).otherwise(F.lit(LEAST)).alias("fused"), "scores", "weights", "hits")
@@ -131,7 +136,7 @@ def preferred(hits: DataFrame, components: DataFrame, query: str = "query_id", d
     """
     rows = fused(hits, components, query, doc, final=final, **names).where("hits > 1")
     entry = F.struct((-F.col("fused")).alias("order"), F.col(doc).alias("doc"), F.coalesce("scores", F.expr("array()")).alias("scores"), F.col(final).alias("final"))
-    all_rows = rows.select(query, "hits", "weights", entry.alias("entry")).withColumn("part", F.pmod(F.xxhash64("entry.doc"), F.ceil(F.col("hits") / PART)))
+    all_rows = cut(rows.select(query, "hits", "weights", entry.alias("entry")), "entries").withColumn("part", F.pmod(F.xxhash64("entry.doc"), F.ceil(F.col("hits") / PART)))
     most = hits.groupBy(query).count().agg(F.max("count")).first()[0] or 1
     left = all_rows
     while True:

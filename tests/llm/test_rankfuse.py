@@ -84,3 +84,12 @@ def test_edges(spark):
     assert rows(rankfuse.preferred(hits, flat)) == []
     better = spark.createDataFrame([(1, 1, "s", 3.0, 1.0, ""), (1, 2, "s", 2.0, None, "")], PARTS)
     assert rows(rankfuse.preferred(hits, better)) == [(1, 1)]
+
+
+def test_a_hot_query_is_joined_without_gathering_it(spark, monkeypatch):
+    from sightline.operators import ranking
+
+    monkeypatch.setattr(ranking, "HOT_ROWS", 5)
+    hits, parts = random_case(4, queries=30, most=12)
+    df = spark.createDataFrame(hits, HITS), spark.createDataFrame(parts, PARTS)
+    assert rows(rankfuse.preferred(*df)) == brute(hits, parts)
