@@ -222,11 +222,15 @@ def brier_score(rows: DataFrame, predicted: str, label: str) -> DataFrame:
 
 
 def conformal_required_k(ranks: DataFrame, alpha: float, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., required_k, n): the rank that holds the answer with probability 1 - alpha; null if the sample is too small."""
-    lists = ranks.groupBy(*by).agg(F.sort_array(F.collect_list("rank")).alias("r"))
-    n = F.size("r")
-    at = F.ceil((n + 1) * (1 - F.lit(alpha)) - 1e-9).cast("int")
-    return lists.select(*by, F.when(at <= n, F.element_at("r", F.greatest(at, F.lit(1)))).alias("required_k"), n.alias("n"))
+    """(by..., required_k, n): the rank that holds the answer with probability 1 - alpha; null if the sample is too small.
+
+    Ranks are counted first, so a group's window runs over its different ranks only.
+    """
+    counts = ranks.where("rank IS NOT NULL").groupBy(*by, "rank").agg(F.count("*").alias("_c"))
+    up = F.sum("_c").over(Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    stepped = counts.withColumn("_up", up).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    at = F.greatest(F.ceil((F.col("_n") + 1) * (1 - F.lit(alpha)) - 1e-9), F.lit(1))
+    return stepped.groupBy(*by).agg(F.min(F.when((F.col("_up") >= at) & (at <= F.col("_n")), F.col("rank"))).alias("required_k"), F.max("_n").cast("int").alias("n"))
 
 
 def conformal_p_value(ranks: DataFrame, rank: int) -> DataFrame:

@@ -25,12 +25,18 @@ def classify_sequence(seq: Column, last: Column) -> Column:
 
 
 def replay(commits: DataFrame, watermark: int, seq: str = "commit_seq", operations: str = "operations") -> DataFrame:
-    """(seq, outcome) in order: applied up to the first gap, already_applied, empty, out_of_order beyond a gap."""
-    once = commits.groupBy(seq).agg(F.max(F.size(operations)).alias("_ops"))
-    place = F.row_number().over(Window.orderBy(seq))
-    new = once.where(F.col(seq) > watermark).withColumn("_place", place)
-    outcome = F.when(F.col(seq) != F.col("_place") + watermark, "out_of_order").when(F.col("_ops") <= 0, "empty").otherwise("applied")
-    return once.where(F.col(seq) <= watermark).select(seq, F.lit("already_applied").alias("outcome")).unionByName(new.select(seq, outcome.alias("outcome")))
+    """(seq, outcome): applied up to the first gap, already_applied, empty, out_of_order beyond a gap.
+
+    The gap is the least number whose predecessor is missing, found by a join on the
+    number, so no task sees the whole feed.
+    """
+    once = commits.where(F.col(seq).isNotNull()).groupBy(seq).agg(F.max(F.size(operations)).alias("_ops"))
+    new = once.where(F.col(seq) > watermark)
+    after = new.select((F.col(seq) + 1).alias(seq))
+    gap = new.where(F.col(seq) != watermark + 1).join(after, seq, "left_anti").agg(F.min(seq)).first()[0]
+    beyond = F.col(seq) >= F.lit(gap) if gap is not None else F.lit(False)
+    outcome = F.when(F.col(seq) <= watermark, "already_applied").when(beyond, "out_of_order").when(F.col("_ops") <= 0, "empty").otherwise("applied")
+    return once.select(seq, outcome.alias("outcome"))
 
 
 def changelog_batch(changelog: DataFrame, after: int, limit: int) -> DataFrame:
@@ -279,3 +285,47 @@ def discovered(files: DataFrame, include: Sequence[str], exclude: Sequence[str])
     """Files below an included root and below no excluded one; the longer of two matching roots decides."""
     longest = lambda roots: F.coalesce(F.greatest(F.lit(-1), *[F.when(F.startswith("path", F.lit(r)), F.lit(len(r))).otherwise(F.lit(-1)) for r in roots]), F.lit(-1))
     return files.where((longest(include) > longest(exclude)) & (longest(include) >= 0))
+
+
+# -- small records ------------------------------------------------------------------------------------
+
+
+def index_report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, problem) of rows an index build cannot take as they are: no id, repeated id, no text."""
+    many = documents.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("n")).where("n > 1").select(F.col(doc_id), F.lit("repeated id").alias("problem"))
+    alone = F.when(F.col(doc_id).isNull(), "no id").when(F.col(text).isNull() | (F.trim(text) == ""), "no text")
+    return documents.select(F.col(doc_id), alone.alias("problem")).where("problem IS NOT NULL").unionByName(many)
+
+
+def build_history(builds: DataFrame, index: str, limit: int) -> DataFrame:
+    """The newest builds of an index."""
+    return builds.where(F.col("index_name") == index).orderBy(F.desc("built_at"), F.desc("build_id")).limit(limit)
+
+
+def bookmarks_after(bookmarks: DataFrame, changes: DataFrame) -> DataFrame:
+    """Bookmarks (doc_id, query, note, created_at) after changes with ``action`` add or remove; the newest change of a mark counts."""
+    newest = changes.groupBy("doc_id", "query").agg(F.max_by(F.struct("note", "created_at", "action"), "created_at").alias("_c")).select("doc_id", "query", "_c.*")
+    kept = bookmarks.join(newest.select("doc_id", "query"), ["doc_id", "query"], "left_anti")
+    return kept.unionByName(newest.where("action = 'add'").drop("action").select(*bookmarks.columns))
+
+
+def conversation_columns(messages: DataFrame, prefix_chars: int = 20, preview_chars: int = 200) -> DataFrame:
+    """Adds identity, preview and the prefix columns of conversation messages (source_id, conversation_id, msg_idx, title, content)."""
+    from sightline.functions.text import edge_ngrams, prefix_source, preview
+
+    return messages.withColumns({
+        "identity": F.concat_ws(":", F.coalesce("source_id", F.lit("")), F.col("conversation_id").cast("string"), F.col("msg_idx").cast("string")),
+        "preview": preview(F.col("content"), preview_chars),
+        "title_prefix": F.concat_ws(" ", edge_ngrams(F.col("title"), 2, prefix_chars)),
+        "content_prefix": F.concat_ws(" ", edge_ngrams(prefix_source(F.col("content")), 2, prefix_chars)),
+    })
+
+
+def shadow_compare(primary: DataFrame, shadow: DataFrame, epsilon: float = 1e-4) -> DataFrame:
+    """(query_id, verdict) of two engines' hits (query_id, doc_id, score, rank): rank_exact, score_epsilon or diverged."""
+    a = primary.select("query_id", "doc_id", F.col("score").alias("a"), F.col("rank").alias("ra"))
+    b = shadow.select("query_id", "doc_id", F.col("score").alias("b"), F.col("rank").alias("rb"))
+    both = a.join(b, ["query_id", "doc_id"], "full_outer")
+    near = F.abs(F.col("a") - F.col("b")) <= epsilon * F.greatest(F.abs("a"), F.abs("b"), F.lit(1e-12))
+    per = both.groupBy("query_id").agg(F.bool_and(F.col("ra").eqNullSafe(F.col("rb"))).alias("ranks"), F.bool_and(F.coalesce(near, F.lit(False))).alias("scores"))
+    return per.select("query_id", F.when(F.col("ranks"), "rank_exact").when(F.col("scores"), "score_epsilon").otherwise("diverged").alias("verdict"))

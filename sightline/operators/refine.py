@@ -19,6 +19,7 @@ from sightline.operators.fusion import EPSILON, finite
 from sightline.session import cut
 
 RERANK_MOST, RERANK_LEAST = 100, 5
+HUBNESS_SAMPLE = 20_000
 
 
 # -- reranking ---------------------------------------------------------------------
@@ -149,12 +150,14 @@ def smooth_ranked(hits: DataFrame, edges: DataFrame, **more) -> DataFrame:
 def hubness(corpus: DataFrame, sample: DataFrame, kq: int = 10, doc_id: str = "doc_id", value: str = "embedding") -> DataFrame:
     """(doc_id, r): mean of a document's ``kq`` greatest dot products with a stated sample of queries.
 
-    The sample goes out in fixed blocks; every batch reduces to one row a document,
-    so nothing but the result is shuffled.
+    The sample is broadcast, and bounded; every batch reduces to one row a document,
+    so nothing is shuffled.
     """
     import pyarrow as pa
 
-    rows = sample.select(F.col(value).alias("v")).where("v IS NOT NULL").limit(20_000).collect()  # the sample's bound
+    rows = sample.select(F.col(value).alias("v")).where("v IS NOT NULL").limit(HUBNESS_SAMPLE + 1).collect()
+    if len(rows) > HUBNESS_SAMPLE:
+        raise ValueError(f"the sample has more than {HUBNESS_SAMPLE} queries")
     held = corpus.sparkSession.sparkContext.broadcast(np.array([r.v for r in rows], np.float64).reshape(len(rows), -1))
     named = corpus.select(F.col(doc_id).alias("doc_id"), F.col(value).alias("v")).where("v IS NOT NULL")
     kind = named.schema["doc_id"].dataType.simpleString()

@@ -186,12 +186,18 @@ def lifecycle(signals: DataFrame, now: int, stale_ms: int = 30_000) -> DataFrame
     return last.withColumn("state", F.when(stale, "stale").otherwise(F.col("state")))
 
 
+MOST_RULES = 1_000
+
+
 def attribute_projects(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, project_key, confidence, collision): best rule (pattern, project_key, confidence) of each host; ties of projects collide.
 
     Rules are a configured list; each host meets them in one pass, without a join.
     """
-    table = F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.project_key).alias("project_key"), F.lit(float(r.confidence)).alias("confidence")) for r in rules.limit(10_000).collect()])
+    known = rules.limit(MOST_RULES + 1).collect()
+    if len(known) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    table = F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.project_key).alias("project_key"), F.lit(float(r.confidence)).alias("confidence")) for r in known])
     hit = F.filter(table, lambda r: F.call_function("rlike", F.col("host"), r["pattern"]))
     best = F.array_max(F.transform(hit, lambda r: r["confidence"]))
     top = F.array_sort(F.array_distinct(F.transform(F.filter(hit, lambda r: r["confidence"] == best), lambda r: r["project_key"])))

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -220,5 +220,54 @@ def quality_scores(hits: DataFrame, quality: DataFrame, queries: DataFrame, valu
     return hits.join(v, "doc_id", "left").join(q, "query_id").withColumn("quality_score", V.dot(F.col("_v"), F.col("_q"))).drop("_v", "_q")
 
 
-def size_column(value: str) -> Column:
-    return F.size(value)
+# -- approximate search by cells, with exact scores ---------------------------------------------
+
+CELL_SAMPLE = 20_000
+
+
+class CellIndex:
+    """Vectors filed by their nearest of a few centroids; a search reads only the cells near its query.
+
+    Centroids are fitted on at most ``CELL_SAMPLE`` rows picked by hash; every row is
+    filed. Scores are exact, so only recall is approximate: it grows with ``probes``.
+    """
+
+    def __init__(self, centroids: np.ndarray, rows: DataFrame, doc_id: str, value: str):
+        self.centroids, self.rows, self.doc_id, self.value = centroids, rows, doc_id, value
+
+    @classmethod
+    def build(cls, corpus: DataFrame, path: str, cells: int, doc_id: str = "doc_id", value: str = "embedding", seed: int = 42) -> CellIndex:
+        n = max(1, corpus.count())
+        share = F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1_000_000)) < min(1_000_000, -(-1_000_000 * CELL_SAMPLE // n))
+        rows = corpus.where(F.col(value).isNotNull() & share).select(value).limit(2 * CELL_SAMPLE).collect()
+        x = np.array([r[0] for r in rows], np.float32)
+        rng = np.random.default_rng(seed)
+        c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+        for _ in range(8):
+            near = (2 * x @ c.T - (c * c).sum(1)).argmax(1)
+            sums, counts = np.zeros_like(c), np.bincount(near, minlength=len(c))
+            np.add.at(sums, near, x)
+            c = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c)
+        filed = corpus.where(F.col(value).isNotNull()).withColumn("cell", _nearest_cells(c, 1)(F.col(value))[0])
+        filed.repartition("cell").write.partitionBy("cell").parquet(path)
+        return cls(c, corpus.sparkSession.read.parquet(path), doc_id, value)
+
+    def search(self, queries: DataFrame, k: int, probes: int = 4, query_id: str = "query_id", query_value: str = "embedding") -> DataFrame:
+        """(query_id, doc_id, score, rank) over the ``probes`` nearest cells of each query."""
+        q = queries.select(F.col(query_id).alias("query_id"), F.col(query_value).alias("_q")).where("_q IS NOT NULL")
+        q = q.withColumn("cell", F.explode(_nearest_cells(self.centroids, probes)(F.col("_q"))))
+        rows = self.rows.select(F.col(self.doc_id).alias("doc_id"), F.col(self.value).alias("_v"), "cell")
+        scored = rows.join(q, "cell").select("query_id", "doc_id", V.dot(F.col("_v"), F.col("_q")).alias("score"))
+        return ranked_top_k(scored, k)
+
+
+def _nearest_cells(centroids: np.ndarray, probes: int):
+    @F.arrow_udf("array<int>")
+    def run(values: pa.Array) -> pa.Array:
+        x = _matrix(values)
+        score = 2 * x @ centroids.T - (centroids * centroids).sum(1)
+        n = min(probes, len(centroids))
+        near = np.argsort(-score, axis=1)[:, :n].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(near.ravel()))
+
+    return run
