@@ -178,7 +178,7 @@ def _caseless() -> dict[int, str]:
 
 
 @lru_cache(1)
-def _word_table() -> _Table:
+def word_table() -> _Table:
     """Look, lower case and ``_caseless`` in one step."""
     out, seen = _Table(), character_map()
     for code in range(sys.maxunicode + 1):
@@ -197,5 +197,5 @@ _WORD = re.compile(r"[^\W_]+")
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits, without regard to case and to differences that are not seen."""
-    seen = text.translate(_word_table())
+    seen = text.translate(word_table())
     return _WORD.findall(seen if seen.isascii() else U.normalize("NFC", seen))

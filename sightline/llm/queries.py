@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe, canonical, knn, leakage, rankfuse, sketch
+from sightline.llm import bpe, canonical, knn, leakage, lookalike, rankfuse, sketch
 from sightline.sources.tables import table
 
 
@@ -90,7 +90,52 @@ QUERIES = {
     "p8_canonical": p8_canonical,
 }
 
+
+
+def _look_sql(text: str, table: dict[str, str | None]) -> str:
+    """``text`` with single characters translated, joined forms spelt out and characters without width dropped."""
+    single = {k: v for k, v in table.items() if v is not None and len(v) == 1}
+    dropped = [k for k, v in table.items() if v is None]
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    out = f"translate({text}, {quote(''.join([*single, *dropped]))}, {quote(''.join(single.values()))})"
+    for char, parts in table.items():
+        if parts is not None and len(parts) > 1:
+            out = f"replace({out}, {quote(char)}, {quote(parts)})"
+    return f"nfc_normalize({out})"
+
+
+def _grams_sql(table_name: str, key: str, text: str) -> str:
+    words = {chr(k): v for k, v in lookalike.word_table().items() if v is None or v != chr(k)}
+    parts = f"regexp_extract_all({_look_sql(text, words)}, '[\\p{{L}}\\p{{N}}]+')"
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 12], ' ') AS gram
+        FROM (SELECT {key}, {parts} AS w FROM {table_name} WHERE {text} IS NOT NULL), range(1, 100000) r(i) WHERE i + 12 <= len(w)"""
+
+
+def _sketch_sql(keys: str) -> str:
+    g = (1 + sketch.ERROR) / (1 - sketch.ERROR)
+    picked = ", ".join(f"2 / (1 + {g!r}::DOUBLE) * exp(min(b) FILTER (up > floor({q} * (n - 1))) * ln({g!r}::DOUBLE)) AS {name}" for name, q in PERCENTILES.items())
+    return f"""
+        WITH good AS (
+            SELECT DISTINCT event_id, project_key, lower(trim(query_class)) AS query_class, lower(trim(phase)) AS phase, make_timestamp(ts_ms * 1000)::DATE AS day, latency_us
+            FROM search_events WHERE latency_us > 0 AND project_key IS NOT NULL AND ts_ms IS NOT NULL
+        ), buckets AS (SELECT {keys}, ceil(ln(latency_us::DOUBLE) / ln({g!r}::DOUBLE)) AS b, count(*) AS c FROM good GROUP BY ALL),
+        ranked AS (SELECT *, sum(c) OVER (PARTITION BY {keys} ORDER BY b) AS up, sum(c) OVER (PARTITION BY {keys}) AS n FROM buckets)
+        SELECT {keys}, max(n)::BIGINT AS n, {picked} FROM ranked GROUP BY {keys}"""
+
+
 ORACLE: dict[str, str] = {
+    "p4_daily": _sketch_sql("project_key, query_class, phase, day"),
+    "p4_overall": _sketch_sql("project_key, query_class, phase"),
+    "p7_found": f"""
+        WITH d AS ({_grams_sql("documents", "doc_id", "text")}), e AS ({_grams_sql("eval_items", "item_id", "passage")})
+        SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (gram)""",
+    "p8_found": f"""
+        WITH d AS (SELECT doc_id, text, {_look_sql("text", lookalike.character_map())} AS look FROM documents WHERE regexp_matches(text, '[^\\s\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]'))
+        SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id""",
+    "p8_canonical": f"""
+        WITH d AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[^\\s\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]') THEN {_look_sql("text", lookalike.character_map())} END AS look FROM documents),
+        c AS (SELECT look, min(text) AS canonical FROM d WHERE look IS NOT NULL GROUP BY look)
+        SELECT doc_id, text, coalesce(canonical, text) AS canonical FROM d LEFT JOIN c USING (look)""",
     "p1_found": """
         WITH good AS (
             SELECT DISTINCT entry_id, embedder_id, value::DOUBLE[] AS value FROM cache_entries
