@@ -279,6 +279,20 @@ _L = """
 _EXACT = f"WITH {_V}, {_ALL} {_TOP.format('scored', 10)}"
 
 ORACLE = {
+    "vec_scalar": f"""
+        WITH {_V}, n AS (SELECT doc_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v)
+        SELECT doc_id, round(norm, 5) AS norm, 1.0::DOUBLE AS short_norm, round(list_cosine_similarity(e[1:32], e[33:64]), 5) AS halves FROM n""",
+    "fuse_weighted_rrf": f"""
+        WITH {_L}, f AS (SELECT query_id, doc_id, sum(CASE source WHEN 'lexical' THEN 0.5 WHEN 'semantic_fast' THEN 1.0 ELSE 2.0 END / (61.0::DOUBLE + rank)) AS score, count(*) > 1 AS many,
+                max(CASE WHEN source = 'lexical' THEN score END) AS lex FROM l WHERE source IN ('lexical', 'semantic_fast', 'semantic_quality') GROUP BY ALL)
+        SELECT query_id, doc_id, round(score, 9) AS score, rank FROM
+            (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, many DESC, coalesce(lex, '-inf'::DOUBLE) DESC, doc_id) - 1 AS rank FROM f) WHERE rank >= 3 AND rank < 8""",
+    "refine_feedback_expansion": f"""
+        WITH {_V}, {_ALL}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS n FROM scored),
+        x AS (SELECT query_id, greatest(score, 0) AS w, unnest(range(64)) AS d, unnest(e) AS x FROM h JOIN v USING (doc_id) WHERE n <= 5),
+        c AS (SELECT query_id, d, sum(w * x) / sum(w) AS x FROM x GROUP BY ALL),
+        m AS (SELECT query_id, d, 0.8 * q.e[d + 1] + 0.2 * x AS x FROM c JOIN q USING (query_id))
+        SELECT query_id, round(sum(CASE WHEN d = 0 THEN x END) / sqrt(sum(x * x)), 5) AS first, 1.0::DOUBLE AS norm FROM m GROUP BY query_id""",
     "vec_exact": _EXACT,
     "vec_int8": _EXACT,
     "vec_filtered": f"WITH {_V}, scored AS (SELECT query_id, doc_id, list_dot_product(v.e, q.e) AS score FROM v, q WHERE label = 3) {_TOP.format('scored', 10)}",
