@@ -51,8 +51,18 @@ def recall_at(run: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
 
 
 def measures(run: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, ndcg, ap, rr, recall)."""
-    return ndcg(run, relevant, k).join(average_precision(run, relevant, k), "query_id").join(reciprocal_rank(run, relevant), "query_id").join(recall_at(run, relevant, k), "query_id")
+    """(query_id, ndcg, ap, rr, recall), all from one pass."""
+    rows = _judged(run, relevant, None)
+    hit, within = F.col("rel") == 1, F.col("rank") < k
+    rows = rows.withColumn("_seen", F.sum("rel").over(Window.partitionBy("query_id").orderBy("rank")))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("relevant")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    sums = rows.groupBy("query_id", "relevant").agg(
+        F.sum(F.when(hit & within, 1 / F.log2(F.col("rank") + 2)).otherwise(0.0)).alias("dcg"),
+        F.sum(F.when(hit & within, F.col("_seen") / (F.col("rank") + 1)).otherwise(0.0)).alias("gained"),
+        F.coalesce(F.max(F.when(hit, 1 / (F.col("rank") + 1))), F.lit(0.0)).alias("rr"),
+        F.count_if(hit & within).alias("hits"),
+    )
+    return sums.select("query_id", (F.col("dcg") / ideal).alias("ndcg"), (F.col("gained") / F.least(F.lit(k), F.col("relevant"))).alias("ap"), "rr", (F.col("hits") / F.col("relevant")).alias("recall"))
 
 
 # -- bootstrap: over per-query values, which a driver-sized sample always is ----------------------------------

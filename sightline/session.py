@@ -30,6 +30,7 @@ def local_session(cpus: str | int = "*", app: str = "sightline") -> SparkSession
 
 
 _SHIPPED: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,7 +60,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = os.path.join(tempfile.gettempdir(), "sightline-shared")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sightline-{purpose}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/sightline-{purpose}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes what this process wrote by ``shared_dir``; results that still read it must be written before."""
+    from sightline.sources import files
+
+    while _MADE:
+        files.delete(spark, _MADE.pop())
 
 
 def cut(df: DataFrame, purpose: str) -> DataFrame:

@@ -65,6 +65,15 @@ def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
+def each_batch_output(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Updated rows of each batch below ``path``, a folder for each; a repeated batch replaces its own."""
+    return each_batch_mode(stream, lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}"), checkpoint, available_now)
+
+
+def each_batch_mode(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True, mode: str = "update") -> StreamingQuery:
+    return _start(stream.writeStream.outputMode(mode).foreachBatch(step), checkpoint, available_now)
+
+
 # -- folds that keep their state between batches -------------------------------------------
 
 

@@ -73,3 +73,17 @@ def test_output_formats(spark):
     df = spark.createDataFrame([("a", 0)], "doc_id string, rank int")
     for form in ("jsonl", "csv", "table", "toon"):
         frames.write(df, shared_dir(spark, form), form)
+
+
+def test_streamed_folds_equal_the_batch_folds(spark):
+    src, out = shared_dir(spark, "keys"), shared_dir(spark, "out")
+    schema = "k string, seq bigint, v double"
+    data = [(k, i, ((i * 37 + len(k)) % 11) / 10) for k in ("a", "bb") for i in range(20)]
+    for part in (data[::2], data[1::2]):  # the second file's rows lie between those of the first
+        spark.createDataFrame(sorted(part, key=lambda r: r[1]), schema).coalesce(1).write.mode("append").parquet(src)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = S.fold_stream(S.read_parquet_stream(spark, src), "k", S.ewma_fold("k", "seq", "v"), "k string, ewma double")
+    S.each_batch_output(stream, out, shared_dir(spark, "c")).awaitTermination()
+    got = {r.k: r.ewma for r in spark.read.parquet(out).collect()}
+    want = {r.k: r.ewma for r in A.ewma(spark.createDataFrame(data, schema), ["k"], "seq", "v").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
