@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 
@@ -397,6 +396,3 @@ def snippet(text: Column, weights: Column, most: int = 200, fallback: bool = Tru
 
     return run(text, weights)
 
-
-def sha_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

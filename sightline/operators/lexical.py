@@ -167,9 +167,10 @@ def segment_statistics(documents: DataFrame, segment: str = "segment", tombstone
     return documents.groupBy(segment).agg((F.count("*") - dead).alias("live"), dead.alias("tombstones"), (dead / F.count("*")).alias("density"), F.sum(size).alias("bytes"))
 
 
-def compaction_due(statistics: DataFrame, density: float = 0.20, fan_out: int = 8) -> Column:
-    """Whether a segment's tombstones ask for compaction."""
-    return F.col("density") >= density
+def compaction_due(statistics: DataFrame, density: float = 0.20, fan_out: int = 8) -> DataFrame:
+    """Segments whose tombstones, or whose number once it reaches ``fan_out``, ask for compaction."""
+    many = F.lit(statistics.limit(fan_out).count() >= fan_out)
+    return statistics.where((F.col("density") >= density) | many)
 
 
 def sqlite_like_rank(scores: DataFrame, score: str = "score") -> DataFrame:

@@ -68,7 +68,7 @@ def vec_filtered(spark, folder):
 def vec_quantizer(spark, folder):
     """Range and step of each dimension."""
     v, _ = _vectors(spark, folder)
-    return S.F.broadcast(V.fit_quantizer(v)).select(F.posexplode(F.arrays_zip("low", "scale")).alias("dim", "q")).select("dim", F.round("q.low", 6).alias("low"), F.round("q.scale", 8).alias("scale"))
+    return V.fit_quantizer(v).select(F.posexplode(F.arrays_zip("low", "scale")).alias("dim", "q")).select("dim", F.round("q.low", 6).alias("low"), F.round("q.scale", 8).alias("scale"))
 
 
 def vec_scalar(spark, folder):
