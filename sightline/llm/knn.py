@@ -16,9 +16,16 @@ a border parts is lost only if both lie further than that from it. Cells with mo
 hold, or more queries, are split into a grid of blocks by hashes of the id, so a task's
 memory is bounded and no pair is lost.
 
+Without a floor (``min_cosine`` None) the radius is each query's own. Windows and cells
+are first widened to the query's whole cell (a part of it, if it is large), whose k-th
+best cosine bounds the radius; then to every cell in which a vector within that radius
+may live, by the same rule with ``WHOLE_MARGIN``. At such radii windows would hold most
+of a block, so whole cells are verified, by matrix products. A query in a cell with too
+few others meets its whole group, so each gets ``k`` neighbours where there are so many.
+
 Exact copies would fill windows without end: of the vectors of a group that are equal
-number by number only the ``k + 1`` least ids go on. That loses no answer, since
-similarities of copies tie and ties fall to the least id.
+number by number only the ``k + 1`` least ids are searched. Similarities of copies tie and
+ties fall to the least id, so mutual pairs lose nothing.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.session import shared_dir
+from sightline.session import cut
 
 #: Rows of a group its centroids are fitted on, at most.
 FIT_ROWS = 16_384
@@ -46,13 +53,18 @@ THRESHOLD = 12
 #: Half a window, in standard deviations of the projected difference of a pair at the radius.
 WIDTH = 1.25
 MARGIN = 1.5
+#: The same without a floor, where true neighbours are rarely close; and queries of a block there.
+WHOLE_MARGIN = 3.0
+ASK_ROWS = 30_000
 SEED = 20_240_229
 #: Pairs counted at once: the counters stay in a core's cache.
 STEP_PAIRS = 100_000
+#: Pairs multiplied out at once.
+VERIFY_PAIRS = 1_000_000
 
 
-def usable(vectors: DataFrame, entry_id: str, group: str, value: str, size: int, k: int) -> DataFrame:
-    """(id, grp, value): usable rows, repeated rows once, of equal vectors the ``k + 1`` least ids.
+def usable(vectors: DataFrame, entry_id: str, group: str, value: str, size: int) -> DataFrame:
+    """(id, grp, value): usable rows, repeated rows once.
 
     Not usable: null ids, vectors that are null, not of ``size`` numbers, all zero, or
     with a null, NaN or infinite number. A null group is a group of its own.
@@ -60,9 +72,13 @@ def usable(vectors: DataFrame, entry_id: str, group: str, value: str, size: int,
     v = F.col("value")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     named = vectors.select(F.col(entry_id).alias("id"), F.col(group).alias("grp"), F.col(value).alias("value"))
-    good = named.where(F.col("id").isNotNull() & (F.size(v) == size) & finite & F.exists(v, lambda x: x != 0)).distinct()
+    return named.where(F.col("id").isNotNull() & (F.size(v) == size) & finite & F.exists(v, lambda x: x != 0)).distinct()
+
+
+def searched(good: DataFrame, k: int) -> DataFrame:
+    """(id, grp, value, place): of equal vectors the ``k + 1`` least ids, in their order."""
     place = F.row_number().over(Window.partitionBy("grp", "value").orderBy("id"))
-    return good.withColumn("_place", place).where(F.col("_place") <= k + 1).drop("_place")
+    return good.withColumn("place", place).where(F.col("place") <= k + 1)
 
 
 def fit_centroids(sample: np.ndarray, cells: int, seed: int = SEED, rounds: int = 6) -> np.ndarray:
@@ -181,37 +197,215 @@ def neighbours(
     value: str = "value",
     size: int = 64,
     k: int = 10,
-    min_cosine: float = 0.9,
+    min_cosine: float | None = 0.9,
     fit_rows: int = FIT_ROWS,
     cell_rows: int = CELL_ROWS,
-    margin: float = MARGIN,
+    margin: float | None = None,
 ) -> DataFrame:
-    """(grp, id, neighbour, cosine, rank): the ``k`` most similar vectors of each, within ``min_cosine``.
+    """(grp, id, neighbour, cosine, rank): the ``k`` most similar vectors of each, within ``min_cosine`` if it is given.
 
     Most similar first, ties by the least id; only vectors of the same group are
     compared. Vectors with nothing within ``min_cosine`` give no rows, nor do unusable
     ones (see ``usable``). Ids are integers. Approximate: recall depends on ``margin``
     and the window settings, and is measured in the tests.
     """
-    spark = vectors.sparkSession
-    at = shared_dir(spark, "vectors")
-    usable(vectors, entry_id, group, value, size, k).write.parquet(at)
-    good = spark.read.parquet(at)
+    good = usable(vectors, entry_id, group, value, size)
+    kept = cut(searched(good, k), "vectors")
+    return _nearest(kept, size, k, min_cosine, fit_rows, cell_rows, margin)
+
+
+def _nearest(kept: DataFrame, size: int, k: int, min_cosine: float | None, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS, margin: float | None = None) -> DataFrame:
+    """``neighbours`` of the searched vectors."""
+    good = kept.select("id", "grp", "value")
     counts = {r.grp: r.n for r in good.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # groups are models: few
     model = _fit(good, size, counts, fit_rows, cell_rows)
-    centres = spark.sparkContext.broadcast(model)
-    most = math.sqrt(max(0.0, 2 - 2 * min_cosine))
+    centres = good.sparkSession.sparkContext.broadcast(model)
+    if min_cosine is None:
+        once = _whole(good, centres, counts, size, k, WHOLE_MARGIN if margin is None else margin)
+    else:
+        once = _within(good, centres, size, k, min_cosine, MARGIN if margin is None else margin)
+    place = F.row_number().over(Window.partitionBy("grp", "a").orderBy(F.desc("cosine"), "b"))
+    ranked = once.withColumn("rank", place).where(F.col("rank") <= k)
+    return ranked.select("grp", F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine", "rank")
+
 
+def _within(good: DataFrame, centres, size: int, k: int, min_cosine: float, margin: float) -> DataFrame:
+    """(grp, a, b, cosine) of pairs within ``min_cosine``, each in both directions."""
+    most = math.sqrt(max(0.0, 2 - 2 * min_cosine))
     routed = good.mapInArrow(_router(centres, size, most, margin), "grp string, cell int, home boolean, id bigint, vec binary")
     routed = _spread(routed, good.mapInArrow(_router(centres, size, most, margin, vectors=False), "grp string, cell int, home boolean"))
     found = routed.groupBy("grp", "cell", "part", "qpart").applyInArrow(_searcher(size, k, min_cosine), "grp string, a bigint, b bigint, cosine double")
     # both directions from one pass over the blocks
     ways = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     both = found.select("grp", ways.alias("_w"), "cosine").select("grp", "_w.a", "_w.b", "cosine")
-    once = both.groupBy("grp", "a", "b").agg(F.max("cosine").alias("cosine"))
-    place = F.row_number().over(Window.partitionBy("grp", "a").orderBy(F.desc("cosine"), "b"))
-    ranked = once.withColumn("rank", place).where(F.col("rank") <= k)
-    return ranked.select("grp", F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine", "rank")
+    return both.groupBy("grp", "a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def _whole(good: DataFrame, centres, counts: dict, size: int, k: int, margin: float) -> DataFrame:
+    """(grp, a, b, cosine): candidates of each vector without a floor, among them its ``k`` best."""
+    at_home = good.mapInArrow(_router(centres, size, 0.0, 0.0), "grp string, cell int, home boolean, id bigint, vec binary").where("home")
+    sizes = at_home.groupBy("grp", "cell").agg(F.count("*").alias("n")).collect()  # at most CELLS_MOST a group
+    large = [(r.grp, r.cell, -(-r.n // BLOCK_ROWS)) for r in sizes if r.n > BLOCK_ROWS]
+    if large:
+        parts = good.sparkSession.createDataFrame(large, "g string, c int, parts int")
+        at_home = at_home.join(F.broadcast(parts), F.col("grp").eqNullSafe(F.col("g")) & (F.col("cell") == F.col("c")), "left")
+        part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
+    else:
+        part = F.lit(0)
+    at_home = at_home.select("grp", "cell", part.cast("int").alias("part"), "id", "vec")
+    bounded = cut(at_home.groupBy("grp", "cell", "part").applyInArrow(_bounder(size, k), "grp string, cell int, part int, id bigint, vec binary, bound double"), "bounds")
+
+    # cells that lie near each other share a block
+    blocks: dict = {}
+    for grp, c in centres.value.items():
+        held = {r.cell: r.n for r in sizes if r.grp == grp}
+        block, room = -1, 0
+        for cell in _chain(c):
+            n = held.get(cell, 0)
+            if n > BLOCK_ROWS:
+                blocks[grp, cell] = (block + 1, -(-n // BLOCK_ROWS))
+                block, room = block + -(-n // BLOCK_ROWS), 0
+            elif n:
+                if n > room:
+                    block, room = block + 1, BLOCK_ROWS
+                blocks[grp, cell] = (block, 1)
+                room -= n
+    asked = {grp: max(1, -(-n // ASK_ROWS)) for grp, n in counts.items()}
+    plan = good.sparkSession.sparkContext.broadcast((blocks, asked))
+    sent = bounded.mapInArrow(_sender(centres, plan, size, margin), "grp string, block int, qpart int, cell int, home int, id bigint, vec binary, bound double")
+    return sent.groupBy("grp", "block", "qpart").applyInArrow(_verifier(centres, size, k, margin), "grp string, a bigint, b bigint, cosine double")
+
+
+def _chain(centres: np.ndarray) -> list[int]:
+    """The cells in an order in which each is followed by the nearest one left."""
+    d = _square_distances(centres, centres)
+    out = [0]
+    d[:, 0] = np.inf
+    while len(out) < len(centres):
+        out.append(int(d[out[-1]].argmin()))
+        d[:, out[-1]] = np.inf
+    return out
+
+
+def _reach(x: np.ndarray, home: np.ndarray, bound: np.ndarray, centres: np.ndarray, margin: float) -> np.ndarray:
+    """Whether a vector at least as similar as ``bound`` may live in each cell."""
+    d = _square_distances(x, centres)
+    gaps = np.sqrt(np.maximum(_square_distances(centres, centres), 0))
+    radius = np.sqrt(np.maximum(2 - 2 * bound, 0))
+    slack = 2 * margin * radius[:, None] / math.sqrt(x.shape[1]) * gaps[home]
+    near = (d - d[np.arange(len(x)), home][:, None] <= slack) | (bound < -1)[:, None]
+    near[np.arange(len(x)), home] = True
+    return near
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (4 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x.astype("<f4").tobytes())])
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, size)
+
+
+def _bounder(size: int, k: int):
+    """Adds the ``k``-th best cosine among the rows, below which no neighbour lies; -2 where there are fewer."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _vectors(table["vec"], size)
+        bound = np.full(len(x), -2.0)
+        if len(x) > k:
+            step = max(1, VERIFY_PAIRS // len(x))
+            for at in range(0, len(x), step):
+                s = x[at : at + step] @ x.T
+                s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
+                bound[at : at + step] = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
+        # a little lower, as the products are of single precision
+        return table.append_column("bound", pa.array(np.where(bound < -1.5, -2.0, bound - 1e-5)))
+
+    return run
+
+
+def _sender(centres, plan, size: int, margin: float):
+    """Each vector once for its own block and query part, and as a query to each block it may have neighbours in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, asked = plan.value
+        for batch in batches:
+            groups = batch.column("grp").to_pylist()
+            for grp in dict.fromkeys(groups):
+                rows = np.flatnonzero([g == grp for g in groups])
+                mine = batch.take(pa.array(rows))
+                x, cell, part, ids, bound = _vectors(mine.column("vec"), size), *(mine.column(c).to_numpy() for c in ("cell", "part", "id", "bound"))
+                c, parts = centres.value[grp], asked[grp]
+                first = np.array([blocks.get((grp, i), (0, 0))[0] for i in range(len(c))])
+                count = np.array([blocks.get((grp, i), (0, 0))[1] for i in range(len(c))])
+                near = _reach(x, cell, bound, c, margin)
+                to = np.zeros((len(x), int((first + count).max())), bool)
+                for i in range(len(c)):
+                    to[:, first[i] : first[i] + count[i]] |= near[:, i, None]
+                i, block = np.nonzero(to)
+                qpart = (ids % parts).astype(np.int32)
+                n = len(x)
+                base = np.repeat(np.arange(n), parts)
+                row = np.r_[i, base]
+                for at in range(0, len(row), 50_000):
+                    s = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([grp] * len(row[s]), pa.string()),
+                            pa.array(np.r_[block, (first[cell] + part)[base]][s].astype(np.int32)),
+                            pa.array(np.r_[qpart[i], np.tile(np.arange(parts), n)][s].astype(np.int32)),
+                            pa.array(cell[row[s]].astype(np.int32)),
+                            pa.array(np.r_[np.zeros(len(i)), np.ones(len(base))][s].astype(np.int32)),
+                            pa.array(ids[row[s]].astype(np.int64)),
+                            _binary(x[row[s]]),
+                            pa.array(bound[row[s]]),
+                        ],
+                        ["grp", "block", "qpart", "cell", "home", "id", "vec", "bound"],
+                    )
+
+    return run
+
+
+def _verifier(centres, size: int, k: int, margin: float):
+    def run(table: pa.Table) -> pa.Table:
+        grp = table["grp"][0].as_py()
+        x, home, cell, ids, bound = _vectors(table["vec"], size), *(table[c].to_numpy() for c in ("home", "cell", "id", "bound"))
+        base = np.flatnonzero(home == 1)
+        base = base[np.argsort(cell[base], kind="stable")]
+        ask = np.flatnonzero(home == 0)
+        cells, starts = np.unique(cell[base], return_index=True)
+        ends = np.r_[starts[1:], len(base)]
+        bases = x[base]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(ask), 2048):
+            some = ask[at : at + 2048]
+            q = x[some]
+            near = _reach(q, cell[some], bound[some], centres.value[grp], margin)
+            least = bound[some].astype(np.float32)
+            pairs = []
+            for c, a, b in zip(cells, starts, ends):
+                who = np.flatnonzero(near[:, c])
+                step = max(1, VERIFY_PAIRS // (b - a))
+                for w in (who[o : o + step] for o in range(0, len(who), step)):
+                    hit = np.flatnonzero(((q[w] @ bases[a:b].T) >= least[w, None]).ravel())
+                    pairs.append((w[hit // (b - a)], a + hit % (b - a)))
+            if not pairs:
+                continue
+            i, j = (np.concatenate(p) for p in zip(*pairs))
+            other = ids[some[i]] != ids[base[j]]
+            i, j = i[other], j[other]
+            cosine = np.concatenate([np.einsum("ij,ij->i", q[i[o : o + 50_000]], bases[j[o : o + 50_000]], dtype=np.float64) for o in range(0, max(1, len(i)), 50_000)])
+            left, right = ids[some[i]], ids[base[j]]
+            order = np.lexsort((right, -cosine, left))
+            left, right, cosine = left[order], right[order], cosine[order]
+            begins = np.flatnonzero(np.r_[True, left[1:] != left[:-1]][: len(left)])
+            keep = np.arange(len(left)) - np.repeat(begins, np.diff(np.r_[begins, len(left)])) < k
+            found.append((left[keep], right[keep], cosine[keep]))
+        a, b, cosine = (np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"grp": pa.array([grp] * len(a), pa.string()), "a": a, "b": b, "cosine": cosine})
+
+    return run
 
 
 def _spread(routed: DataFrame, places: DataFrame) -> DataFrame:
@@ -306,7 +500,9 @@ def _searcher(size: int, k: int, min_cosine: float):
 
 def mutual_pairs(vectors: DataFrame, entry_id: str = "entry_id", k: int = 10, min_cosine: float = 0.9, **more) -> DataFrame:
     """(entry_id_a, entry_id_b), smaller first: each among the ``k`` most similar of the other, within ``min_cosine``."""
-    near = neighbours(vectors, entry_id, k=k, min_cosine=min_cosine, **more)
+    names = {n: more.pop(n, d) for n, d in (("group", "embedder_id"), ("value", "value"), ("size", 64))}
+    kept = cut(searched(usable(vectors, entry_id, **names), k), "vectors")
+    near = _nearest(kept, names["size"], k, min_cosine, **more)
     there = near.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "grp")
     back = near.select(F.col("neighbour").alias("a"), F.col("id").alias("b"), "grp")
     both = there.where("a < b").join(back, (there.a == back.a) & (there.b == back.b) & there.grp.eqNullSafe(back.grp), "left_semi")

@@ -15,8 +15,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The nearest vectors of every cached vector, with their cosines."""
-    near = knn.neighbours(table(spark, folder, "cache_entries"))
+    """The ten nearest vectors of every usable cached vector, however far, with their cosines."""
+    near = knn.neighbours(table(spark, folder, "cache_entries"), min_cosine=None)
     return near.select("grp", "id", "neighbour", F.round("cosine", 4).alias("cosine"), "rank")
 
 

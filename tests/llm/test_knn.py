@@ -105,3 +105,29 @@ def test_windows_count_what_plain_counting_counts():
 def test_tiny_tables(spark, n):
     x = np.ones((n, 64))
     assert len(rows(knn.mutual_pairs(frame(spark, x, range(n))))) == n - 1
+
+
+def lists(df):
+    out = {}
+    for r in df.orderBy("id", "rank").collect():
+        out.setdefault(r.id, []).append(r.neighbour)
+    return out
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_without_a_floor_every_vector_has_k_neighbours(spark, monkeypatch, split):
+    if split:
+        monkeypatch.setattr(knn, "BLOCK_ROWS", 150)
+        monkeypatch.setattr(knn, "ASK_ROWS", 400)
+    x = clustered(1500, 4)
+    want = truth(x, list(range(1500)), 10, -1)
+    got = lists(knn.neighbours(frame(spark, x, range(1500)), min_cosine=None, cell_rows=400 if split else 100))
+    assert set(got) == set(want) and all(len(set(bs)) == 10 for bs in got.values())
+    assert sum(len(set(got[a]) & set(want[a])) for a in want) / 15_000 >= 0.97
+
+
+def test_the_query_has_no_floor(spark, data):
+    from sightline.llm import queries
+
+    near = queries.p1_neighbours(spark, data)
+    assert near.groupBy("grp", "id").count().where("count < 10").count() == 0 and near.where("cosine < 0.9").count() > 0
