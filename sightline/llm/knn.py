@@ -25,7 +25,8 @@ few others meets its whole group, so each gets ``k`` neighbours where there are
 
 Exact copies would fill windows without end: of the vectors of a group that are equal
 number by number only the ``k + 1`` least ids are searched. Similarities of copies tie and
-ties fall to the least id, so mutual pairs lose nothing.
+ties fall to the least id, so mutual pairs lose nothing, and each further copy has the
+neighbours of the last one that is searched; ``neighbours`` gives it these by a join.
 """
 
 from __future__ import annotations
@@ -211,7 +212,16 @@ def neighbours(
     """
     good = usable(vectors, entry_id, group, value, size)
     kept = cut(searched(good, k), "vectors")
-    return _nearest(kept, size, k, min_cosine, fit_rows, cell_rows, margin)
+    near = _nearest(kept, size, k, min_cosine, fit_rows, cell_rows, margin)
+    last = kept.where(F.col("place") == k + 1).select(F.col("grp").alias("g"), F.col("value").alias("v"), F.col("id").alias("last"))
+    if last.isEmpty():
+        return near
+    near = cut(near, "near")
+    further = good.join(last, F.col("grp").eqNullSafe(F.col("g")) & (F.col("value") == F.col("v")) & (F.col("id") > F.col("last"))).select("g", "id", "last")
+    theirs = near.join(last.select("g", "last"), F.col("grp").eqNullSafe(F.col("g")) & (F.col("id") == F.col("last")), "left_semi")
+    lists = theirs.groupBy("grp", F.col("id").alias("_of")).agg(F.collect_list(F.struct("neighbour", "cosine", "rank")).alias("_rows"))
+    rows = further.join(lists, F.col("grp").eqNullSafe(F.col("g")) & (F.col("_of") == F.col("last"))).select("grp", "id", F.explode("_rows").alias("_r"))
+    return near.unionByName(rows.select("grp", "id", "_r.*"))
 
 
 def _nearest(kept: DataFrame, size: int, k: int, min_cosine: float | None, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS, margin: float | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from sightline.llm import knn
 
@@ -131,3 +132,14 @@ def test_the_query_has_no_floor(spark, data):
 
     near = queries.p1_neighbours(spark, data)
     assert near.groupBy("grp", "id").count().where("count < 10").count() == 0 and near.where("cosine < 0.9").count() > 0
+
+
+@pytest.mark.parametrize("least", [None, 0.9])
+def test_every_copy_of_a_vector_has_neighbours(spark, least):
+    x = np.concatenate([np.tile(np.arange(1.0, 65), (60, 1)), clustered(120, 5)])
+    ids = np.random.default_rng(6).permutation(180)
+    near = knn.neighbours(frame(spark, x, ids), k=5, min_cosine=least)
+    got, copies = lists(near), sorted(int(i) for i in ids[:60])
+    assert {i: got[i] for i in copies} == {i: [j for j in copies[:6] if j != i][:5] for i in copies}
+    assert near.count() == sum(map(len, got.values())) and near.where(F.abs(F.col("cosine") - 1) < 1e-6).count() >= 300
+    assert least or set(got) == {int(i) for i in ids}
