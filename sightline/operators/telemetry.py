@@ -209,27 +209,45 @@ def fleet(instances: DataFrame) -> DataFrame:
     return instances.agg(F.count("*").alias("instances"), F.count_if(F.col("state") == "healthy").alias("healthy"), F.count_if(F.col("state") == "stale").alias("stale"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("pending_jobs"), F.lit(0)).alias("pending_jobs"))
 
 
-def reconcile_instances(sightings: DataFrame, rounds: int = 50) -> DataFrame:
+def reconcile_instances(sightings: DataFrame, rounds: int | None = None) -> DataFrame:
     """(sighting, instance): sightings (sighting, key) that share an identity key, directly or through others, are one instance.
 
-    Least label over keys and sightings in turn until nothing changes; each round is
-    two aggregations with map-side combine, so a key shared by very many sightings is
-    no hot spot, and is written to the shared folder.
+    ``instance`` is the least sighting of all that are joined. Each sighting is linked to
+    the least one of its keys; then large stars and small stars in turn hook every sighting
+    to the least neighbour until each hangs on one that hangs on none, which takes rounds
+    that grow with the logarithm of a chain's length. Each round is written to the shared
+    folder. With ``rounds`` given, links not settled after so many raise an error.
     """
     links = cut(sightings.where("sighting IS NOT NULL AND key IS NOT NULL").select("sighting", "key").distinct(), "links")
-    label = sightings.where("sighting IS NOT NULL").select("sighting", F.col("sighting").alias("instance")).distinct()
-    for _ in range(rounds):
-        by_key = links.join(label, "sighting").groupBy("key").agg(F.min("instance").alias("instance"))
-        least = links.join(by_key, "key").groupBy("sighting").agg(F.min("instance").alias("_least"))
-        # jump: take the label of one's label, which halves long chains
-        new = label.join(least, "sighting", "left").select("sighting", F.least("instance", F.coalesce("_least", "instance")).alias("instance"))
-        up = new.select(F.col("sighting").alias("instance"), F.col("instance").alias("_up"))
-        new = cut(new.join(up, "instance", "left").select("sighting", F.least("instance", F.coalesce("_up", "instance")).alias("instance")), "labels")
-        changed = new.join(label.withColumnRenamed("instance", "_was"), "sighting").where("instance <> _was").limit(1).count()
-        label = new
-        if not changed:
-            break
-    return label
+    least = links.groupBy("key").agg(F.min("sighting").alias("v"))
+    edges = cut(links.join(least, "key").where("sighting > v").select(F.col("sighting").alias("u"), "v").distinct(), "edges")
+    done = 0
+    while not _settled(edges):
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"instances have not settled after {rounds} rounds")
+        edges, done = cut(_small_star(_large_star(edges)), "edges"), done + 1
+    every = sightings.where("sighting IS NOT NULL").select("sighting").distinct()
+    return every.join(edges.withColumnRenamed("u", "sighting"), "sighting", "left").select("sighting", F.coalesce("v", "sighting").alias("instance"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each child (u) has one parent (v), which is nobody's child."""
+    several = edges.groupBy("u").count().where("count > 1").select("u")
+    return several.unionByName(edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")).isEmpty()
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Links each greater neighbour of a sighting to the least of it and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Links each lesser neighbour of a sighting, and the sighting, to the least of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    lesser = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return lesser.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
 def simulate(spark, instances: int, events_each: int, start_ms: int = 1_700_000_000_000, seed: int = 7) -> DataFrame:
