@@ -1,4 +1,4 @@
-"""Evaluation passages inside a corpus: SimHash of sliding windows, searched through Hamming blocks.
+"""Evaluation passages inside a corpus: sliding windows, found by SimHash or by shared shingles.
 
 Words are compared without regard to case and to differences that are not seen
 (``lookalike.words``). Each window of ``window`` words, of every passage and of every
@@ -9,6 +9,13 @@ passage windows within the radius. Candidates are verified exactly: the weighted
 Jaccard similarity of the windows' shingles must reach ``similarity``, and windows
 that agree word by word are counted apart.
 
+Equal windows have equal fingerprints, so this finds every one of them
+(``shared_passages``). But windows of 13 words have only nine shingles, and one changed
+word turns more bits than a radius can hold: fingerprints lose most edited windows.
+Without a radius, candidates are therefore found by shared shingles, which loses none: a
+window of ``similarity`` to another shares so much weight with it that it shares one of
+its shingles rarest among the items, of as little weight as may differ.
+
 The corpus streams through once, in Arrow batches, without a shuffle; only hits
 (document, item) are shuffled, after each batch has reduced them to a row a pair.
 The items are a stated query set: they go to the workers in passes of at most
@@ -35,6 +42,8 @@ ITEMS_PER_PASS = 2000
 #: Words of text handled at once; longer texts stand alone.
 CHUNK_WORDS = 8_000
 KNOWN_WORDS = 300_000
+#: Postings of shingles followed at once.
+STEP_POSTINGS = 100_000
 
 HIT_SCHEMA = "doc_id {0}, item_id {1}, windows bigint, exact_windows bigint, similarity double"
 
@@ -83,10 +92,10 @@ class Windows:
     """Windows of one or more texts laid end to end.
 
     ``start``: where each window starts; ``owner``: the text it belongs to;
-    ``prints``: its SimHash; ``shingles``, ``weights``: by position.
+    ``prints``: its SimHash, if wanted; ``shingles``, ``weights``: by position.
     """
 
-    def __init__(self, texts: list[list[tuple[int, int]]], window: int):
+    def __init__(self, texts: list[list[tuple[int, int]]], window: int, prints: bool = True):
         counts = np.array([len(t) for t in texts], np.int64)
         pairs = np.array([p for t in texts for p in t], np.uint64).reshape(-1, 2)
         self.words, lengths = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32)
@@ -107,6 +116,8 @@ class Windows:
             mixed = _mix(mixed + self.words[k : k + n] + np.uint64(k + 1))
             self.weights[:n] += lengths[k : k + n]
         self.shingles[:n] = mixed
+        if not prints:
+            return
         bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         signed = bits.astype(np.int32) * (2 * self.weights[:n, None]) - self.weights[:n, None]
         over = (sliding_sum(signed, per) > 0)[self.start]
@@ -114,12 +125,15 @@ class Windows:
 
 
 class ItemIndex:
-    """Windows of the items, reachable by each block of their fingerprints."""
+    """Windows of the items, reachable by each block of their fingerprints, without a radius by their shingles."""
 
-    def __init__(self, ids: list, passages: list[str | None], window: int, radius: int):
+    def __init__(self, ids: list, passages: list[str | None], window: int, radius: int | None):
         words = Words()
         self.ids, self.window, self.radius = ids, window, radius
-        self.windows = Windows([words.of(p or "") for p in passages], window)
+        self.windows = Windows([words.of(p or "") for p in passages], window, radius is not None)
+        if radius is None:
+            self._post()
+            return
         self.bits = 64 // (radius + 1)
         self.blocks = []
         for b in range(radius + 1):
@@ -128,6 +142,43 @@ class ItemIndex:
             starts = np.searchsorted(key[order], np.arange((1 << self.bits) + 1)) if self.bits <= 16 else None
             self.blocks.append((order, key[order], starts))
 
+    def _post(self) -> None:
+        """Positions of each shingle, and the window that starts at each position (-1: none)."""
+        w = self.windows
+        held = np.unique((w.start[:, None] + np.arange(w.per)).ravel())
+        self.order = held[np.argsort(w.shingles[held], kind="stable")]
+        self.known, self.first, self.count = np.unique(w.shingles[self.order], return_index=True, return_counts=True)
+        self.starting = np.full(len(w.words), -1)
+        self.starting[w.start] = np.arange(len(w.start))
+
+    def sharing(self, texts: Windows, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text window, item window), each once: among them all of at least the similarity ``least``."""
+        span, weights = np.arange(texts.per), texts.weights.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.known, texts.shingles), len(self.known) - 1)
+        count = np.where(self.known[at] == texts.shingles, self.count[at], 0)
+        whole, shared = (np.r_[0, np.cumsum(x)] for x in (weights, weights * (count > 0)))
+        ends = texts.start + texts.per
+        total = whole[ends] - whole[texts.start]
+        live = np.flatnonzero(shared[ends] - shared[texts.start] >= (least - 1e-9) * total)
+        for lo in range(0, len(live), CHUNK_WORDS):
+            mine = live[lo : lo + CHUNK_WORDS]
+            places = texts.start[mine][:, None] + span
+            rarest = np.argsort(count[places], axis=1, kind="stable")
+            places = np.take_along_axis(places, rarest, 1)
+            before = np.cumsum(weights[places], axis=1) - weights[places]
+            n = np.where(before <= (1 - least + 1e-9) * total[mine][:, None], count[places], 0)
+            step = np.cumsum(n.sum(1)) // STEP_POSTINGS
+            for some in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(step)) + 1):
+                i, t = np.nonzero(n[some])
+                i = some[i]
+                many, begin = n[i, t], self.first[at[places[i, t]]]
+                q = self.order[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                starts = q[:, None] - span
+                theirs = np.where(starts >= 0, self.starting[starts], -1).ravel()
+                ours = np.repeat(np.repeat(mine[i], many), texts.per)[theirs >= 0]
+                both = np.unique(ours * len(self.windows.start) + theirs[theirs >= 0])
+                yield both // len(self.windows.start), both % len(self.windows.start)
+
     def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
         return (prints >> np.uint64(b * self.bits)) & np.uint64((1 << self.bits) - 1)
 
@@ -192,14 +243,15 @@ def leaks(
     item_id: str = "item_id",
     passage: str = "passage",
     window: int = WINDOW,
-    radius: int = RADIUS,
+    radius: int | None = None,
     similarity: float = SIMILARITY,
     items_per_pass: int = ITEMS_PER_PASS,
 ) -> DataFrame:
     """(doc_id, item_id, windows, exact_windows, similarity) of every document and item that share text.
 
     ``windows``: window pairs of at least ``similarity``; ``exact_windows``: those that
-    agree word by word; ``similarity``: the greatest. Null, empty and short texts and
+    agree word by word; ``similarity``: the greatest. With a ``radius`` only window pairs
+    whose fingerprints lie within it count, which loses edited ones. Null, empty and short texts and
     passages (under ``window`` words) have no windows and give no rows; repeated rows
     of a document or item change nothing; other columns are ignored.
     """
@@ -232,13 +284,17 @@ def _searcher(index, least: float, docs: DataFrame, item_kind: str):
         words = Words()
         for batch in batches:
             for rows, texts in _chunks(batch, words):
-                docs = Windows(texts, items.window)
-                if not len(docs.prints) or not len(items.windows.prints):
+                docs = Windows(texts, items.window, items.radius is not None)
+                if not len(docs.start) or not len(items.windows.start):
+                    continue
+                found = []
+                for i, j in [items.within_radius(docs.prints)] if items.radius is not None else items.sharing(docs, least):
+                    alike, same = items.verify(docs, i, j)
+                    keep = alike >= least
+                    found.append((i[keep], j[keep], alike[keep], same[keep]))
+                if not found:
                     continue
-                i, j = items.within_radius(docs.prints)
-                alike, same = items.verify(docs, i, j)
-                keep = alike >= least
-                i, j, alike, same = i[keep], j[keep], alike[keep], same[keep]
+                i, j, alike, same = (np.concatenate(x) for x in zip(*found))
                 pair, place = np.unique(np.stack([docs.owner[i], items.windows.owner[j]]), axis=1, return_inverse=True)
                 n = pair.shape[1]
                 top = np.zeros(n)
@@ -259,4 +315,4 @@ def _searcher(index, least: float, docs: DataFrame, item_kind: str):
 
 def shared_passages(documents: DataFrame, items: DataFrame, **more) -> DataFrame:
     """(doc_id, item_id) that share at least ``window`` consecutive words."""
-    return leaks(documents, items, **more).where("exact_windows > 0 AND doc_id IS NOT NULL").select("doc_id", "item_id")
+    return leaks(documents, items, **{"radius": RADIUS} | more).where("exact_windows > 0 AND doc_id IS NOT NULL").select("doc_id", "item_id")

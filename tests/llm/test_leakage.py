@@ -93,3 +93,36 @@ def test_empty_tables(spark):
     d, i = frames(spark, docs, items)
     assert leakage.shared_passages(d.limit(0), i).collect() == []
     assert leakage.shared_passages(d, i.limit(0)).collect() == []
+
+
+def alike(a, b, window=13, shingle=5):
+    """Weighted Jaccard similarities of all windows of two word lists."""
+    out = []
+    for i in range(len(a) - window + 1):
+        for j in range(len(b) - window + 1):
+            x, y = ([tuple(t[k + o : k + o + shingle]) for o in range(window - shingle + 1)] for t, k in ((a, i), (b, j)))
+            wx, wy = ([sum(map(len, s)) for s in t] for t in (x, y))
+            common = min(sum(w for s, w in zip(x, wx) if s in y), sum(w for s, w in zip(y, wy) if s in x))
+            out.append(common / (sum(wx) + sum(wy) - common))
+    return out
+
+
+def test_edited_copies_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "STEP_POSTINGS", 50, raising=False)
+    rng = random.Random(4)
+    items = [(i, " ".join(rng.choices(VOCAB, k=rng.randrange(30, 50)))) for i in range(15)] + [(90, "la " * 20)]
+    docs = []
+    for i, p in items:
+        w = p.split()
+        edited = [f"new{k}" if k % 13 == 6 else x for k, x in enumerate(w)]
+        docs.append((i, " ".join(["before", *edited, "after"])))
+        docs.append((100 + i, " ".join(w[3:15] + ["cut"] + w[15:])))
+    want = {}
+    for d, t in docs:
+        for i, p in items:
+            if s := [x for x in alike(words(t), words(p)) if x >= 0.8]:
+                want[d, i] = (len(s), round(max(s), 9))
+    got = {(r.doc_id, r.item_id): (r.windows, round(r.similarity, 9)) for r in leakage.leaks(*frames(spark, docs, items)).collect()}
+    assert len(want) > 15 and got == want
+    inexact = [r for r in leakage.leaks(*frames(spark, docs, items)).collect() if r.exact_windows == 0]
+    assert inexact
