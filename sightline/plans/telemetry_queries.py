@@ -15,25 +15,58 @@ def _events(spark, folder):
 
 
 def _usable(spark, folder):
+    """Events with a measured latency."""
     return _events(spark, folder).where("latency_us > 0")
 
 
-def tele_summaries(spark, folder):
-    """Statistics of every project, instance and window size."""
-    s = M.search_summaries(_usable(spark, folder))
+def _every(spark, folder):
+    """All events; a latency that was not measured is null, which percentiles pass over."""
+    return _events(spark, folder).withColumn("latency_us", F.expr("CASE WHEN latency_us > 0 THEN latency_us END"))
+
+
+def _failed():
+    return F.coalesce(F.lower(F.trim("phase")) == "refinement_failed", F.lit(False))
+
+
+def _summaries(events):
+    s = M.search_summaries(events)
     return s.select("project_key", "instance_id", "window", "window_start", "events", "p50_us", "p95_us", "p99_us", F.round("avg_results", 6).alias("avg_results"))
 
 
+def tele_summaries(spark, folder):
+    """Statistics of every project, instance and window size, over events with a measured latency."""
+    return _summaries(_usable(spark, folder))
+
+
+def tele_summaries_all(spark, folder):
+    """Statistics of every project, instance and window size, over all events."""
+    return _summaries(_every(spark, folder))
+
+
 def tele_slo(spark, folder):
-    """Failures and health per project and fleet, by day."""
-    w = M.slo_windows(_usable(spark, folder), F.coalesce(F.lower(F.trim("phase")) == "refinement_failed", F.lit(False)), M.DAY)
+    """Failures and health per project and fleet, by day, over events with a measured latency."""
+    w = M.slo_windows(_usable(spark, folder), _failed(), M.DAY)
+    e = M.evaluate_slo(w, "24h", objective=0.95, latency_target_us=10**9)
+    return e.select("scope", "project_key", "window_start", "total", "failed", F.round("error_rate", 9).alias("error_rate"), F.round("budget_consumed", 9).alias("budget_consumed"), "health")
+
+
+def tele_slo_all(spark, folder):
+    """Failures and health per project and fleet, by day, over all events."""
+    w = M.slo_windows(_every(spark, folder), _failed(), M.DAY)
     e = M.evaluate_slo(w, "24h", objective=0.95, latency_target_us=10**9)
     return e.select("scope", "project_key", "window_start", "total", "failed", F.round("error_rate", 9).alias("error_rate"), F.round("budget_consumed", 9).alias("budget_consumed"), "health")
 
 
 def tele_anomalies(spark, folder):
-    """Fleet and project days whose errors are twice those before."""
-    w = M.slo_windows(_usable(spark, folder), F.coalesce(F.lower(F.trim("phase")) == "refinement_failed", F.lit(False)), M.DAY)
+    """Fleet and project days whose errors are twice those before, over events with a measured latency."""
+    w = M.slo_windows(_usable(spark, folder), _failed(), M.DAY)
+    a = M.anomalies(M.evaluate_slo(w, "24h"))
+    return a.where("metric = 'error_rate'").select("scope", "project_key", "window_start", F.round("observed", 9).alias("observed"), F.round("baseline", 9).alias("baseline"), "severity")
+
+
+def tele_anomalies_all(spark, folder):
+    """Fleet and project days whose errors are twice those before, over all events."""
+    w = M.slo_windows(_every(spark, folder), _failed(), M.DAY)
     a = M.anomalies(M.evaluate_slo(w, "24h"))
     return a.where("metric = 'error_rate'").select("scope", "project_key", "window_start", F.round("observed", 9).alias("observed"), F.round("baseline", 9).alias("baseline"), "severity")
 
@@ -112,7 +145,7 @@ def jobs_status(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    tele_summaries, tele_slo, tele_anomalies, tele_latest, tele_throughput, tele_retention, tele_sessions, tele_instances,
+    tele_summaries, tele_summaries_all, tele_slo, tele_slo_all, tele_anomalies, tele_anomalies_all, tele_latest, tele_throughput, tele_retention, tele_sessions, tele_instances,
     jobs_ledger, jobs_changes, jobs_staleness, jobs_coverage, jobs_replay, jobs_status,
 )}
 
