@@ -51,10 +51,11 @@ def tele_slo(spark, folder):
 
 
 def tele_slo_all(spark, folder):
-    """Failures and health per project and fleet, by day, over all events."""
+    """Failures, latency and health per project and fleet, by day, over all events."""
     w = M.slo_windows(_every(spark, folder), _failed(), M.DAY)
-    e = M.evaluate_slo(w, "24h", objective=0.95, latency_target_us=10**9)
-    return e.select("scope", "project_key", "window_start", "total", "failed", F.round("error_rate", 9).alias("error_rate"), F.round("budget_consumed", 9).alias("budget_consumed"), "health")
+    e = M.evaluate_slo(w, "24h", objective=0.95)
+    rounded = [F.round(c, 9).alias(c) for c in ("error_rate", "budget_consumed", "latency_ratio")]
+    return e.select("scope", "project_key", "window_start", "total", "failed", "p95_us", *rounded, "health", "reason")
 
 
 def tele_anomalies(spark, folder):
@@ -65,10 +66,10 @@ def tele_anomalies(spark, folder):
 
 
 def tele_anomalies_all(spark, folder):
-    """Fleet and project days whose errors are twice those before, over all events."""
+    """Fleet and project days whose errors or latencies are twice those before, over all events."""
     w = M.slo_windows(_every(spark, folder), _failed(), M.DAY)
     a = M.anomalies(M.evaluate_slo(w, "24h"))
-    return a.where("metric = 'error_rate'").select("scope", "project_key", "window_start", F.round("observed", 9).alias("observed"), F.round("baseline", 9).alias("baseline"), "severity")
+    return a.select("scope", "project_key", "metric", "window_start", F.round("observed", 9).alias("observed"), F.round("baseline", 9).alias("baseline"), "severity")
 
 
 def tele_latest(spark, folder):
