@@ -8,6 +8,7 @@ corpus or the graph stays a join or an aggregation.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -150,30 +151,36 @@ def smooth_ranked(hits: DataFrame, edges: DataFrame, **more) -> DataFrame:
 def hubness(corpus: DataFrame, sample: DataFrame, kq: int = 10, doc_id: str = "doc_id", value: str = "embedding") -> DataFrame:
     """(doc_id, r): mean of a document's ``kq`` greatest dot products with a stated sample of queries.
 
-    The sample is broadcast, and bounded; every batch reduces to one row a document,
-    so nothing is shuffled.
+    The sample is broadcast in blocks of at most ``HUBNESS_SAMPLE`` queries, a pass over
+    the corpus each, which carries every document's greatest scores so far; nothing is
+    shuffled.
     """
     import pyarrow as pa
 
-    rows = sample.select(F.col(value).alias("v")).where("v IS NOT NULL").limit(HUBNESS_SAMPLE + 1).collect()
-    if len(rows) > HUBNESS_SAMPLE:
-        raise ValueError(f"the sample has more than {HUBNESS_SAMPLE} queries")
-    held = corpus.sparkSession.sparkContext.broadcast(np.array([r.v for r in rows], np.float64).reshape(len(rows), -1))
     named = corpus.select(F.col(doc_id).alias("doc_id"), F.col(value).alias("v")).where("v IS NOT NULL")
     kind = named.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        q = held.value
-        for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            s = x @ q.T
-            k = min(kq, s.shape[1])
-            top = -np.partition(-s, k - 1, axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top.mean(1))], ["doc_id", "r"])
-
-    return named.mapInArrow(run, f"doc_id {kind}, r double")
+    best = named.withColumn("top", F.array().cast("array<double>"))
+    queries = sample.select(F.col(value).alias("v")).where("v IS NOT NULL").toLocalIterator()
+    passes = 0
+    while rows := list(islice(queries, HUBNESS_SAMPLE)):
+        held = corpus.sparkSession.sparkContext.broadcast(np.array([r.v for r in rows], np.float64))
+
+        def run(batches, held=held):
+            q = held.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+                s = np.hstack([batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1), x @ q.T])
+                k = min(kq, s.shape[1])
+                top = -np.partition(-s, k - 1, axis=1)[:, :k]
+                tops = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, k), pa.int32()), pa.array(top.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tops], ["doc_id", "v", "top"])
+
+        best = (cut(best, "hubness") if passes else best).mapInArrow(run, f"doc_id {kind}, v {named.schema['v'].dataType.simpleString()}, top array<double>")
+        passes += 1
+    mean = F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")
+    return best.where(F.size("top") > 0).select("doc_id", mean.alias("r"))
 
 
 def hubness_penalty(hits: DataFrame, hubs: DataFrame, beta: float = 0.5) -> DataFrame:
