@@ -4,7 +4,15 @@ Each block of vectors keeps one sorted array per random projection. A query's wi
 in each array is centred on the query's own projection; a vector in at least
 ``THRESHOLD`` of the ``PROJECTIONS`` windows is verified by its exact cosine. Windows
 begin narrow and are widened by virtual rehashing, until a query has ``k`` verified
-vectors within the current radius or the radius is that of ``min_cosine``.
+vectors within the current radius or the radius is that of ``min_cosine``. Widened
+windows add to the counts only what they gained.
+
+How windows are walked: a block's vectors are numbered in the order of its first array,
+which runs along the block's longest axis, and cut into stripes of ``STRIPE`` vectors. A
+query looks only into the stripes its window of the first array reaches. In a stripe each
+sorted array is held as the sets of vectors up to each of its marks, as bits, so a window is
+the difference of two sets and 64 vectors are counted by each machine instruction. Windows
+end at marks, which makes them at most two marks too wide, never too narrow.
 
 Blocks: a query can only match what is near it, so vectors are first routed to cells
 around centroids. The centroids are fitted on at most ``FIT_ROWS`` rows of a group;
@@ -12,9 +20,12 @@ every row is indexed. A vector lives in the cell of its nearest centroid and is
 sent, as a query, to each cell in which a vector within the radius may live, up to
 ``MARGIN`` standard deviations of the difference in distance such a vector can make;
 the number of these cells has no cap. A pair is found from either side, so one that
-a border parts is lost only if both lie further than that from it. Cells with more vectors than a block should
-hold, or more queries, are split into a grid of blocks by hashes of the id, so a task's
-memory is bounded and no pair is lost.
+a border parts is lost only if both lie further than that from it. There are as many cells
+as their size asks for: where a group needs more than ``CELLS_MOST``, its cells have
+cells of their own, fitted cell by cell on the executors. Cells with more vectors than a
+block should hold (a crowd of like vectors), or more queries, are split into a grid of blocks by
+hashes of the id; no pair is lost. How many a cell holds is estimated from the fitted
+rows, three standard deviations up, so vectors are routed once.
 
 Without a floor (``min_cosine`` None) the radius is each query's own. Windows and cells
 are first widened to the query's whole cell (a part of it, if it is large), whose k-th
@@ -44,22 +55,31 @@ from sightline.session import cut
 #: Rows of a group its centroids are fitted on, at most.
 FIT_ROWS = 16_384
 #: Vectors a cell should hold, and a block may hold.
-CELL_ROWS = 1_500
+CELL_ROWS = 3_000
 BLOCK_ROWS = 12_000
 #: Queries a block may hold.
 QUERY_ROWS = 100_000
-CELLS_MOST = 1_024
-PROJECTIONS = 20
-THRESHOLD = 12
+#: Cells of a level; with two levels 262,144 cells a group, whose centroids take 67 MB.
+CELLS_MOST = 512
+#: Rows each centroid of the second level is fitted on, about.
+SUB_ROWS = 16
+PROJECTIONS = 32
+THRESHOLD = 20
 #: Half a window, in standard deviations of the projected difference of a pair at the radius.
 WIDTH = 1.25
+#: The same in the first array when it picks stripes.
+REACH = 3.0
+#: Vectors of a stripe; marks of a sorted array.
+STRIPE = 2_048
+MARKS = 254
 MARGIN = 1.5
 #: The same without a floor, where true neighbours are rarely close; and queries of a block there.
 WHOLE_MARGIN = 3.0
 ASK_ROWS = 30_000
 SEED = 20_240_229
-#: Pairs counted at once: the counters stay in a core's cache.
-STEP_PAIRS = 100_000
+#: Queries searched at once, and words of 64 pairs counted at once: the counters stay in a core's cache.
+STEP_QUERIES = 4_096
+STEP_WORDS = 16_384
 #: Pairs multiplied out at once.
 VERIFY_PAIRS = 1_000_000
 
@@ -104,85 +124,214 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([_square_distances(x[a : a + 4096], centres).argmin(1) for a in range(0, len(x), 4096)])
 
 
-def _unit(batch: pa.RecordBatch, column: int, size: int) -> np.ndarray:
-    flat = batch.column(column).flatten().to_numpy(zero_copy_only=False)
-    x = flat.reshape(-1, size).astype(np.float64)
-    x /= np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+def _units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _raw(batch: pa.RecordBatch, column: int, size: int) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+class Counts:
+    """Counters of one word of pairs each, kept as bit planes and added to without carrying further than needed."""
+
+    def __init__(self) -> None:
+        self.free: dict[tuple[int, int], list[np.ndarray]] = {}
+
+    def buffer(self, shape: tuple[int, int]) -> np.ndarray:
+        held = self.free.setdefault(shape, [])
+        return held.pop() if held else np.empty(shape, np.uint64)
+
+    def release(self, *arrays: np.ndarray) -> None:
+        for a in arrays:
+            self.free.setdefault(a.shape, []).append(a)
+
+    def add(self, planes: list[list[np.ndarray]], bits: np.ndarray, level: int = 0) -> None:
+        """Adds ``bits`` times 2 ** level; three numbers of a level become one and a carry."""
+        if len(planes) <= level:
+            planes.append([])
+        here = planes[level]
+        here.append(bits)
+        if len(here) == 3:
+            a, b, c = here
+            total = np.bitwise_xor(a, b, out=self.buffer(a.shape))
+            np.bitwise_and(a, b, out=a)
+            np.bitwise_and(total, c, out=b)
+            np.bitwise_or(a, b, out=a)
+            np.bitwise_xor(total, c, out=total)
+            self.release(b, c)
+            planes[level] = [total]
+            self.add(planes, a, level + 1)
+
+    def settle(self, planes: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """One number a level: the bit planes."""
+        level = 0
+        while level < len(planes):
+            if len(planes[level]) == 2:
+                a, b = planes[level]
+                total = np.bitwise_xor(a, b, out=self.buffer(a.shape))
+                np.bitwise_and(a, b, out=a)
+                self.release(b)
+                planes[level] = [total]
+                self.add(planes, a, level + 1)
+            level += 1
+        return [p[0] for p in planes]
+
+    def reached(self, planes: list[np.ndarray], threshold: int) -> np.ndarray:
+        """Bits of the counters that are at least ``threshold``."""
+        out = self.buffer(planes[0].shape)
+        out.fill(np.uint64(0) if threshold >> len(planes) else ~np.uint64(0))
+        for level, plane in enumerate(planes):
+            (np.bitwise_and if threshold >> level & 1 else np.bitwise_or)(out, plane, out=out)
+        return out
+
+
+class Stripe:
+    """Some vectors of a block: for each projection and mark the set of those before it."""
+
+    def __init__(self, place: np.ndarray, low: np.float32, high: np.float32):
+        """``place``: the mark each vector lies at, by projection; ``low``, ``high``: its span of the first array."""
+        self.low, self.high = low, high
+        n = place.shape[1]
+        self.sets = np.empty((len(place), MARKS + 2, -(-n // 64)), np.uint64)
+        member, rows = np.zeros((MARKS + 2, self.sets.shape[2] * 64), np.uint8), np.arange(n)
+        for sets, mine in zip(self.sets, place):
+            member[mine + 1, rows] = 1
+            np.bitwise_or.accumulate(np.packbits(member, axis=1, bitorder="little").view(np.uint64), axis=0, out=sets)
+            member[mine + 1, rows] = 0
+
+    def count(self, counts: Counts, low: np.ndarray, high: np.ndarray, held: list[np.ndarray] | None = None, low_held: np.ndarray | None = None, high_held: np.ndarray | None = None) -> list[np.ndarray]:
+        """Bit planes of how many windows of each query hold each vector; added to ``held``, of the windows held before, if given."""
+        shape = low.shape[1], self.sets.shape[2]
+        planes = [[p] for p in held] if held else []
+        for j, sets in enumerate(self.sets):
+            bits, other = counts.buffer(shape), counts.buffer(shape)
+            for at, ends in enumerate((low, high) if held is None else (low, low_held, high_held, high)):
+                np.take(sets, ends[j], axis=0, out=other if at else bits, mode="clip")
+                if at:
+                    np.bitwise_xor(bits, other, out=bits)
+            counts.release(other)
+            counts.add(planes, bits)
+        return counts.settle(planes)
 
 
 class Block:
-    """One sorted array per projection over the vectors of a block."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, directions: np.ndarray):
-        self.ids, self.x, self.directions = ids, x, directions
-        projected = x @ directions.T
-        order = np.argsort(projected, axis=0)
-        self.sorted = np.take_along_axis(projected, order, axis=0)
-        # each vector's place in each sorted array
-        self.place = np.empty((len(directions), len(x)), np.uint16 if len(x) <= 0xFFFF else np.uint32)
-        for j in range(len(directions)):
-            self.place[j, order[:, j]] = np.arange(len(x))
+    """One sorted array per projection over the vectors of a block, held by stripes of the first."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, count: int = PROJECTIONS, seed: int = SEED):
+        single = x.astype(np.float32)
+        self.directions = _directions(single, count, seed)
+        projected = single @ self.directions.T
+        order = np.argsort(projected[:, 0], kind="stable")
+        self.ids, self.x, projected = ids[order], x[order], projected[order]
+        self.low = projected.min(0)
+        self.mark = np.maximum((projected.max(0) - self.low) / MARKS, np.float32(1e-9)) * np.float32(1.000001)
+        place = np.minimum((projected - self.low) / self.mark, MARKS).astype(np.int64).T
+        self.starts = np.arange(0, len(x), STRIPE)
+        self.stripes = [Stripe(place[:, a : a + STRIPE], projected[a, 0], projected[min(a + STRIPE, len(x)) - 1, 0]) for a in self.starts]
 
     def windows(self, projected: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        """First place and length of each query's window in each sorted array."""
-        kind = self.place.dtype
-        low = np.stack([np.searchsorted(self.sorted[:, j], projected[:, j] - half, "left") for j in range(projected.shape[1])])
-        high = np.stack([np.searchsorted(self.sorted[:, j], projected[:, j] + half, "right") for j in range(projected.shape[1])])
-        return low.astype(kind), (high - low).astype(kind)
-
-    def colliding(self, projected: np.ndarray, half: float, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) pairs that share at least ``threshold`` windows."""
-        low, length = self.windows(projected, half)
-        shape = projected.shape[0], len(self.x)
-        count, gap, inside = np.zeros(shape, np.uint8), np.empty(shape, self.place.dtype), np.empty(shape, bool)
-        for j in range(len(self.directions)):
-            # unsigned difference: places before the window wrap around beyond its length
-            np.subtract(self.place[j][None, :], low[j][:, None], out=gap)
-            np.less(gap, length[j][:, None], out=inside)
-            np.add(count, inside.view(np.uint8), out=count)
-        hit = np.flatnonzero(count.ravel() >= threshold)
-        return hit // shape[1], hit % shape[1]
-
-    def search(self, ids: np.ndarray, q: np.ndarray, k: int, min_cosine: float, radii: list[float], width: float, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First mark of each query's window in each sorted array, and the mark behind its last, by projection."""
+        low = np.clip(np.floor((projected - half - self.low) / self.mark), 0, MARKS + 1)
+        high = np.clip(np.floor((projected + half - self.low) / self.mark) + 1, 0, MARKS + 1)
+        return np.ascontiguousarray(low.T.astype(np.intp)), np.ascontiguousarray(np.maximum(low, high).T.astype(np.intp))
+
+    def colliding(self, projected: np.ndarray, todo: np.ndarray, half: float, threshold: int, held: dict, counts: Counts, keep: bool, before: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) of the queries ``todo`` that share at least ``threshold`` windows of half-width ``half``.
+
+        ``held``: by stripe, the queries counted at the half-width ``before`` and their bit
+        planes, which are added to, and replaced if ``keep``.
+        """
+        first, reach = projected[:, 0], half * (REACH / WIDTH)
+        mine, theirs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, stripe in enumerate(self.stripes):
+            near = todo[(first[todo] + reach >= stripe.low) & (first[todo] - reach <= stripe.high)]
+            known, planes_held = held.pop(n, (np.zeros(0, np.int64), []))
+            again = np.isin(known, near, assume_unique=True)
+            new = np.setdiff1d(near, known[again], assume_unique=True)
+            parts = []
+            step = max(1, STEP_WORDS // stripe.sets.shape[2])
+            for at in range(0, len(new), step):
+                some = new[at : at + step]
+                parts.append((some, stripe.count(counts, *self.windows(projected[some], half))))
+                self._take(parts, n, threshold, counts, mine, theirs, keep)
+            places = np.flatnonzero(again)
+            for at in range(0, len(places), step):
+                rows = places[at : at + step]
+                some = known[rows]
+                old = [np.take(p, rows, axis=0) for p in planes_held]
+                parts.append((some, stripe.count(counts, *self.windows(projected[some], half), old, *self.windows(projected[some], before))))
+                self._take(parts, n, threshold, counts, mine, theirs, keep)
+            if keep and parts:
+                depth = max(len(p) for _, p in parts)
+                full = [p + [np.zeros_like(p[0])] * (depth - len(p)) for _, p in parts]
+                held[n] = np.concatenate([q for q, _ in parts]), [np.concatenate([p[level] for p in full]) for level in range(depth)]
+        return np.concatenate(mine), np.concatenate(theirs)
+
+    def _take(self, parts: list, n: int, threshold: int, counts: Counts, mine: list, theirs: list, keep: bool) -> None:
+        some, planes = parts[-1]
+        hit = counts.reached(planes, threshold)
+        words = np.flatnonzero(hit)
+        i, bit = np.nonzero(np.unpackbits(hit.ravel()[words].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        mine.append(some[words[i] // hit.shape[1]])
+        theirs.append(self.starts[n] + words[i] % hit.shape[1] * 64 + bit)
+        counts.release(hit)
+        if not keep:
+            parts.pop()
+            counts.release(*planes)
+
+    def search(self, ids: np.ndarray, q: np.ndarray, k: int, min_cosine: float, radii: list[float], width: float = WIDTH, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, id, cosine): up to ``k`` verified vectors of each query, most similar first, ties by id."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(1, STEP_PAIRS // max(1, len(self.x)))
-        scale = 1 / math.sqrt(q.shape[1])
-        for at in range(0, len(q), step):
-            mine, x = ids[at : at + step], q[at : at + step]
-            projected = x @ self.directions.T
-            todo = np.arange(len(mine))
+        scale, counts = width / math.sqrt(q.shape[1]), Counts()
+        for at in range(0, len(q), STEP_QUERIES):
+            mine, x = ids[at : at + STEP_QUERIES], q[at : at + STEP_QUERIES]
+            projected = x.astype(np.float32) @ self.directions.T
+            todo, held = np.arange(len(mine)), {}
             for n, radius in enumerate(radii):
-                i, j = self.colliding(projected[todo], width * radius * scale, threshold)
-                i = todo[i]
+                last = n == len(radii) - 1
+                i, j = self.colliding(projected, todo, radius * scale, threshold, held, counts, not last, radii[n - 1] * scale if n else 0.0)
                 other = mine[i] != self.ids[j]
                 i, j = i[other], j[other]
-                cosine = np.einsum("ij,ij->i", x[i], self.x[j], dtype=np.float64)
+                cosine = _dots(x, i, self.x, j)
                 within = cosine >= max(min_cosine, 1 - radius * radius / 2)
                 i, j, cosine = i[within], j[within], cosine[within]
-                last = n == len(radii) - 1
                 done = np.bincount(i, minlength=len(mine)) >= k
                 take = np.ones(len(i), bool) if last else done[i]
                 out.append((mine[i[take]], self.ids[j[take]], cosine[take]))
-                if last:
-                    break
                 todo = todo[~done[todo]]
                 if not len(todo):
                     break
-        a, b, cosine = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((b, -cosine, a))
-        a, b, cosine = a[order], b[order], cosine[order]
-        new = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        place = np.arange(len(a)) - starts[np.cumsum(new) - 1] if len(a) else np.zeros(0, int)
-        keep = place < k
-        return a[keep], b[keep], cosine[keep]
+        return _best(*(np.concatenate(o) for o in zip(*out)), k)
+
 
+def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """Products of the rows ``i`` of ``x`` with the rows ``j`` of ``y``."""
+    return np.concatenate([np.einsum("ij,ij->i", x[i[a : a + step]], y[j[a : a + step]]) for a in range(0, max(1, len(i)), step)])
 
-def _directions(count: int, size: int, seed: int) -> np.ndarray:
-    d = np.random.default_rng(seed).standard_normal((count, size))
-    return (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
+
+def _best(a: np.ndarray, b: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` rows of each ``a`` of greatest ``cosine``, ties by ``b``."""
+    order = np.lexsort((b, -cosine, a))
+    a, b, cosine = a[order], b[order], cosine[order]
+    begins = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
+    keep = np.arange(len(a)) - np.repeat(begins, np.diff(np.r_[begins, len(a)])) < k
+    return a[keep], b[keep], cosine[keep]
+
+
+def _directions(x: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """Orthonormal directions: the longest axis of ``x`` first, the others at random (more than its size repeat at random)."""
+    size, rng = x.shape[1], np.random.default_rng(seed)
+    spread = x[:: max(1, len(x) // 2_048)]
+    axis = np.linalg.eigh(np.cov(spread.T) if len(spread) > 1 else np.eye(size))[1][:, -1:]
+    rounds = []
+    while sum(r.shape[1] for r in rounds) < count:
+        first = axis if not rounds else rng.standard_normal((size, 1))
+        rounds.append(np.linalg.qr(np.concatenate([first, rng.standard_normal((size, size - 1))], axis=1))[0])
+    return np.ascontiguousarray(np.concatenate(rounds, axis=1)[:, :count].T, np.float32)
 
 
 def _radii(min_cosine: float) -> list[float]:
@@ -202,6 +351,7 @@ def neighbours(
     fit_rows: int = FIT_ROWS,
     cell_rows: int = CELL_ROWS,
     margin: float | None = None,
+    cells_most: int = CELLS_MOST,
 ) -> DataFrame:
     """(grp, id, neighbour, cosine, rank): the ``k`` most similar vectors of each, within ``min_cosine`` if it is given.
 
@@ -212,7 +362,7 @@ def neighbours(
     """
     good = usable(vectors, entry_id, group, value, size)
     kept = cut(searched(good, k), "vectors")
-    near = _nearest(kept, size, k, min_cosine, fit_rows, cell_rows, margin)
+    near = _nearest(kept, size, k, min_cosine, fit_rows, cell_rows, margin, cells_most)
     last = kept.where(F.col("place") == k + 1).select(F.col("grp").alias("g"), F.col("value").alias("v"), F.col("id").alias("last"))
     if last.isEmpty():
         return near
@@ -224,36 +374,70 @@ def neighbours(
     return near.unionByName(rows.select("grp", "id", "_r.*"))
 
 
-def _nearest(kept: DataFrame, size: int, k: int, min_cosine: float | None, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS, margin: float | None = None) -> DataFrame:
+def _nearest(kept: DataFrame, size: int, k: int, min_cosine: float | None, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS, margin: float | None = None, cells_most: int = CELLS_MOST) -> DataFrame:
     """``neighbours`` of the searched vectors."""
     good = kept.select("id", "grp", "value")
     counts = {r.grp: r.n for r in good.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # groups are models: few
-    model = _fit(good, size, counts, fit_rows, cell_rows)
-    centres = good.sparkSession.sparkContext.broadcast(model)
+    most = 0.0 if min_cosine is None else math.sqrt(max(0.0, 2 - 2 * min_cosine))
+    margin = margin if margin is not None else WHOLE_MARGIN if min_cosine is None else MARGIN
+    model = _fit(good, size, counts, fit_rows, cell_rows, cells_most, most, margin)
     if min_cosine is None:
-        once = _whole(good, centres, counts, size, k, WHOLE_MARGIN if margin is None else margin)
+        once = _whole(good, good.sparkSession.sparkContext.broadcast({g: m.centres for g, m in model.items()}), counts, size, k, margin)
     else:
-        once = _within(good, centres, size, k, min_cosine, MARGIN if margin is None else margin)
+        once = _within(good, _deepen(good, model, size, cell_rows, cells_most, most, margin), size, k, min_cosine, margin)
     place = F.row_number().over(Window.partitionBy("grp", "a").orderBy(F.desc("cosine"), "b"))
     ranked = once.withColumn("rank", place).where(F.col("rank") <= k)
     return ranked.select("grp", F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine", "rank")
 
 
-def _within(good: DataFrame, centres, size: int, k: int, min_cosine: float, margin: float) -> DataFrame:
+def _within(good: DataFrame, model: dict, size: int, k: int, min_cosine: float, margin: float) -> DataFrame:
     """(grp, a, b, cosine) of pairs within ``min_cosine``, each in both directions."""
     most = math.sqrt(max(0.0, 2 - 2 * min_cosine))
-    routed = good.mapInArrow(_router(centres, size, most, margin), "grp string, cell int, home boolean, id bigint, vec binary")
-    routed = _spread(routed, good.mapInArrow(_router(centres, size, most, margin, vectors=False), "grp string, cell int, home boolean"))
-    found = routed.groupBy("grp", "cell", "part", "qpart").applyInArrow(_searcher(size, k, min_cosine), "grp string, a bigint, b bigint, cosine double")
+    sent = good.mapInArrow(_router(good.sparkSession.sparkContext.broadcast(model), size, most, margin), "grp string, cell int, part int, qpart int, id bigint, vec binary, role int")
+    found = sent.groupBy("grp", "cell", "part", "qpart").applyInArrow(_searcher(size, k, min_cosine), "grp string, a bigint, b bigint, cosine double")
     # both directions from one pass over the blocks
     ways = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     both = found.select("grp", ways.alias("_w"), "cosine").select("grp", "_w.a", "_w.b", "cosine")
     return both.groupBy("grp", "a", "b").agg(F.max("cosine").alias("cosine"))
 
 
+class Cells:
+    """Centroids of a group or of one of its cells, what each is expected to hold, and the cells below."""
+
+    def __init__(self, sample: np.ndarray, centres: np.ndarray, share: float, most: float, margin: float):
+        """``sample``: unit vectors, each standing for ``1 / share`` rows."""
+        self.centres = centres
+        self.gaps = np.sqrt(np.maximum(_square_distances(centres, centres), 0))
+        i, cell, home = self.route(sample, most, margin)
+        self.rows, self.asks = (_expected(np.bincount(c, minlength=len(centres)), share) for c in (home, cell))
+        self.below: dict[int, Cells] = {}
+        self.offset = 0
+
+    def route(self, x: np.ndarray, most: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell) of every cell a row is sent to, and the home of every row."""
+        d = _square_distances(x, self.centres)
+        home = d.argmin(1)
+        # a vector at the radius moves this difference by 2 * radius * gap / sqrt(size), one deviation
+        slack = 2 * margin * most / math.sqrt(x.shape[1]) * self.gaps[home]
+        i, cell = np.nonzero(d - d[np.arange(len(x)), home][:, None] <= slack)
+        return i, cell, home
+
+    def number(self, offset: int = 0) -> int:
+        """Gives each cell that has none below it a number of its own; returns the next free one."""
+        self.offset, offset = offset, offset + len(self.centres)
+        for cells in self.below.values():
+            offset = cells.number(offset)
+        return offset
+
+
+def _expected(held: np.ndarray, share: float) -> np.ndarray:
+    """Rows of each cell from those of the sample, three standard deviations up; exact if all rows are in it."""
+    return held / share + (3 * np.sqrt(held + 1) / share if share < 1 else 0)
+
+
 def _whole(good: DataFrame, centres, counts: dict, size: int, k: int, margin: float) -> DataFrame:
     """(grp, a, b, cosine): candidates of each vector without a floor, among them its ``k`` best."""
-    at_home = good.mapInArrow(_router(centres, size, 0.0, 0.0), "grp string, cell int, home boolean, id bigint, vec binary").where("home")
+    at_home = good.mapInArrow(_housed(centres, size), "grp string, cell int, id bigint, vec binary")
     sizes = at_home.groupBy("grp", "cell").agg(F.count("*").alias("n")).collect()  # at most CELLS_MOST a group
     large = [(r.grp, r.cell, -(-r.n // BLOCK_ROWS)) for r in sizes if r.n > BLOCK_ROWS]
     if large:
@@ -314,14 +498,42 @@ def _binary(x: np.ndarray) -> pa.Array:
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    """The numbers as they came."""
     return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, size)
 
 
+def _singles(raw: np.ndarray) -> np.ndarray:
+    return _units(raw).astype(np.float32)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
+    """(group, ids, numbers) of the rows (id, grp, value), some thousand at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, groups, x = batch.column(0).to_numpy(), batch.column(1).to_pylist(), _raw(batch, 2, size)
+        for grp in dict.fromkeys(groups):
+            rows = np.flatnonzero([g == grp for g in groups])
+            for at in range(0, len(rows), 4096):
+                yield grp, ids[rows[at : at + 4096]], x[rows[at : at + 4096]]
+
+
+def _housed(centres, size: int):
+    """Each vector with the cell of its nearest centroid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grp, ids, x in _by_group(batches, size):
+            cell = nearest(_singles(x), centres.value[grp])
+            yield pa.RecordBatch.from_arrays([pa.array([grp] * len(ids), pa.string()), pa.array(cell.astype(np.int32)), pa.array(ids.astype(np.int64)), _binary(x)], ["grp", "cell", "id", "vec"])
+
+    return run
+
+
 def _bounder(size: int, k: int):
     """Adds the ``k``-th best cosine among the rows, below which no neighbour lies; -2 where there are fewer."""
 
     def run(table: pa.Table) -> pa.Table:
-        x = _vectors(table["vec"], size)
+        x = _singles(_vectors(table["vec"], size))
         bound = np.full(len(x), -2.0)
         if len(x) > k:
             step = max(1, VERIFY_PAIRS // len(x))
@@ -345,17 +557,17 @@ def _sender(centres, plan, size: int, margin: float):
             for grp in dict.fromkeys(groups):
                 rows = np.flatnonzero([g == grp for g in groups])
                 mine = batch.take(pa.array(rows))
-                x, cell, part, ids, bound = _vectors(mine.column("vec"), size), *(mine.column(c).to_numpy() for c in ("cell", "part", "id", "bound"))
+                raw, cell, part, ids, bound = _vectors(mine.column("vec"), size), *(mine.column(c).to_numpy() for c in ("cell", "part", "id", "bound"))
                 c, parts = centres.value[grp], asked[grp]
                 first = np.array([blocks.get((grp, i), (0, 0))[0] for i in range(len(c))])
                 count = np.array([blocks.get((grp, i), (0, 0))[1] for i in range(len(c))])
-                near = _reach(x, cell, bound, c, margin)
-                to = np.zeros((len(x), int((first + count).max())), bool)
+                near = _reach(_singles(raw), cell, bound, c, margin)
+                to = np.zeros((len(raw), int((first + count).max())), bool)
                 for i in range(len(c)):
                     to[:, first[i] : first[i] + count[i]] |= near[:, i, None]
                 i, block = np.nonzero(to)
                 qpart = (ids % parts).astype(np.int32)
-                n = len(x)
+                n = len(raw)
                 base = np.repeat(np.arange(n), parts)
                 row = np.r_[i, base]
                 for at in range(0, len(row), 50_000):
@@ -368,7 +580,7 @@ def _sender(centres, plan, size: int, margin: float):
                             pa.array(cell[row[s]].astype(np.int32)),
                             pa.array(np.r_[np.zeros(len(i)), np.ones(len(base))][s].astype(np.int32)),
                             pa.array(ids[row[s]].astype(np.int64)),
-                            _binary(x[row[s]]),
+                            _binary(raw[row[s]]),
                             pa.array(bound[row[s]]),
                         ],
                         ["grp", "block", "qpart", "cell", "home", "id", "vec", "bound"],
@@ -380,17 +592,19 @@ def _sender(centres, plan, size: int, margin: float):
 def _verifier(centres, size: int, k: int, margin: float):
     def run(table: pa.Table) -> pa.Table:
         grp = table["grp"][0].as_py()
-        x, home, cell, ids, bound = _vectors(table["vec"], size), *(table[c].to_numpy() for c in ("home", "cell", "id", "bound"))
+        raw, home, cell, ids, bound = _vectors(table["vec"], size), *(table[c].to_numpy() for c in ("home", "cell", "id", "bound"))
         base = np.flatnonzero(home == 1)
         base = base[np.argsort(cell[base], kind="stable")]
         ask = np.flatnonzero(home == 0)
         cells, starts = np.unique(cell[base], return_index=True)
         ends = np.r_[starts[1:], len(base)]
-        bases = x[base]
+        exact = _units(raw[base])
+        bases = exact.astype(np.float32)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(ask), 2048):
             some = ask[at : at + 2048]
-            q = x[some]
+            sharp = _units(raw[some])
+            q = sharp.astype(np.float32)
             near = _reach(q, cell[some], bound[some], centres.value[grp], margin)
             least = bound[some].astype(np.float32)
             pairs = []
@@ -405,104 +619,123 @@ def _verifier(centres, size: int, k: int, margin: float):
             i, j = (np.concatenate(p) for p in zip(*pairs))
             other = ids[some[i]] != ids[base[j]]
             i, j = i[other], j[other]
-            cosine = np.concatenate([np.einsum("ij,ij->i", q[i[o : o + 50_000]], bases[j[o : o + 50_000]], dtype=np.float64) for o in range(0, max(1, len(i)), 50_000)])
-            left, right = ids[some[i]], ids[base[j]]
-            order = np.lexsort((right, -cosine, left))
-            left, right, cosine = left[order], right[order], cosine[order]
-            begins = np.flatnonzero(np.r_[True, left[1:] != left[:-1]][: len(left)])
-            keep = np.arange(len(left)) - np.repeat(begins, np.diff(np.r_[begins, len(left)])) < k
-            found.append((left[keep], right[keep], cosine[keep]))
+            found.append(_best(ids[some[i]], ids[base[j]], _dots(sharp, i, exact, j), k))
         a, b, cosine = (np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"grp": pa.array([grp] * len(a), pa.string()), "a": a, "b": b, "cosine": cosine})
 
     return run
 
 
-def _spread(routed: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows with the block they belong to (cell, part, qpart) and their role: 0 query, 1 both, 2 base.
-
-    Cells that fit are one block. A larger cell is a grid: its vectors are split by id
-    into parts, its queries into parts of their own, and every part meets every other,
-    so no block outgrows a task and no pair is left out. ``places`` counts the rows
-    of each cell, of which there are at most ``CELLS_MOST`` a group.
-    """
-    sizes = places.groupBy("grp", "cell").agg(F.count_if("home").alias("n"), F.count("*").alias("q"))
-    large = sizes.where((F.col("n") > BLOCK_ROWS) | (F.col("q") > QUERY_ROWS)).collect()
-    role = F.when(F.col("home"), 1).otherwise(0)
-    if not large:
-        return routed.select("grp", "cell", F.lit(0).alias("part"), F.lit(0).alias("qpart"), "id", "vec", role.alias("role"))
-    grid = [(r.grp, r.cell, max(1, -(-r.n // BLOCK_ROWS)), max(1, -(-r.q // QUERY_ROWS))) for r in large]
-    parts = routed.sparkSession.createDataFrame(grid, "g string, c int, parts int, qparts int")
-    joined = routed.join(F.broadcast(parts), F.col("grp").eqNullSafe(F.col("g")) & (F.col("cell") == F.col("c")), "left")
-    mine, asked = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("qparts")).cast("int")
-
-    def block(part, qpart, role):
-        return F.struct(part.cast("int").alias("part"), qpart.cast("int").alias("qpart"), role.cast("int").alias("role"))
-
-    as_base = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("qparts") - 1), lambda i: block(mine, i, F.lit(2)))).otherwise(F.array().cast("array<struct<part:int,qpart:int,role:int>>"))
-    as_query = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: block(i, asked, F.lit(0)))
-    blocks = F.when(F.col("parts").isNull(), F.array(block(F.lit(0), F.lit(0), role))).otherwise(F.concat(as_base, as_query))
-    return joined.select("grp", "cell", F.explode(blocks).alias("b"), "id", "vec").select("grp", "cell", "b.part", "b.qpart", "id", "vec", "b.role")
-
-
-def _fit(good: DataFrame, size: int, counts: dict, fit_rows: int, cell_rows: int) -> dict:
-    """Centroids of each group, from a sample of about ``fit_rows`` rows picked by hash."""
+def _fit(good: DataFrame, size: int, counts: dict, fit_rows: int, cell_rows: int, cells_most: int, most: float, margin: float) -> dict[str | None, Cells]:
+    """Cells of each group, from a sample of about ``fit_rows`` rows picked by hash."""
     model = {}
     for grp, n in counts.items():
-        share = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < min(1_000_000, math.ceil(1_000_000 * fit_rows / max(1, n)))
-        rows = good.where(F.col("grp").eqNullSafe(F.lit(grp)) & share).limit(2 * fit_rows).select("value").toArrow()
-        x = _unit(rows.combine_chunks().to_batches()[0], 0, size) if rows.num_rows else np.ones((1, size), np.float32)
-        cells = int(min(CELLS_MOST, max(1, n // cell_rows), max(1, len(x) // 8)))
-        model[grp] = fit_centroids(x, cells)
+        share = min(1_000_000, math.ceil(1_000_000 * fit_rows / max(1, n))) / 1_000_000
+        picked = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < round(share * 1_000_000)
+        rows = good.where(F.col("grp").eqNullSafe(F.lit(grp)) & picked).limit(2 * fit_rows).select("value").toArrow()
+        x = _singles(_raw(rows.combine_chunks().to_batches()[0], 0, size)) if rows.num_rows else np.ones((1, size), np.float32)
+        cells = int(min(cells_most, max(1, n // cell_rows), max(1, len(x) // 8)))
+        model[grp] = Cells(x, fit_centroids(x, cells), share, most, margin)
+    return model
+
+
+def _deepen(good: DataFrame, model: dict[str | None, Cells], size: int, cell_rows: int, cells_most: int, most: float, margin: float) -> dict[str | None, Cells]:
+    """The model with cells below those that are much larger than ``cell_rows``, fitted in parallel on a sample of each."""
+    large = {(g, int(c)): float(m.rows[c]) for g, m in model.items() for c in np.flatnonzero(m.rows > 4 * cell_rows) if len(m.centres) == cells_most}
+    if large:
+        home = good.sparkSession.sparkContext.broadcast({g: m.centres for g, m in model.items()})
+        share = min(1.0, SUB_ROWS / cell_rows)
+        picked = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(1_000_000)) < round(share * 1_000_000)
+        housed = good.where(picked).mapInArrow(_housed(home, size), "grp string, cell int, id bigint, vec binary")
+        # at most cells_most * SUB_ROWS rows of a cell, however large
+        order = Window.partitionBy("grp", "cell").orderBy(F.xxhash64("id", F.lit(SEED + 2)), "id")
+        some = housed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cells_most * SUB_ROWS).drop("_n")
+        known = good.sparkSession.sparkContext.broadcast(large)
+
+        def fit(table: pa.Table) -> pa.Table:
+            grp, cell = table["grp"][0].as_py(), table["cell"][0].as_py()
+            rows, x = known.value.get((grp, cell), 0), _singles(_vectors(table["vec"], size))
+            cells = int(min(cells_most, rows // cell_rows, len(x) // 8))
+            made = Cells(x, fit_centroids(x, max(1, cells)), min(1.0, len(x) / max(1.0, rows)), most, margin)
+            cells = cells if cells > 1 else 0  # a cell that need not be split has none below
+            return pa.table({"grp": pa.array([grp] * cells, pa.string()), "cell": pa.array([cell] * cells, pa.int32()), "centre": _binary(made.centres[:cells]), "asks": made.asks[:cells], "rows": made.rows[:cells]})
+
+        fitted = some.groupBy("grp", "cell").applyInArrow(fit, "grp string, cell int, centre binary, asks double, rows double").toArrow()  # cells_most squared a group at most
+        groups, cell = np.array(fitted["grp"].to_pylist(), object), fitted["cell"].to_numpy()
+        for g, c in dict.fromkeys(zip(groups, cell.tolist())):
+            mine = pa.array(np.flatnonzero((cell == c) & np.array([x == g for x in groups])))
+            below = Cells(np.zeros((0, size), np.float32), _vectors(fitted["centre"].take(mine), size), 1.0, most, margin)
+            below.rows, below.asks = fitted["rows"].take(mine).to_numpy(), fitted["asks"].take(mine).to_numpy()
+            # queries that live elsewhere come on top
+            below.asks = below.asks * max(1.0, model[g].asks[c] / max(1.0, model[g].rows[c]))
+            model[g].below[c] = below
+    for m in model.values():
+        m.number()
     return model
 
 
-def _router(centres, size: int, radius: float, margin: float, vectors: bool = True):
+def _router(model, size: int, most: float, margin: float):
+    """Each vector to the blocks of its home, as one to be found, and of every cell in reach, as a query (role: 0 query, 1 both, 2 to be found)."""
+
+    def blocks(cells: Cells, cell: np.ndarray, own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, part, qpart, role): a large cell is a grid, in which every part meets every part of its queries."""
+        parts = np.maximum(1, np.ceil(cells.rows[cell] / BLOCK_ROWS)).astype(np.int64)
+        qparts = np.maximum(1, np.ceil(cells.asks[cell] / QUERY_ROWS)).astype(np.int64)
+        rows = np.arange(len(cell))
+        one = (parts == 1) & (qparts == 1)
+        out = [(rows[one], np.zeros(one.sum(), np.int64), np.zeros(one.sum(), np.int64), own[one].astype(np.int64))]
+        mine, asked = _scatter(ids, 1) % parts.astype(np.uint64), _scatter(ids, 2) % qparts.astype(np.uint64)
+        for i in rows[~one]:
+            out.append((np.full(parts[i], i), np.arange(parts[i]), np.full(parts[i], asked[i], np.int64), np.zeros(parts[i], np.int64)))
+            if own[i]:
+                out.append((np.full(qparts[i], i), np.full(qparts[i], mine[i], np.int64), np.arange(qparts[i]), np.full(qparts[i], 2)))
+        return tuple(np.concatenate(o) for o in zip(*out))
+
+    def sent(cells: Cells, x: np.ndarray, ids: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, cell number, part, qpart, role) of vectors, ``own``: whether they live here."""
+        i, cell, home = cells.route(x, most, margin)
+        here = (cell == home[i]) & own[i]
+        deeper = np.isin(cell, list(cells.below)) if cells.below else np.zeros(len(cell), bool)
+        top = np.flatnonzero(~deeper)
+        row, part, qpart, role = blocks(cells, cell[top], here[top], ids[i[top]])
+        yield i[top][row], cells.offset + cell[top][row], part, qpart, role
+        for c in np.unique(cell[deeper]):
+            some = np.flatnonzero(cell == c)
+            for row, *rest in sent(cells.below[int(c)], x[i[some]], ids[i[some]], here[some]):
+                yield i[some][row], *rest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps = {}
-        for g, c in centres.value.items():
-            gaps[g] = np.sqrt(np.maximum(_square_distances(c, c), 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, groups, x = batch.column(0).to_numpy(), batch.column(1).to_pylist(), _unit(batch, 2, size)
-            for grp in dict.fromkeys(groups):
-                rows = np.flatnonzero([g == grp for g in groups])
-                for at in range(0, len(rows), 4096):
-                    some = rows[at : at + 4096]
-                    d = _square_distances(x[some], centres.value[grp])
-                    home = d.argmin(1)
-                    # a vector at the radius moves this difference by 2 * radius * gap / sqrt(size), one deviation
-                    slack = 2 * margin * radius / math.sqrt(size) * gaps[grp][home]
-                    i, cell = np.nonzero(d - d[np.arange(len(some)), home][:, None] <= slack)
-                    if not vectors:
-                        yield pa.RecordBatch.from_arrays([pa.array([grp] * len(i), pa.string()), pa.array(cell.astype(np.int32)), pa.array(cell == home[i])], ["grp", "cell", "home"])
-                        continue
-                    raw = x[some[i]].astype("<f4").tobytes()
-                    offsets = np.arange(len(i) + 1, dtype=np.int32) * (4 * size)
-                    vec = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([grp] * len(i), pa.string()), pa.array(cell.astype(np.int32)), pa.array(cell == home[i]), pa.array(ids[some[i]].astype(np.int64)), vec],
-                        ["grp", "cell", "home", "id", "vec"],
-                    )
+        for grp, ids, raw in _by_group(batches, size):
+            row, cell, part, qpart, role = (np.concatenate(o) for o in zip(*sent(model.value[grp], _singles(raw), ids, np.ones(len(ids), bool))))
+            for at in range(0, len(row), 50_000):
+                s = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([grp] * len(row[s]), pa.string()), *(pa.array(c[s].astype(np.int32)) for c in (cell, part, qpart)), pa.array(ids[row[s]].astype(np.int64)), _binary(raw[row[s]]), pa.array(role[s].astype(np.int32))],
+                    ["grp", "cell", "part", "qpart", "id", "vec", "role"],
+                )
 
     return run
 
 
+def _scatter(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each id, for parts of even size."""
+    with np.errstate(over="ignore"):
+        h = (ids.astype(np.int64).view(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
+
+
 def _searcher(size: int, k: int, min_cosine: float):
     def run(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
         role = table["role"].to_numpy()
-        x = np.frombuffer(b"".join(table["vec"].to_pylist()), "<f4").reshape(-1, size)
+        raw = _vectors(table["vec"], size)
         base = np.flatnonzero(role >= 1)
         ask = np.flatnonzero(role <= 1)
         base = base[np.unique(ids[base], return_index=True)[1]]
         grp = table["grp"][0].as_py()
-        empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        a, b, cosine = empty
+        a, b, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(base) and len(ask):
-            block = Block(ids[base], x[base], _directions(PROJECTIONS, size, SEED))
-            a, b, cosine = block.search(ids[ask], x[ask], k, min_cosine, _radii(min_cosine), WIDTH, THRESHOLD)
+            a, b, cosine = Block(ids[base], _units(raw[base])).search(ids[ask], _units(raw[ask]), k, min_cosine, _radii(min_cosine))
         return pa.table({"grp": pa.array([grp] * len(a), pa.string()), "a": a, "b": b, "cosine": cosine})
 
     return run

@@ -91,15 +91,56 @@ def test_very_many_copies_keep_the_answer_of_ties_by_id(spark):
     assert {p for p in got if p[0] >= 1000} == {(1000, 1001), (1000, 1002), (1001, 1002)}
 
 
-def test_windows_count_what_plain_counting_counts():
+def counted(block, q, half, threshold, *more):
+    i, j = block.colliding(q @ block.directions.T, np.arange(len(q)), half, threshold, *more)
+    return set(zip(i.tolist(), block.ids[j].tolist()))
+
+
+@pytest.mark.parametrize("stripe", [64, 100, 2_048])
+def test_windows_count_what_plain_counting_counts(monkeypatch, stripe):
+    monkeypatch.setattr(knn, "STRIPE", stripe)
+    monkeypatch.setattr(knn, "STEP_WORDS", 7)
+    monkeypatch.setattr(knn, "REACH", 100.0)
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(200, 16)).astype(np.float32)
-    block = knn.Block(np.arange(200), x, knn._directions(12, 16, 1))
-    q = rng.normal(size=(20, 16)).astype(np.float32)
-    i, j = block.colliding(q @ block.directions.T, 0.7, 7)
-    near = np.abs((q @ block.directions.T)[:, None, :] - (x @ block.directions.T)[None]) <= 0.7
-    a, b = np.nonzero(near.sum(2) >= 7)
-    assert sorted(zip(i, j)) == sorted(zip(a, b)) and len(a) > 0
+    x, q = rng.normal(size=(300, 16)).astype(np.float32), rng.normal(size=(20, 16)).astype(np.float32)
+    block = knn.Block(np.arange(300), x, 12, 1)
+    gap = np.abs((q @ block.directions.T)[:, None, :] - (x @ block.directions.T)[None])
+    got = counted(block, q, 0.7, 7, {}, knn.Counts(), False)
+    # windows end at marks: never narrower than asked for, at most a mark wider on either side
+    exact, wider = (set(zip(*(n.tolist() for n in np.nonzero((gap <= w).sum(2) >= 7)))) for w in (0.7, 0.7 + 1.01 * block.mark))
+    assert exact <= got <= wider and exact
+    # widened windows count what they would have counted at once, for the queries that are left
+    held, counts = {}, knn.Counts()
+    counted(block, q, 0.3, 7, held, counts, True)
+    i, j = block.colliding(q @ block.directions.T, np.arange(5, 20), 0.7, 7, held, counts, False, 0.3)
+    assert set(zip(i.tolist(), block.ids[j].tolist())) == {p for p in got if p[0] >= 5}
+
+
+def test_stripes_out_of_reach_are_passed_over():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9_000, 16)).astype(np.float32)
+    x[:, 0] *= 40
+    block, q = knn.Block(np.arange(9_000), x, 12, 1), x[:50]
+    seen = []
+    for s in block.stripes:
+        s.count = lambda *a, _count=s.count, **k: seen.append(a[1].shape[1]) or _count(*a, **k)
+    got = counted(block, q, 0.7, 9, {}, knn.Counts(), False)
+    assert sum(seen) < 50 * len(block.stripes) / 2 and {(i, i) for i in range(50)} <= got
+
+
+@pytest.mark.parametrize("blocks", [None, 60])
+def test_cells_below_cells(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(knn, "BLOCK_ROWS", blocks)
+    x = clustered(3000, 9)
+    want = truth(x, list(range(3000)), 10, 0.9)
+    made = []
+    deepen = knn._deepen
+    monkeypatch.setattr(knn, "_deepen", lambda *a: made.append(deepen(*a)) or made[-1])
+    df = frame(spark, x, range(3000)).union(frame(spark, x[:40], range(3000, 3040), None))
+    found = {(r.id, r.neighbour) for r in knn.neighbours(df, cell_rows=25, cells_most=8).where("grp IS NOT NULL").collect()}
+    pairs = {(a, b) for a, bs in want.items() for b in bs}
+    assert len(made[0]["e"].below) > 3 and len(pairs & found) / len(pairs) >= 0.97
 
 
 @pytest.mark.parametrize("n", [1, 2])
