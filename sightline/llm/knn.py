@@ -80,6 +80,10 @@ SEED = 20_240_229
 #: Queries searched at once, and words of 64 pairs counted at once: the counters stay in a core's cache.
 STEP_QUERIES = 4_096
 STEP_WORDS = 16_384
+#: Queries of a block that choose its radii.
+SOUNDINGS = 128
+#: Candidates are verified by matrix products where more than one word in so many has some.
+DENSE = 3
 #: Pairs multiplied out at once.
 VERIFY_PAIRS = 1_000_000
 
@@ -222,11 +226,11 @@ class Block:
     """One sorted array per projection over the vectors of a block, held by stripes of the first."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, count: int = PROJECTIONS, seed: int = SEED):
-        single = x.astype(np.float32)
-        self.directions = _directions(single, count, seed)
-        projected = single @ self.directions.T
+        self.single = x.astype(np.float32)
+        self.directions = _directions(self.single, count, seed)
+        projected = self.single @ self.directions.T
         order = np.argsort(projected[:, 0], kind="stable")
-        self.ids, self.x, projected = ids[order], x[order], projected[order]
+        self.ids, self.x, self.single, projected = ids[order], x[order], self.single[order], projected[order]
         self.low = projected.min(0)
         self.mark = np.maximum((projected.max(0) - self.low) / MARKS, np.float32(1e-9)) * np.float32(1.000001)
         place = np.minimum((projected - self.low) / self.mark, MARKS).astype(np.int64).T
@@ -239,8 +243,8 @@ class Block:
         high = np.clip(np.floor((projected + half - self.low) / self.mark) + 1, 0, MARKS + 1)
         return np.ascontiguousarray(low.T.astype(np.intp)), np.ascontiguousarray(np.maximum(low, high).T.astype(np.intp))
 
-    def colliding(self, projected: np.ndarray, todo: np.ndarray, half: float, threshold: int, held: dict, counts: Counts, keep: bool, before: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) of the queries ``todo`` that share at least ``threshold`` windows of half-width ``half``.
+    def colliding(self, q: np.ndarray, projected: np.ndarray, todo: np.ndarray, half: float, threshold: int, least: float, held: dict, counts: Counts, keep: bool, before: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) of the queries ``todo`` that share at least ``threshold`` windows of half-width ``half``, whose product is ``least`` or more.
 
         ``held``: by stripe, the queries counted at the half-width ``before`` and their bit
         planes, which are added to, and replaced if ``keep``.
@@ -257,55 +261,87 @@ class Block:
             for at in range(0, len(new), step):
                 some = new[at : at + step]
                 parts.append((some, stripe.count(counts, *self.windows(projected[some], half))))
-                self._take(parts, n, threshold, counts, mine, theirs, keep)
+                self._verify(q, parts, n, threshold, least, counts, mine, theirs, keep)
             places = np.flatnonzero(again)
             for at in range(0, len(places), step):
                 rows = places[at : at + step]
                 some = known[rows]
                 old = [np.take(p, rows, axis=0) for p in planes_held]
                 parts.append((some, stripe.count(counts, *self.windows(projected[some], half), old, *self.windows(projected[some], before))))
-                self._take(parts, n, threshold, counts, mine, theirs, keep)
+                self._verify(q, parts, n, threshold, least, counts, mine, theirs, keep)
             if keep and parts:
                 depth = max(len(p) for _, p in parts)
                 full = [p + [np.zeros_like(p[0])] * (depth - len(p)) for _, p in parts]
                 held[n] = np.concatenate([q for q, _ in parts]), [np.concatenate([p[level] for p in full]) for level in range(depth)]
         return np.concatenate(mine), np.concatenate(theirs)
 
-    def _take(self, parts: list, n: int, threshold: int, counts: Counts, mine: list, theirs: list, keep: bool) -> None:
+    def _verify(self, q: np.ndarray, parts: list, n: int, threshold: int, least: float, counts: Counts, mine: list, theirs: list, keep: bool) -> None:
         some, planes = parts[-1]
         hit = counts.reached(planes, threshold)
         words = np.flatnonzero(hit)
-        i, bit = np.nonzero(np.unpackbits(hit.ravel()[words].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        mine.append(some[words[i] // hit.shape[1]])
-        theirs.append(self.starts[n] + words[i] % hit.shape[1] * 64 + bit)
+        vectors = self.single[self.starts[n] : self.starts[n] + STRIPE]
+        if len(words) * DENSE > hit.size:
+            # where most words have candidates, products of all cost less than of each
+            near = np.zeros((len(some), hit.shape[1] * 64), bool)
+            np.greater_equal(q[some] @ vectors.T, np.float32(least), out=near[:, : len(vectors)])
+            near &= np.unpackbits(hit.view(np.uint8), axis=1, bitorder="little").view(bool)
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+        else:
+            bits = np.flatnonzero(np.unpackbits(hit.ravel()[words].view(np.uint8), bitorder="little").view(bool))
+            word = words[bits >> 6]
+            i, j = word // hit.shape[1], word % hit.shape[1] * 64 + (bits & 63)
+            near = _dots(q, some[i], vectors, j) >= np.float32(least)
+            i, j = i[near], j[near]
+        mine.append(some[i])
+        theirs.append(self.starts[n] + j)
         counts.release(hit)
         if not keep:
             parts.pop()
             counts.release(*planes)
 
-    def search(self, ids: np.ndarray, q: np.ndarray, k: int, min_cosine: float, radii: list[float], width: float = WIDTH, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def radii(self, ids: np.ndarray, q: np.ndarray, k: int, most: float) -> list[float]:
+        """Radii of the virtual rehashing, up to ``most``: where some queries, taken evenly, have ``k`` vectors.
+
+        They only save work: whatever they are, a query is widened until it has ``k`` or is at ``most``.
+        """
+        some = np.arange(0, len(q), max(1, len(q) // SOUNDINGS))
+        s = q[some] @ self.single.T
+        s[ids[some][:, None] == self.ids[None, :]] = -2
+        if s.shape[1] <= k:
+            return [most]
+        full = np.sqrt(np.maximum(0, 2 - 2 * np.partition(s, -k, axis=1)[:, -k]))
+        full = full[full <= most]
+        if len(full) * 8 < len(some):
+            return [most]
+        steps = [float(r) * 1.02 + 1e-3 for r in np.quantile(full, [0.25, 0.5, 0.75, 0.95])]
+        return [r for n, r in enumerate(steps) if r < most / 1.1 and (not n or r > steps[n - 1] * 1.05)] + [most]
+
+    def search(self, ids: np.ndarray, q: np.ndarray, k: int, min_cosine: float, width: float = WIDTH, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, id, cosine): up to ``k`` verified vectors of each query, most similar first, ties by id."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         scale, counts = width / math.sqrt(q.shape[1]), Counts()
+        radii = self.radii(ids, q.astype(np.float32), k, math.sqrt(max(0.0, 2 - 2 * min_cosine)))
         for at in range(0, len(q), STEP_QUERIES):
             mine, x = ids[at : at + STEP_QUERIES], q[at : at + STEP_QUERIES]
-            projected = x.astype(np.float32) @ self.directions.T
+            single = x.astype(np.float32)
+            projected = single @ self.directions.T
             todo, held = np.arange(len(mine)), {}
             for n, radius in enumerate(radii):
                 last = n == len(radii) - 1
-                i, j = self.colliding(projected, todo, radius * scale, threshold, held, counts, not last, radii[n - 1] * scale if n else 0.0)
+                least = max(min_cosine, 1 - radius * radius / 2)
+                i, j = self.colliding(single, projected, todo, radius * scale, threshold, least - 1e-5, held, counts, not last, radii[n - 1] * scale if n else 0.0)
                 other = mine[i] != self.ids[j]
                 i, j = i[other], j[other]
                 cosine = _dots(x, i, self.x, j)
-                within = cosine >= max(min_cosine, 1 - radius * radius / 2)
+                within = cosine >= least
                 i, j, cosine = i[within], j[within], cosine[within]
                 done = np.bincount(i, minlength=len(mine)) >= k
                 take = np.ones(len(i), bool) if last else done[i]
-                out.append((mine[i[take]], self.ids[j[take]], cosine[take]))
+                out.append(_best(mine[i[take]], self.ids[j[take]], cosine[take], k))
                 todo = todo[~done[todo]]
                 if not len(todo):
                     break
-        return _best(*(np.concatenate(o) for o in zip(*out)), k)
+        return tuple(np.concatenate(o) for o in zip(*out))
 
 
 def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, step: int = 50_000) -> np.ndarray:
@@ -334,12 +370,6 @@ def _directions(x: np.ndarray, count: int, seed: int) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(rounds, axis=1)[:, :count].T, np.float32)
 
 
-def _radii(min_cosine: float) -> list[float]:
-    """Radii of the virtual rehashing; windows grow with them."""
-    most = math.sqrt(max(0.0, 2 - 2 * min_cosine))
-    return [most / 3, most]
-
-
 def neighbours(
     vectors: DataFrame,
     entry_id: str = "entry_id",
@@ -735,7 +765,7 @@ def _searcher(size: int, k: int, min_cosine: float):
         grp = table["grp"][0].as_py()
         a, b, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(base) and len(ask):
-            a, b, cosine = Block(ids[base], _units(raw[base])).search(ids[ask], _units(raw[ask]), k, min_cosine, _radii(min_cosine))
+            a, b, cosine = Block(ids[base], _units(raw[base])).search(ids[ask], _units(raw[ask]), k, min_cosine)
         return pa.table({"grp": pa.array([grp] * len(a), pa.string()), "a": a, "b": b, "cosine": cosine})
 
     return run

@@ -92,13 +92,14 @@ def test_very_many_copies_keep_the_answer_of_ties_by_id(spark):
 
 
 def counted(block, q, half, threshold, *more):
-    i, j = block.colliding(q @ block.directions.T, np.arange(len(q)), half, threshold, *more)
+    i, j = block.colliding(q, q @ block.directions.T, np.arange(len(q)), half, threshold, -np.inf, *more)
     return set(zip(i.tolist(), block.ids[j].tolist()))
 
 
-@pytest.mark.parametrize("stripe", [64, 100, 2_048])
-def test_windows_count_what_plain_counting_counts(monkeypatch, stripe):
+@pytest.mark.parametrize("stripe,dense", [(64, 3), (100, 0), (2_048, 10**6)])
+def test_windows_count_what_plain_counting_counts(monkeypatch, stripe, dense):
     monkeypatch.setattr(knn, "STRIPE", stripe)
+    monkeypatch.setattr(knn, "DENSE", dense)
     monkeypatch.setattr(knn, "STEP_WORDS", 7)
     monkeypatch.setattr(knn, "REACH", 100.0)
     rng = np.random.default_rng(3)
@@ -112,7 +113,7 @@ def test_windows_count_what_plain_counting_counts(monkeypatch, stripe):
     # widened windows count what they would have counted at once, for the queries that are left
     held, counts = {}, knn.Counts()
     counted(block, q, 0.3, 7, held, counts, True)
-    i, j = block.colliding(q @ block.directions.T, np.arange(5, 20), 0.7, 7, held, counts, False, 0.3)
+    i, j = block.colliding(q, q @ block.directions.T, np.arange(5, 20), 0.7, 7, -np.inf, held, counts, False, 0.3)
     assert set(zip(i.tolist(), block.ids[j].tolist())) == {p for p in got if p[0] >= 5}
 
 
