@@ -47,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.session import cut
@@ -101,9 +101,14 @@ def usable(vectors: DataFrame, entry_id: str, group: str, value: str, size: int)
 
 
 def searched(good: DataFrame, k: int) -> DataFrame:
-    """(id, grp, value, place): of equal vectors the ``k + 1`` least ids, in their order."""
-    place = F.row_number().over(Window.partitionBy("grp", "value").orderBy("id"))
-    return good.withColumn("place", place).where(F.col("place") <= k + 1)
+    """(id, grp, value, same, place): of equal vectors the ``k + 1`` least ids, in their order."""
+    place = F.row_number().over(Window.partitionBy("grp", "same").orderBy("id"))
+    return good.withColumn("same", _same()).withColumn("place", place).where(F.col("place") <= k + 1)
+
+
+def _same() -> Column:
+    """128 hashed bits of the vector, which are sorted and joined in its place."""
+    return F.struct(F.xxhash64("value").alias("a"), F.xxhash64(F.lit(SEED), "value").alias("b"))
 
 
 def fit_centroids(sample: np.ndarray, cells: int, seed: int = SEED, rounds: int = 6) -> np.ndarray:
@@ -393,11 +398,11 @@ def neighbours(
     good = usable(vectors, entry_id, group, value, size)
     kept = cut(searched(good, k), "vectors")
     near = _nearest(kept, size, k, min_cosine, fit_rows, cell_rows, margin, cells_most)
-    last = kept.where(F.col("place") == k + 1).select(F.col("grp").alias("g"), F.col("value").alias("v"), F.col("id").alias("last"))
+    last = kept.where(F.col("place") == k + 1).select(F.col("grp").alias("g"), F.col("same").alias("s"), F.col("id").alias("last"))
     if last.isEmpty():
         return near
     near = cut(near, "near")
-    further = good.join(last, F.col("grp").eqNullSafe(F.col("g")) & (F.col("value") == F.col("v")) & (F.col("id") > F.col("last"))).select("g", "id", "last")
+    further = good.select("id", "grp", _same().alias("same")).join(last, F.col("grp").eqNullSafe(F.col("g")) & (F.col("same") == F.col("s")) & (F.col("id") > F.col("last"))).select("g", "id", "last")
     theirs = near.join(last.select("g", "last"), F.col("grp").eqNullSafe(F.col("g")) & (F.col("id") == F.col("last")), "left_semi")
     lists = theirs.groupBy("grp", F.col("id").alias("_of")).agg(F.collect_list(F.struct("neighbour", "cosine", "rank")).alias("_rows"))
     rows = further.join(lists, F.col("grp").eqNullSafe(F.col("g")) & (F.col("_of") == F.col("last"))).select("grp", "id", F.explode("_rows").alias("_r"))
