@@ -2,12 +2,14 @@
 
 A tree has leaves of ``width`` consecutive keys; a leaf's digest is made of the
 hashes of its records, an inner node's of its ``fanout`` children. Two trees are
-compared from the root: only children of nodes whose digests differ are looked at,
-so the work of a run follows what changed, not what there is.
+compared from the root: only children of nodes whose digests differ are looked at.
 
-Levels are tables ``(node, digest, records)``; level 0 are the leaves. Every level
-is a distributed aggregate with map-side combine, so repeated records or a hot key
-range cost one row per task. Only the number of levels is known to the driver.
+Digests are sums of hashes, so every level is one aggregate with map-side combine: a
+run reads and hashes its input once and shuffles a row a leaf and task. What it
+reads again, compares record by record and writes anew are the leaves that differ and their groups.
+
+Levels are tables ``(node, digest)``; level 0 are the leaves. Only the number of
+levels, and the bounds of what changed, are known to the driver.
 """
 
 from __future__ import annotations
@@ -43,15 +45,15 @@ def _parent(node: str, fanout: int) -> Column:
 
 
 def _digest(*of: str) -> list[Column]:
-    """Order-free digest of a set of rows: two independent hashes, xored, and their number."""
-    first, second = F.xxhash64(*of), F.xxhash64(F.lit(0x9E3779B9), *of)
-    return [
-        F.struct(F.bit_xor(first).alias("a"), F.bit_xor(second).alias("b"), F.count("*").alias("n")).alias("digest"),
-    ]
+    """Order-free digest of rows: two independent hashes, summed by halves (which cannot overflow), and their number."""
+    halves = []
+    for name, h in (("a", F.xxhash64(*of)), ("b", F.xxhash64(F.lit(0x9E3779B9), *of))):
+        halves += [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"{name}0"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"{name}1")]
+    return [F.struct(*halves, F.count("*").alias("n")).alias("digest")]
 
 
 def leaves(records: DataFrame, key: str, row_hash: str, width: int = WIDTH) -> DataFrame:
-    """Level 0 over distinct records ``(key, row_hash)``."""
+    """Level 0 over records ``(key, row_hash)``."""
     return records.groupBy(node_of(key, 0, width).alias("node")).agg(*_digest(key, row_hash))
 
 
@@ -63,9 +65,11 @@ def parents(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
 def height(records: DataFrame, key: str, width: int = WIDTH, fanout: int = FANOUT) -> tuple[int, list[int]]:
     """Number of levels above the leaves until at most ``fanout`` nodes are left, and the nodes above those."""
     low, high = records.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return 0, []
-    levels, low, high = 0, low // width, high // width
+    return (0, []) if low is None else _height(low // width, high // width, fanout)
+
+
+def _height(low: int, high: int, fanout: int) -> tuple[int, list[int]]:
+    levels = 0
     while high - low >= fanout:
         levels, low, high = levels + 1, low // fanout, high // fanout
     return levels, list(range(low // fanout, high // fanout + 1))
@@ -104,25 +108,38 @@ def descend(current: Sequence[DataFrame], saved: Sequence[DataFrame], on: Sequen
 class IncrementalRun:
     """Runs over a table whose records have an integer key, each run over what is new or changed.
 
-    Folder: ``runs/<n>.json`` names, per run, the record digests of each group of
-    leaves, the tree's levels and the run's output. The file is written last and by
-    one rename: output and tree become visible together or not at all, so a run that
-    fails is repeated in full and one that succeeded is never repeated.
+    Folder: ``runs/<n>.json`` names a run's tree, the table of which run holds the record
+    digests of each group of leaves, and the run's output. The file is written last and in
+    one step: output and tree become visible together or not at all, so a run that
+    fails is repeated in full and one that succeeded is never repeated. Record digests
+    of groups without a change stay in the run that wrote them; after ``RUNS_MOST`` such runs
+    all are written anew.
     """
 
+    RUNS_MOST = 32
+
     def __init__(self, spark: SparkSession, path: str, key: str, width: int = WIDTH, fanout: int = FANOUT):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self.width, self.fanout = width, fanout
 
-    def _last(self) -> tuple[int, dict]:
+    def _last(self) -> tuple[int, dict | None]:
         names = [n for n in files.list_names(self.spark, f"{self.path}/runs") if n.endswith(".json")]
         if not names:
-            return 0, {"levels": [], "groups": {}, "output": None}
+            return 0, None
         return int(names[-1][:-5]), json.loads(files.read_text(self.spark, f"{self.path}/runs/{names[-1]}"))
 
-    def _records(self, df: DataFrame) -> DataFrame:
-        columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
-        return df.where(F.col(self.key).isNotNull()).select(F.col(self.key).alias("_key"), F.xxhash64(*columns).alias("_row")).distinct()
+    def _kept(self, df: DataFrame, name: str, run: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/data/{run}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/data/{run}/{name}")
+
+    def _group(self, node: Column | str) -> Column:
+        """Group of a leaf: its ancestor on level 2."""
+        return _floor_div(F.col(node) if isinstance(node, str) else node, self.fanout**2)
+
+    def _records(self, runs: Sequence[str]) -> DataFrame:
+        """Record digests of some runs: (_key, _row, run, _group)."""
+        read = self.spark.read.schema("_key bigint, _row bigint, run string, _group bigint").option("basePath", f"{self.path}/records")
+        return read.parquet(*[f"{self.path}/records/run={r}" for r in runs])
 
     def run(self, df: DataFrame, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Give ``process`` the new or changed rows of ``df``, publish its result and the tree; returns the result.
@@ -131,34 +148,50 @@ class IncrementalRun:
         order and are left out. Records that vanished give no rows.
         """
         number, last = self._last()
-        run = f"data/{uuid.uuid4().hex}"
-        at = f"{self.path}/{run}"
-        records = self._records(df)
-        records.withColumn("_group", node_of("_key", 2, self.width, self.fanout)).repartition("_group").write.partitionBy("_group").parquet(f"{at}/records")
-        records = self.spark.read.parquet(f"{at}/records") if files.list_names(self.spark, f"{at}/records") != ["_SUCCESS"] else records.limit(0)
-        levels = max(2, height(records, "_key", self.width, self.fanout)[0], len(last["levels"]) - 1)
-        new = tree(records, "_key", "_row", levels, self.width, self.fanout)
-        for k, level in enumerate(new):
-            level.write.parquet(f"{at}/level={k}")
-        new = [self.spark.read.parquet(f"{at}/level={k}") for k in range(levels + 1)]
-        old = [self.spark.read.parquet(f"{self.path}/{x}") for x in last["levels"]]
+        run = uuid.uuid4().hex
+        columns = [F.col(f"`{c}`") for c in df.columns]
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+        key = F.col(f"`{self.key}`").cast("bigint")
+        hashed = df.where(key.isNotNull()).select(key.alias("_key"), row.alias("_row"), node_of(key, 0, self.width).alias("node"), F.struct(*columns).alias("_all"))
+
+        new = [self._kept(hashed.groupBy("node").agg(*_digest("_key", "_row")), "level=0", run)]
+        low, high = new[0].agg(F.min("node"), F.max("node")).first()
+        levels = max(2, 0 if low is None else _height(low, high, self.fanout)[0], len(last["levels"]) - 1 if last else 0)
+        while len(new) <= levels:
+            new.append(self._kept(parents(new[-1], self.fanout), f"level={len(new)}", run))
+        old = [self.spark.read.schema(new[0].schema).parquet(f"{self.path}/data/{x}") for x in (last["levels"] if last else [])]
         while len(old) <= levels:
             old.append(parents(old[-1], self.fanout) if old else new[0].limit(0))
-        changed = descend(new, old, (), self.fanout)
-        fresh = records.withColumn("node", node_of("_key", 0, self.width)).join(changed, "node", "left_semi").select("_key", "_row")
-        if last["groups"]:
-            groups = {str(r[0]) for r in changed.select(node_of(F.col("node") * self.width, 2, self.width, self.fanout)).distinct().collect()}
-            known = [f"{self.path}/{p}" for g, p in last["groups"].items() if g in groups]
-            if known:
-                fresh = fresh.join(self.spark.read.parquet(*known).select("_key", "_row"), ["_key", "_row"], "left_anti")
-        rows = df.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
-        todo = rows.join(fresh.select(F.col("_key").alias(self.key), "_row"), [self.key, "_row"], "left_semi").select(*df.columns).distinct()
-        process(todo).write.parquet(f"{at}/output")
-        groups = {n.removeprefix("_group="): f"{run}/records/{n}" for n in files.list_names(self.spark, f"{at}/records") if n.startswith("_group=")}
-        text = json.dumps({"levels": [f"{run}/level={k}" for k in range(levels + 1)], "groups": groups, "output": f"{run}/output"})
+        changed = self._kept(descend(new, old, (), self.fanout), "changed", run)
+        groups = changed.select(self._group("node").alias("_group")).distinct()
+
+        # the scan below is bounded by the keys of what changed, the joins pick it out
+        first, final = changed.agg(F.min("node"), F.max("node")).first()
+        reach = key.between(first * self.width, (final + 1) * self.width - 1) if first is not None else F.lit(False)
+        todo = hashed.where(reach).join(changed, "node", "left_semi").distinct()
+        owner = self.spark.read.schema("_group bigint, run string").parquet(f"{self.path}/data/{last['groups']}") if last else None
+        if last and last["runs"]:
+            known = self._records(last["runs"]).join(owner.join(groups, "_group", "left_semi"), ["_group", "run"], "left_semi")
+            todo = todo.join(known.select("_key", "_row"), ["_key", "_row"], "left_anti")
+        out = process(todo.select("_all.*"))
+        out.write.parquet(f"{self.path}/data/{run}/output")
+
+        # record digests of the groups that changed, or of all
+        whole = not last or len(last["runs"]) >= self.RUNS_MOST
+        held = hashed.select("_key", "_row", self._group("node").alias("_group"))
+        present = new[2].select(F.col("node").alias("_group"), F.lit(run).alias("run"))
+        if not whole:
+            span = self.width * self.fanout**2
+            a, b = (0, -1) if first is None else (first // self.fanout**2 * span, (final // self.fanout**2 + 1) * span - 1)
+            held = held.where(F.col("_key").between(a, b)).join(groups, "_group", "left_semi")
+            present = present.join(groups, "_group", "left_semi").unionByName(owner.join(groups, "_group", "left_anti"))
+        held.distinct().repartition("_group").write.partitionBy("_group").parquet(f"{self.path}/records/run={run}")
+        self._kept(present, "groups", run)
+        runs = sorted(r.run for r in self.spark.read.schema("_group bigint, run string").parquet(f"{self.path}/data/{run}/groups").select("run").distinct().collect())
+        text = json.dumps({"levels": [f"{run}/level={k}" for k in range(levels + 1)], "groups": f"{run}/groups", "runs": runs, "output": f"{run}/output"})
         if not files.write_new(self.spark, f"{self.path}/runs/{number + 1:08d}.json", text):
             raise RuntimeError(f"another run {number + 1} was published in {self.path}")
-        return self.spark.read.parquet(f"{at}/output")
+        return self.spark.read.schema(out.schema).parquet(f"{self.path}/data/{run}/output")
 
 
 # -- consumers known by their checkpoint only --------------------------------------
@@ -176,49 +209,64 @@ def committed_positions(checkpoints: DataFrame) -> DataFrame:
     return per.where(F.col("consumer_id").isNotNull()).select("consumer_id", F.col("_run.last_applied_seq").alias("position"))
 
 
-def pending_records(spark: SparkSession, changelog: DataFrame, checkpoints: DataFrame, seq: str = "stream_seq", width: int = WIDTH, fanout: int = FANOUT) -> DataFrame:
+def pending_records(spark: SparkSession, changelog: DataFrame, checkpoints: DataFrame, seq: str = "stream_seq", width: int = WIDTH, fanout: int = FANOUT, path: str | None = None) -> DataFrame:
     """(consumer_id, seq) of the records each consumer has not applied yet.
 
-    A consumer's saved tree is the tree over the records up to its position. It
-    differs from the current one in the nodes on the path to the position, whose
-    digests are made again from the records up to it, and in the nodes beyond,
-    which it lacks; nodes before the position are taken over from the current tree.
-    The descent finds the differing leaves of every consumer at once; of their
-    records those beyond the position come out. Repeated rows count once, null
-    keys never come out, and an empty feed or log gives no rows.
+    The consumers' trees are saved in ``path`` (a new shared folder if None): the tree over what all of them can have
+    applied, which they share, and of each the nodes on the path to its position, down to the
+    records of the leaf the position lies in. They are restored from the log of checkpoints,
+    which alone says what was applied. The current tree is then compared with
+    every saved one at once, from the root: a consumer's children of a node that differs are
+    looked up, in the shared tree before its path and on its path, and those without an equal digest go on.
+    Of the leaves that differ come out the records that the saved leaf lacks.
+
+    Output and current tree are published together by ``runs/<n>.json``, in one step; a run that fails
+    before leaves nothing behind that is read, and a run repeated with the same checkpoints
+    gives the same records. Repeated rows count once, null keys never come
+    out, and an empty feed or log gives no rows.
     """
-    at = shared_dir(spark, "pending")
-    keys = changelog.where(F.col(seq).isNotNull()).select(F.col(seq).alias("_key")).distinct()
-    keys.withColumn("_row", F.xxhash64("_key")).write.parquet(f"{at}/keys")
-    keys = spark.read.parquet(f"{at}/keys")
+    at = path.rstrip("/") if path else shared_dir(spark, "pending")
+    run = f"{at}/data/{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{run}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{run}/{name}")
+
+    keys = kept(changelog.where(F.col(seq).isNotNull()).select(F.col(seq).cast("bigint").alias("_key")).distinct().withColumn("_row", F.xxhash64("_key")), "keys")
+    consumers = kept(committed_positions(checkpoints), "consumers")
     levels, tops = height(keys, "_key", width, fanout)
-    leaves(keys, "_key", "_row", width).write.parquet(f"{at}/leaves")
-    now = [spark.read.parquet(f"{at}/leaves")]
+    now = [kept(leaves(keys, "_key", "_row", width), "tree/level=0")]
     for _ in range(levels):
         now.append(parents(now[-1], fanout))
-    consumers = committed_positions(checkpoints)
 
-    # digests along the path to each position, from the leaf up
-    edge = consumers.where("position IS NOT NULL").withColumn("_leaf", node_of("position", 0, width))
-    part = keys.withColumn("_leaf", node_of("_key", 0, width)).join(edge, "_leaf").where("_key <= position")
-    path = part.groupBy("consumer_id", "position", F.col("_leaf").alias("node")).agg(*_digest("_key", "_row"))
-    paths = [path]
+    # saved trees: what is shared, and each consumer's leaf at its position
+    farthest = consumers.agg(F.max("position")).first()[0]
+    applied = keys.where(F.col("_key") <= F.lit(farthest)) if farthest is not None else keys.limit(0)
+    shared = [kept(leaves(applied, "_key", "_row", width), "saved/level=0")]
+    edge = consumers.where("position IS NOT NULL").withColumn("node", node_of("position", 0, width))
+    last = applied.withColumn("node", node_of("_key", 0, width)).join(edge, "node").where("_key <= position")
+    last = kept(last.select("consumer_id", "node", "_key", "_row"), "saved/records")
+    paths = [last.groupBy("consumer_id", "node").agg(*_digest("_key", "_row"))]
     for k in range(levels):
-        above = edge.select("consumer_id", "position", node_of("position", k + 1, width, fanout).alias("_up"))
-        full = now[k].withColumn("_up", _parent("node", fanout)).join(above, "_up").where(F.col("node") < node_of("position", k, width, fanout))
-        below = full.select("consumer_id", "position", "node", "digest").unionByName(paths[-1])
-        paths.append(below.groupBy("consumer_id", "position", _parent("node", fanout).alias("node")).agg(*_digest("node", "digest")))
+        shared.append(parents(shared[-1], fanout))
+        above = edge.select("consumer_id", node_of("position", k, width, fanout).alias("_own"), node_of("position", k + 1, width, fanout).alias("_up"))
+        before = shared[k].withColumn("_up", _parent("node", fanout)).join(above, "_up").where("node < _own")
+        below = before.select("consumer_id", "node", "digest").unionByName(paths[-1])
+        paths.append(below.groupBy("consumer_id", _parent("node", fanout).alias("node")).agg(*_digest("node", "digest")))
 
-    # descend: nodes before the position are equal by construction and never expanded
     # every consumer starts at the one or two nodes above the top level
     differ = consumers.withColumn("node", F.explode(F.array(*[F.lit(t).cast("bigint") for t in tops]) if tops else F.expr("array(cast(null as bigint))")))
     for k in range(levels, -1, -1):
         above = differ.select(F.col("node").alias("_parent"), "consumer_id", "position")
         node = now[k].withColumn("_parent", _parent("node", fanout)).join(above, "_parent").drop("_parent")
+        node = node.join(shared[k].select("node", F.col("digest").alias("_shared")), "node", "left")
+        node = node.join(paths[k].select("consumer_id", "node", F.col("digest").alias("_path")), ["consumer_id", "node"], "left")
         own = node_of("position", k, width, fanout)
-        saved = paths[k].select("consumer_id", "node", F.col("digest").alias("_path"))
-        node = node.join(saved, ["consumer_id", "node"], "left")
-        then = F.when(F.col("position").isNull() | (F.col("node") > own), None).when(F.col("node") < own, F.col("digest")).otherwise(F.col("_path"))
-        differ = node.where(~F.col("digest").eqNullSafe(then)).select("consumer_id", "position", "node")
-    found = keys.withColumn("node", node_of("_key", 0, width)).join(differ, "node")
-    return found.where("position IS NULL OR _key > position").select("consumer_id", F.col("_key").alias(seq))
+        saved = F.when(F.col("node") < own, F.col("_shared")).when(F.col("node") == own, F.col("_path"))
+        differ = node.where(~F.col("digest").eqNullSafe(saved)).select("consumer_id", "position", "node")
+    found = keys.withColumn("node", node_of("_key", 0, width)).join(differ, "node").join(last, ["consumer_id", "_key", "_row"], "left_anti")
+    out = kept(found.select("consumer_id", F.col("_key").alias(seq)), "output")
+    number = len(files.list_names(spark, f"{at}/runs")) + 1
+    if not files.write_new(spark, f"{at}/runs/{number:08d}.json", json.dumps({"output": f"{run}/output", "tree": f"{run}/tree/level=0", "consumers": f"{run}/consumers"})):
+        raise RuntimeError(f"another run {number} was published in {at}")
+    return out

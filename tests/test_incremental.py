@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -5,6 +6,7 @@ import pytest
 from conftest import rows
 from sightline.operators.incremental import IncrementalRun, committed_positions, descend, height, pending_records, tree
 from sightline.session import shared_dir
+from sightline.sources import files
 
 CHECKPOINT = "consumer_id string, last_applied_seq bigint, updated_ts bigint, run_state string"
 
@@ -76,3 +78,55 @@ def test_runs_process_each_record_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted(seen[-1])
     job.run(df, process)
     assert seen[-1] == []
+
+
+def test_unchanged_groups_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(IncrementalRun, "RUNS_MOST", 3)
+    job, seen = IncrementalRun(spark, shared_dir(spark, "runs"), "id", width=4, fanout=2), []
+
+    def process(df):
+        seen.append(rows(df))
+        return df
+
+    table, want = {}, []
+    for n in range(6):
+        new = {100 * n + i: f"v{n}" for i in range(30)} | ({5: f"again{n}"} if n % 2 else {})
+        table |= new
+        want.append(sorted(new.items()))
+        # rows that repeat change no outcome
+        job.run(spark.createDataFrame([*table.items(), *list(table.items())[: 7 * n]], "id bigint, _all string"), process)
+    assert [sorted(s) for s in seen] == want
+    runs = [len(json.loads(files.read_text(spark, f"{job.path}/runs/{n:08d}.json"))["runs"]) for n in range(1, 7)]
+    assert runs[0] == 1 and max(runs) == 3 and 1 in runs[1:]
+    # the second run wrote only the digests of the groups it changed
+    second = json.loads(files.read_text(spark, f"{job.path}/runs/00000002.json"))
+    written = spark.read.parquet(f"{job.path}/records/run={second['levels'][0].split('/')[0]}")
+    assert written.count() < 60 and written.where("_key BETWEEN 20 AND 29").count() == 0
+
+
+def test_a_table_that_ever_was_empty(spark):
+    job = IncrementalRun(spark, shared_dir(spark, "runs"), "id")
+    empty = spark.createDataFrame([], "id bigint, v string")
+    assert rows(job.run(empty, lambda d: d)) == [] and rows(job.run(empty, lambda d: d)) == []
+    assert rows(job.run(spark.createDataFrame([(1, "a")], "id bigint, v string"), lambda d: d)) == [(1, "a")]
+    assert rows(job.run(empty, lambda d: d)) == []
+
+
+def test_pending_publishes_output_and_tree_together(spark, monkeypatch):
+    path = shared_dir(spark, "pending")
+    log = spark.createDataFrame([(i,) for i in range(100)], "stream_seq bigint")
+    runs = spark.createDataFrame([("a", 49, 1, "committed")], CHECKPOINT)
+    write = files.write_new
+    monkeypatch.setattr(files, "write_new", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        pending_records(spark, log, runs, width=8, fanout=4, path=path)
+    assert files.list_names(spark, f"{path}/runs") == []
+    monkeypatch.setattr(files, "write_new", write)
+    for n in (1, 2):
+        got = pending_records(spark, log, runs, width=8, fanout=4, path=path)
+        assert [r[1] for r in rows(got)] == list(range(50, 100))
+        published = json.loads(files.read_text(spark, f"{path}/runs/{n:08d}.json"))
+        assert rows(spark.read.parquet(published["output"])) == rows(got)
+        assert spark.read.parquet(published["tree"]).count() == 13
+        saved = published["tree"].replace("/tree/", "/saved/")
+        assert spark.read.parquet(saved).count() == 7
