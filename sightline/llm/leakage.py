@@ -19,7 +19,7 @@ its shingles rarest among the items, of as little weight as may differ.
 The corpus streams through once, in Arrow batches, without a shuffle; only hits
 (document, item) are shuffled, after each batch has reduced them to a row a pair.
 The items are a stated query set: they go to the workers in passes of at most
-``items_per_pass`` items, so what is broadcast has a fixed bound at any number.
+``items_per_pass`` items and some ``BYTES_PER_PASS``, so what is broadcast has a fixed bound at any number.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ SHINGLE = 5
 RADIUS = 3
 SIMILARITY = 0.8
 ITEMS_PER_PASS = 2000
+#: Bytes of passages a pass may hold.
+BYTES_PER_PASS = 16 << 20
 #: Words of text handled at once; longer texts stand alone.
 CHUNK_WORDS = 8_000
 KNOWN_WORDS = 300_000
@@ -260,7 +262,8 @@ def leaks(
     kinds = (docs.schema[0].dataType.simpleString(), items.select(F.col(item_id)).schema[0].dataType.simpleString())
     schema = HIT_SCHEMA.format(*kinds)
     named = items.select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage")).where("item_id IS NOT NULL AND passage IS NOT NULL").distinct()
-    passes = max(1, -(-named.count() // items_per_pass))
+    count, size = named.agg(F.count("*"), F.sum(F.octet_length("passage"))).first()
+    passes = max(1, -(-count // items_per_pass), -(-(size or 0) // BYTES_PER_PASS))
     part = F.pmod(F.xxhash64("item_id", "passage"), F.lit(passes))
     hits = None
     for k in range(passes):

@@ -161,18 +161,23 @@ def look(text: str) -> str:
 
 @lru_cache(1)
 def _caseless() -> dict[int, str]:
-    """Lower-case letters joined when some case of them looks alike (such as в and b, by В and B)."""
+    """Lower-case letters joined when some case of them looks alike (such as в and b, by В and B).
+
+    Two letters of one alphabet are never joined, though a foreign letter whose cases look
+    like either would link them (N Ν ν v): words that differ in them differ visibly.
+    """
     leader: dict[str, str] = {}
+    alphabets = [set(map(chr, range(ord(a), ord(z) + 1))) for a, z in ("az", "αω", "ая")]
 
     def find(c: str) -> str:
         while leader.get(c, c) != c:
             c = leader[c]
         return c
 
-    pairs = [*letters().items()]
-    for a, b in pairs:
+    for a, b in sorted(letters().items(), key=lambda p: p[0] != p[0].lower()):  # what lower case shows goes first
         a, b = sorted((find(a.lower()), find(b.lower())), key=lambda c: (not c.isascii(), c))
-        if a != b:
+        joined = {c for c in [*leader, a, b] if find(c) in (a, b)}
+        if a != b and all(len(joined & letters_of) < 2 for letters_of in alphabets):
             leader[b] = a
     return {ord(c): find(c) for c in leader if find(c) != c}
 

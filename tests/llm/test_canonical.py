@@ -55,6 +55,13 @@ def test_a_very_long_text_and_an_empty_table(spark):
     assert rows(canonical.canonical_texts(df.limit(0))) == []
 
 
+def test_different_letters_of_an_alphabet_stay_different():
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя"):
+        assert len({lookalike.words(c)[0] for c in alphabet}) == len(alphabet)
+        assert all(lookalike.words(c) == lookalike.words(c.upper()) for c in alphabet if c not in "γνυ")
+    assert lookalike.words("Νow it") == lookalike.words("now it") != lookalike.words("now lt")
+
+
 def test_words_disregard_case_and_look():
     assert lookalike.words("Вот ВОТ вот") == ["bot"] * 3 or len(set(lookalike.words("Вот ВОТ вот"))) == 1
     assert lookalike.words("BOT")[0] == lookalike.words("ВОТ")[0]
