@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every usable cached vector, however far, with their cosines."""
     near = knn.neighbours(table(spark, folder, "cache_entries"), min_cosine=None)
-    return near.select("grp", "id", "neighbour", F.round("cosine", 4).alias("cosine"), "rank")
+    return near.select("grp", "id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +47,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """One order of every query's hits, from all its sources."""
-    return rankfuse.ranking(table(spark, folder, "hit_explanations"), table(spark, folder, "score_components"))
+    return rankfuse.ranking(table(spark, folder, "hit_explanations"), table(spark, folder, "score_components")).withColumn("fused_score", F.round("fused_score", 6))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,6 +150,38 @@ ORACLE: dict[str, str] = {
         SELECT x.a AS entry_id_a, x.b AS entry_id_b
         FROM ranked x JOIN ranked y ON x.a = y.b AND x.b = y.a
         WHERE x.a < x.b AND x.place <= 10 AND y.place <= 10""",
+    "p1_neighbours": """
+        WITH good AS (
+            SELECT DISTINCT entry_id, embedder_id, value::DOUBLE[] AS value FROM cache_entries
+            WHERE entry_id IS NOT NULL AND len(value) = 64 AND len(list_filter(value, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(value, lambda x: x <> 0)) > 0
+        ), near AS (
+            SELECT a.embedder_id AS grp, a.entry_id AS id, b.entry_id AS neighbour, round(list_cosine_similarity(a.value, b.value), 12) AS cosine
+            FROM good a JOIN good b ON a.embedder_id IS NOT DISTINCT FROM b.embedder_id AND a.entry_id <> b.entry_id
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour) AS rank FROM near)
+        SELECT grp, id, neighbour, round(cosine, 6) AS cosine, rank::INTEGER AS rank FROM ranked WHERE rank <= 10""",
+    "p5_ranking": """
+        WITH hits AS (SELECT DISTINCT query_id, doc_id FROM hit_explanations WHERE query_id IS NOT NULL AND doc_id IS NOT NULL),
+        clean AS (
+            SELECT DISTINCT query_id, doc_id, source, CASE WHEN NOT isnan(raw_score) AND NOT isinf(raw_score) THEN raw_score END AS score,
+                   CASE WHEN weight IS NULL OR isnan(weight) OR isinf(weight) THEN 0 ELSE weight END AS weight
+            FROM score_components WHERE query_id IS NOT NULL AND doc_id IS NOT NULL
+        ), middles AS (SELECT query_id, source, max(weight) AS weight, quantile_disc(score, 0.5) AS middle FROM clean GROUP BY ALL),
+        scales AS (
+            SELECT query_id, source, 1.4826 * quantile_disc(abs(score - middle), 0.5) AS scale
+            FROM clean c JOIN middles m USING (query_id, source) GROUP BY ALL
+        ), values_ AS (
+            SELECT c.query_id, c.doc_id, c.source, max(m.weight) AS weight,
+                   max(ln(least(greatest(1 / (1 + exp(-(CASE WHEN scale > 0 THEN (score - middle) / scale ELSE sign(score - middle) * 3 END))), 2e-6), 1 - 1e-6))) AS v
+            FROM clean c JOIN middles m ON m.query_id = c.query_id AND m.source IS NOT DISTINCT FROM c.source
+            JOIN scales s ON s.query_id = c.query_id AND s.source IS NOT DISTINCT FROM c.source WHERE score IS NOT NULL GROUP BY ALL
+        ), sums AS (SELECT query_id, doc_id, sum(weight * v) AS total, sum(weight) AS held FROM values_ GROUP BY ALL),
+        whole AS (SELECT query_id, sum(weight) AS weight FROM middles GROUP BY ALL),
+        fused AS (
+            SELECT h.query_id, h.doc_id, round(CASE WHEN w.weight > 0 THEN exp((coalesce(total, 0) + (w.weight - coalesce(held, 0)) * ln(1e-6)) / w.weight) ELSE 1e-6 END, 9) AS f
+            FROM hits h LEFT JOIN sums s USING (query_id, doc_id) LEFT JOIN whole w USING (query_id)
+        )
+        SELECT query_id, doc_id, round(f, 6) AS fused_score, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, doc_id) AS rank FROM fused""",
     "p4_found": """
         WITH good AS (
             SELECT DISTINCT event_id, project_key, lower(trim(query_class)) AS query_class, lower(trim(phase)) AS phase,

@@ -6,16 +6,20 @@ result into (0, 1), so that no source counts for more than its weight however fa
 score lies off; the squashed values are combined by a weighted geometric mean over
 the query's sources. A missing score takes the least value.
 
-``ranking`` gives that order. ``preferred`` asks for more: the hit that the sources,
-by weighted majority, prefer to *every* other hit. A weighted mean need not put that
-hit first, so the order only seeds a knock-out: hits meet in fused order, and whichever
-the majority prefers stays. A hit preferred to all others survives any knock-out, also
+``ranking`` gives that order of all hits of a query. ``preferred`` gives the hits that come first in
+the order of every pair they are in. Of two scores the median is their mean and the median
+absolute deviation half their difference, so standardised they are plus and minus
+``1 / MAD_SCALE``, whatever the source's unit, and 0 if they are equal; the geometric means of
+their squashed values put first the hit whose higher scores have more weight, exactly.
+
+A hit that is first in all its pairs survives any knock-out of pairs, also
 one held in parts, so parts of bounded size are played apart, their winners again, and
-so on; the last survivor is then held exactly against all hits of its query.
+so on; the last survivor then meets all hits of its query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,45 +68,41 @@ def squashed(score: Column, middle: Column, scale: Column) -> Column:
     return F.least(F.greatest(1 / (1 + F.exp(-off)), F.lit(LEAST * 2)), F.lit(1 - LEAST))
 
 
-def fused(hits: DataFrame, components: DataFrame, query: str = "query_id", doc: str = "doc_id", source: str = "source", score: str = "raw_score", weight: str = "weight", final: str = "final_score") -> DataFrame:
-    """Every hit once: (query, doc, final, fused, scores, weights, hits).
+def fused(hits: DataFrame, components: DataFrame, query: str = "query_id", doc: str = "doc_id", source: str = "source", score: str = "raw_score", weight: str = "weight") -> DataFrame:
+    """Every hit once: (query, doc, fused).
 
-    ``scores``: its scores by source; ``weights``: the query's sources with their
-    weights; ``hits``: the query's number of hits. Rows of ``components`` that are no
-    hit's still shape their source's median. Hits without any source get the least
-    score; hits whose query or document is null are left out.
+    Rows of ``components`` that are no hit's still shape their source's median. Hits without any source get the least
+    score; hits whose query or document is null are left out. Sums of doubles depend on the order of
+    their parts, which shuffles don't keep: scores are rounded to 9 places, so equal hits tie on every run.
     """
-    one = hits.where(f"{query} IS NOT NULL AND {doc} IS NOT NULL").groupBy(query, doc).agg(F.max(F.when(~F.isnan(F.col(final)), F.col(final))).alias(final))
+    one = hits.where(f"{query} IS NOT NULL AND {doc} IS NOT NULL").groupBy(query, doc).agg(F.count("*").alias("_rows"))
     clean = cut(clean_components(components, [query, doc], source, score, weight), "components")
     stats = source_statistics(clean, query)
-    per_query = stats.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("weights"), F.sum("weight").alias("_total"))
-    numbers = one.groupBy(query).agg(F.count("*").alias("hits"))
+    totals = cut(stats.groupBy(query).agg(F.sum("weight").alias("_total"), F.sum("n").alias("_n")), "totals")
     value = F.ln(squashed(F.col("score"), F.col("middle"), F.col("scale")))
     scored = join_by_key(clean.where("score IS NOT NULL").drop("weight"), stats, [query, "source"], "n")
     # repeated (query, doc, source) with different scores: the greatest holds
-    held = scored.groupBy(query, doc, "source").agg(F.max("score").alias("score"), F.max(value).alias("_ln"), F.max("weight").alias("weight"))
-    vectors = held.groupBy(query, doc).agg(F.collect_list(F.struct("source", "score")).alias("scores"), F.sum(F.col("weight") * F.col("_ln")).alias("_sum"), F.sum("weight").alias("_held"))
-    info = cut(numbers.join(per_query, query, "left"), "queries")
-    rows = join_by_key(one.join(vectors, [query, doc], "left"), info, [query], "hits")
+    held = scored.groupBy(query, doc, "source").agg(F.max(value).alias("_ln"), F.max("weight").alias("weight"))
+    sums = held.groupBy(query, doc).agg(F.sum(F.col("weight") * F.col("_ln")).alias("_sum"), F.sum("weight").alias("_held"))
+    rows = join_by_key(one.join(sums, [query, doc], "left"), totals, [query], "_n", "left")
     missing = (F.col("_total") - F.coalesce("_held", F.lit(0.0))) * F.ln(F.lit(LEAST))
     mean = F.exp((F.coalesce("_sum", F.lit(0.0)) + missing) / F.col("_total"))
-    return rows.select(query, doc, final, F.when(F.col("_total") > 0, mean).otherwise(F.lit(LEAST)).alias("fused"), "scores", "weights", "hits")
+    return rows.select(query, doc, F.round(F.when(F.col("_total") > 0, mean).otherwise(F.lit(LEAST)), 9).alias("fused"))
 
 
 def ranking(hits: DataFrame, components: DataFrame, query: str = "query_id", doc: str = "doc_id", **names: str) -> DataFrame:
     """(query, doc, fused_score, rank): the fused order of each query's hits, from 1; equal scores by document.
 
-    A query's hits are ranked in bands of its score range, each band's ranks shifted
-    by the number of hits in the bands above; no task holds more than a band.
+    Hits are sorted in ranges of (query, score, document), which may part a query and part
+    equal scores; a range's ranks are shifted by the query's hits in the ranges before.
+    So no task holds more than a range, whatever a query has.
     """
-    rows = fused(hits, components, query, doc, **names).select(query, doc, "fused", "hits")
-    banded = rows.withColumn("_band", F.floor((1 - F.col("fused")) * F.ceil(F.col("hits") / PART)))
-    sizes = banded.groupBy(query, "_band").agg(F.count("*").alias("_size"))
-    above = Window.partitionBy(query).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(query, "_band", F.coalesce(F.sum("_size").over(above), F.lit(0)).alias("_above"))
-    place = F.row_number().over(Window.partitionBy(query, "_band").orderBy(F.desc("fused"), doc))
-    ranked = banded.withColumn("_place", place).join(shifts, [query, "_band"])
-    return ranked.select(query, doc, F.col("fused").alias("fused_score"), (F.col("_place") + F.col("_above")).alias("rank"))
+    order = [F.col(query), F.desc("fused"), F.col(doc)]
+    ranged = cut(fused(hits, components, query, doc, **names).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(query).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy(query, "_range").agg(F.count("*").alias("_size")).select(query, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_above"))
+    ranked = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(query, "_range").orderBy(*order[1:])))
+    return ranked.join(shifts, [query, "_range"]).select(query, doc, F.col("fused").alias("fused_score"), (F.col("_place") + F.col("_above")).alias("rank"))
 
 
 def _score_of(scores: Column, source: Column) -> Column:
@@ -110,46 +110,64 @@ def _score_of(scores: Column, source: Column) -> Column:
     return F.coalesce(found, F.lit(float("-inf")))
 
 
-def majority(one: Column, other: Column, weights: Column) -> Column:
-    """Whether the sources that score ``one`` higher have together more weight than those that score ``other`` higher."""
+#: Squashed values of a pair's scores: the higher, the lower, and either of two equal ones.
+HIGHER, LOWER, EQUAL = (1 / (1 + math.exp(-z / MAD_SCALE)) for z in (1, -1, 0))
+
+
+def first_of_pair(one: Column, other: Column, weights: Column) -> Column:
+    """Whether ``one`` comes before ``other`` in the fused order of the two alone.
+
+    A source's weight goes with the squashed value its score has in the pair; the weighted geometric
+    means are compared by their logarithms. A missing score is lower than any other. False if neither comes first.
+    """
+
+    def mean(a: Column, b: Column) -> Column:
+        """Logarithm of the weighted geometric mean of ``a``, times the weights' sum, which both share."""
 
-    def side(a: Column, b: Column) -> Column:
-        def step(total: Column, w: Column) -> Column:
-            return total + F.when(_score_of(a, w["source"]) > _score_of(b, w["source"]), w["weight"]).otherwise(F.lit(0.0))
+        def weight(chosen) -> Column:
+            return F.aggregate(F.filter(weights, lambda w: chosen(_score_of(a, w["source"]), _score_of(b, w["source"]))), F.lit(0.0), lambda total, w: total + w["weight"])
 
-        return F.aggregate(weights, F.lit(0.0), step)
+        high, low = weight(lambda x, y: x > y) * math.log(HIGHER), weight(lambda x, y: x < y) * math.log(LOWER)
+        return high + low + weight(lambda x, y: x == y) * math.log(EQUAL)
 
-    return F.coalesce(side(one, other) > side(other, one), F.lit(False))
+    return F.coalesce(mean(one, other) > mean(other, one), F.lit(False))
 
 
 def _winner(entries: Column, weights: Column) -> Column:
-    """Survivor of a knock-out among ``entries`` (doc, scores, ...), which meet in order."""
+    """Survivor of a knock-out among ``entries`` (doc, scores, final), which meet in order."""
     rest = F.slice(entries, F.lit(2), F.size(entries))
-    return F.aggregate(rest, F.element_at(entries, 1), lambda held, new: F.when(majority(new["scores"], held["scores"], weights), new).otherwise(held))
+    return F.aggregate(rest, F.element_at(entries, 1), lambda held, new: F.when(first_of_pair(new["scores"], held["scores"], weights), new).otherwise(held))
 
 
-def preferred(hits: DataFrame, components: DataFrame, query: str = "query_id", doc: str = "doc_id", final: str = "final_score", **names: str) -> DataFrame:
-    """(query, doc): hits preferred to each other hit of their query, although another's ``final`` is greater.
+def preferred(hits: DataFrame, components: DataFrame, query: str = "query_id", doc: str = "doc_id", final: str = "final_score", source: str = "source", score: str = "raw_score", weight: str = "weight") -> DataFrame:
+    """(query, doc): hits that come before each other hit of their query in the order of the two, although another's ``final`` is greater.
 
     A missing, null, NaN or infinite score is lower than any other, and two such are
     equal; a null or NaN ``final`` is lower than any other. Queries with one hit give none.
     """
-    rows = fused(hits, components, query, doc, final=final, **names).where("hits > 1")
-    entry = F.struct((-F.col("fused")).alias("order"), F.col(doc).alias("doc"), F.coalesce("scores", F.expr("array()")).alias("scores"), F.col(final).alias("final"))
-    all_rows = cut(rows.select(query, "hits", "weights", entry.alias("entry")), "entries").withColumn("part", F.pmod(F.xxhash64("entry.doc"), F.ceil(F.col("hits") / PART)))
-    most = hits.groupBy(query).count().agg(F.max("count")).first()[0] or 1
-    left = all_rows
+    one = hits.where(f"{query} IS NOT NULL AND {doc} IS NOT NULL").groupBy(query, doc).agg(F.max(F.when(~F.isnan(F.col(final)), F.col(final))).alias("final"))
+    clean = clean_components(components, [query, doc], source, score, weight)
+    held = clean.where("score IS NOT NULL").groupBy(query, doc, "source").agg(F.max("score").alias("score"))
+    scores = held.groupBy(query, doc).agg(F.collect_list(F.struct("source", "score")).alias("scores"))
+    weights = clean.groupBy(query, "source").agg(F.max("weight").alias("weight")).groupBy(query).agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("weights"))
+    entry = F.struct(F.col(doc).alias("doc"), F.coalesce("scores", F.expr("array()")).alias("scores"), "final")
+    entries = cut(one.join(scores, [query, doc], "left").select(query, entry.alias("entry")), "entries")
+    queries = cut(entries.groupBy(query).agg(F.count("*").alias("hits")).where("hits > 1").join(weights, query), "queries")
+    most = queries.agg(F.max("hits")).first()[0] or 1
+    parts = F.ceil(F.col("hits") / PART)
+    placed = join_by_key(entries, queries.select(query, "hits"), [query], "hits").withColumn("part", F.pmod(F.xxhash64("entry.doc"), parts))
+    left = placed
     while True:
-        played = left.groupBy(query, "part").agg(F.sort_array(F.collect_list("entry")).alias("entries"), F.first("weights").alias("weights"), F.max("hits").alias("hits"))
+        played = left.groupBy(query, "part").agg(F.sort_array(F.collect_list("entry")).alias("entries")).join(queries, query)
         left = played.select(query, "hits", "weights", "part", _winner(F.col("entries"), F.col("weights")).alias("entry"))
         most = -(-most // PART)
         if most <= 1:
             break
-        left = left.withColumn("part", F.floor(F.col("part") / PART))
+        left = left.select(query, F.floor(F.col("part") / PART).alias("part"), "entry")
     # the survivor against all hits, part by part: a query with very many hits is not one task
-    champion = left.select(query, F.col("entry").alias("best"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("hits") / PART) - 1)).alias("part"))
-    met = all_rows.join(champion, [query, "part"]).where("entry.doc <> best.doc")
-    beaten = majority(F.col("best.scores"), F.col("entry.scores"), F.col("weights"))
+    champion = left.select(query, "weights", F.col("entry").alias("best"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    met = placed.join(champion, [query, "part"]).where("entry.doc <> best.doc")
+    beaten = first_of_pair(F.col("best.scores"), F.col("entry.scores"), F.col("weights"))
     higher = F.coalesce(F.col("entry.final") > F.coalesce(F.col("best.final"), F.lit(float("-inf"))), F.lit(False)) | (F.col("entry.final").isNotNull() & F.col("best.final").isNull())
     judged = met.groupBy(query, F.col("best.doc").alias(doc)).agg(F.bool_and(beaten).alias("all_beaten"), F.bool_or(higher).alias("one_higher"))
     return judged.where("all_beaten AND one_higher").select(query, doc)
