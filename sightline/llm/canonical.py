@@ -9,8 +9,9 @@ smallest text (by bytes) is the class's canonical member, and it is joined back.
 Collated keys are compared by a collator, which is slow, and carry whole texts. So
 texts are first grouped by the hash of a skeleton without accents, which equal
 looking texts always share; only skeletons with two different texts, few of all, go
-on. The first grouping moves three numbers per text and combines on the map side,
-so a text repeated in a third of all rows costs one row per task.
+on. The first grouping moves a few numbers per text and combines on the map side,
+so a text repeated in a third of all rows costs one row per task. Texts are told apart, and
+joined, by 128 hashed bits, never by their characters.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm import lookalike
-from sightline.session import shared_dir
+from sightline.session import cut
 
 COLLATION = "UNICODE"
 #: A text without such a character is blank.
 VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}]"
+#: Parts that the rows of one text are joined in.
+SALTS = 16
 
 
 def _mapped(text: Column, table: dict[str, str | None]) -> Column:
@@ -55,24 +58,30 @@ def skeleton_column(text: Column) -> Column:
     return F.regexp_replace(folded, r"[\p{M}\p{C}\p{IsHangul}]", "")
 
 
-def suspects(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, skeleton) of documents that share a skeleton with a different text.
+def text_key(text: Column) -> Column:
+    """128 hashed bits of a text: what joins and groups compare."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(0x5BD1E995), text).alias("b"))
 
-    They are few and used several times, so they are written to the shared folder once.
+
+def suspects(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, skeleton, key) and (key, skeleton, text) of texts that share a skeleton with a different text.
+
+    Skeletons are made once a row and written without the text; texts are fetched by key for suspects only.
     """
     named = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(VISIBLE))
-    keyed = named.withColumn("skeleton", F.xxhash64(skeleton_column(F.col("text"))))
-    shared = keyed.groupBy("skeleton").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
-    at = shared_dir(documents.sparkSession, "suspects")
-    keyed.join(shared.where("low <> high").select("skeleton"), "skeleton", "left_semi").write.parquet(at)
-    return documents.sparkSession.read.parquet(at)
+    keyed = cut(named.select("doc_id", text_key(F.col("text")).alias("key"), F.xxhash64(skeleton_column(F.col("text"))).alias("skeleton")), "skeletons")
+    shared = keyed.groupBy("skeleton").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("skeleton")
+    rows = cut(keyed.join(shared, "skeleton", "left_semi"), "suspects")
+    first = rows.groupBy("key", "skeleton").agg(F.count("*").alias("_n")).select("key", "skeleton")
+    texts = named.select("text", text_key(F.col("text")).alias("key")).join(first, "key").groupBy("key", "skeleton").agg(F.min("text").alias("text"))
+    return rows, texts
 
 
-def variants(suspect: DataFrame) -> DataFrame:
-    """(text, canonical): each different suspect text with its class's canonical member."""
-    texts = suspect.select("skeleton", "text").distinct().withColumn("look", F.collate(look_column(F.col("text")), COLLATION))
-    classes = texts.groupBy("skeleton", "look").agg(F.min("text").alias("canonical"))
-    return texts.join(classes, ["skeleton", "look"]).select("skeleton", "text", "canonical")
+def variants(texts: DataFrame) -> DataFrame:
+    """(key, class, canonical) of suspect texts that look like another: the least text of the class, whose key names it."""
+    looked = texts.withColumn("look", F.collate(look_column(F.col("text")), COLLATION))
+    classes = looked.groupBy("skeleton", "look").agg(F.min("text").alias("canonical"), F.count("*").alias("members")).where("members > 1")
+    return looked.join(classes, ["skeleton", "look"]).select("key", text_key(F.col("canonical")).alias("class"), "canonical")
 
 
 def canonical_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,8 +92,12 @@ def canonical_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     left behind, whatever their names.
     """
     named = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    changed = variants(suspects(documents, doc_id, text)).where("text <> canonical").select("text", "canonical")
-    return named.join(changed, "text", "left").select("doc_id", "text", F.coalesce("canonical", "text").alias("canonical"))
+    changed = cut(variants(suspects(documents, doc_id, text)[1]).where("key <> class").select("key", "canonical"), "changed")
+    # rows of a text, and those without one, are spread over parts; the few changed texts are in all
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    keyed = named.select("doc_id", "text", text_key(F.col("text")).alias("key"), salt.alias("salt"))
+    everywhere = changed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.join(everywhere, ["key", "salt"], "left").select("doc_id", "text", F.coalesce("canonical", "text").alias("canonical"))
 
 
 def same_look_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,14 +106,14 @@ def same_look_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     Pairs of identical texts are none; null, empty and blank texts and null ids take
     no part; each pair comes once, however often rows are repeated.
     """
-    suspect = suspects(documents, doc_id, text).where("doc_id IS NOT NULL")
-    classes = variants(suspect)
-    one = classes.select("skeleton", "canonical", F.col("text").alias("text_a"))
-    two = classes.select("skeleton", "canonical", F.col("text").alias("text_b"))
+    rows, texts = suspects(documents, doc_id, text)
+    members = cut(variants(texts).select("key", "class"), "classes")
+    holders = rows.where("doc_id IS NOT NULL").select("doc_id", "key").distinct()
     # pairs of different texts of a class, each once; then the documents that hold them
-    pairs = one.join(two, ["skeleton", "canonical"]).where("text_a < text_b").select("text_a", "text_b")
-    holders = suspect.select("doc_id", "text").distinct()
-    left = holders.select(F.col("doc_id").alias("one"), F.col("text").alias("text_a"))
-    right = holders.select(F.col("doc_id").alias("two"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "text_a").join(right, "text_b").where("one <> two")
+    one = members.select("class", F.col("key").alias("key_a"))
+    two = members.select("class", F.col("key").alias("key_b"))
+    pairs = one.join(two, "class").where("key_a < key_b").select("key_a", "key_b")
+    left = holders.select(F.col("doc_id").alias("one"), F.col("key").alias("key_a"))
+    right = holders.select(F.col("doc_id").alias("two"), F.col("key").alias("key_b"))
+    both = pairs.join(left, "key_a").join(right, "key_b").where("one <> two")
     return both.select(F.least("one", "two").alias("doc_id_a"), F.greatest("one", "two").alias("doc_id_b")).distinct()
