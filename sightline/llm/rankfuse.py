@@ -105,32 +105,27 @@ def ranking(hits: DataFrame, components: DataFrame, query: str = "query_id", doc
     return ranked.join(shifts, [query, "_range"]).select(query, doc, F.col("fused").alias("fused_score"), (F.col("_place") + F.col("_above")).alias("rank"))
 
 
-def _score_of(scores: Column, source: Column) -> Column:
-    found = F.array_max(F.transform(F.filter(scores, lambda s: s["source"].eqNullSafe(source)), lambda s: s["score"]))
-    return F.coalesce(found, F.lit(float("-inf")))
-
-
 #: Squashed values of a pair's scores: the higher, the lower, and either of two equal ones.
-HIGHER, LOWER, EQUAL = (1 / (1 + math.exp(-z / MAD_SCALE)) for z in (1, -1, 0))
+HIGHER, LOWER = (1 / (1 + math.exp(-z / MAD_SCALE)) for z in (1, -1))
 
 
 def first_of_pair(one: Column, other: Column, weights: Column) -> Column:
-    """Whether ``one`` comes before ``other`` in the fused order of the two alone.
+    """Whether the hit of the scores ``one`` comes before that of ``other`` in the fused order of the two alone.
 
-    A source's weight goes with the squashed value its score has in the pair; the weighted geometric
-    means are compared by their logarithms. A missing score is lower than any other. False if neither comes first.
+    Scores and weights are in the order of the query's sources. A source's weight goes with the squashed value its
+    score has in the pair; the weighted geometric means are compared by their logarithms, without the
+    sources that score both alike, which add the same to either. False if neither comes first.
     """
+    sides = F.zip_with(F.zip_with(one, other, lambda x, y: F.when(x > y, 1).when(x < y, -1).otherwise(0)), weights, lambda side, w: F.struct(side.alias("side"), w.alias("w")))
+    start = F.struct(F.lit(0.0).alias("high"), F.lit(0.0).alias("low"))
 
-    def mean(a: Column, b: Column) -> Column:
-        """Logarithm of the weighted geometric mean of ``a``, times the weights' sum, which both share."""
-
-        def weight(chosen) -> Column:
-            return F.aggregate(F.filter(weights, lambda w: chosen(_score_of(a, w["source"]), _score_of(b, w["source"]))), F.lit(0.0), lambda total, w: total + w["weight"])
+    def step(t: Column, s: Column) -> Column:
+        return F.when(s["side"] == 1, F.struct((t["high"] + s["w"]).alias("high"), t["low"].alias("low"))).when(s["side"] == -1, F.struct(t["high"].alias("high"), (t["low"] + s["w"]).alias("low"))).otherwise(t)
 
-        high, low = weight(lambda x, y: x > y) * math.log(HIGHER), weight(lambda x, y: x < y) * math.log(LOWER)
-        return high + low + weight(lambda x, y: x == y) * math.log(EQUAL)
+    def first(t: Column) -> Column:
+        return t["high"] * math.log(HIGHER) + t["low"] * math.log(LOWER) > t["low"] * math.log(HIGHER) + t["high"] * math.log(LOWER)
 
-    return F.coalesce(mean(one, other) > mean(other, one), F.lit(False))
+    return F.coalesce(F.aggregate(sides, start, step, first), F.lit(False))
 
 
 def _winner(entries: Column, weights: Column) -> Column:
@@ -148,17 +143,18 @@ def preferred(hits: DataFrame, components: DataFrame, query: str = "query_id", d
     one = hits.where(f"{query} IS NOT NULL AND {doc} IS NOT NULL").groupBy(query, doc).agg(F.max(F.when(~F.isnan(F.col(final)), F.col(final))).alias("final"))
     clean = clean_components(components, [query, doc], source, score, weight)
     held = clean.where("score IS NOT NULL").groupBy(query, doc, "source").agg(F.max("score").alias("score"))
-    scores = held.groupBy(query, doc).agg(F.collect_list(F.struct("source", "score")).alias("scores"))
-    weights = clean.groupBy(query, "source").agg(F.max("weight").alias("weight")).groupBy(query).agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("weights"))
-    entry = F.struct(F.col(doc).alias("doc"), F.coalesce("scores", F.expr("array()")).alias("scores"), "final")
-    entries = cut(one.join(scores, [query, doc], "left").select(query, entry.alias("entry")), "entries")
-    queries = cut(entries.groupBy(query).agg(F.count("*").alias("hits")).where("hits > 1").join(weights, query), "queries")
+    scores = held.groupBy(query, doc).agg(F.map_from_entries(F.collect_list(F.struct("source", "score"))).alias("scores"))
+    listed = clean.groupBy(query, "source").agg(F.max("weight").alias("weight")).groupBy(query).agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("_list"))
+    entries = cut(one.join(scores, [query, doc], "left"), "hits")
+    queries = cut(entries.groupBy(query).agg(F.count("*").alias("hits")).where("hits > 1").join(listed, query).select(query, "hits", F.col("_list.source").alias("sources"), F.col("_list.weight").alias("weights")), "queries")
     most = queries.agg(F.max("hits")).first()[0] or 1
     parts = F.ceil(F.col("hits") / PART)
-    placed = join_by_key(entries, queries.select(query, "hits"), [query], "hits").withColumn("part", F.pmod(F.xxhash64("entry.doc"), parts))
+    inorder = F.transform("sources", lambda s: F.coalesce(F.element_at("scores", s), F.lit(float("-inf"))))
+    entry = F.struct(F.col(doc).alias("doc"), inorder.alias("scores"), "final")
+    placed = join_by_key(entries, queries, [query], "hits").select(query, F.pmod(F.xxhash64(doc), parts).alias("part"), entry.alias("entry"))
     left = placed
     while True:
-        played = left.groupBy(query, "part").agg(F.sort_array(F.collect_list("entry")).alias("entries")).join(queries, query)
+        played = left.groupBy(query, "part").agg(F.collect_list("entry").alias("entries")).join(queries.select(query, "hits", "weights"), query)
         left = played.select(query, "hits", "weights", "part", _winner(F.col("entries"), F.col("weights")).alias("entry"))
         most = -(-most // PART)
         if most <= 1:
