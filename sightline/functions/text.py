@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql import types as T
 #: What counts as padding around a code such as a change kind or a consumer id.
 BLANKS = " \t\n\r\f\v"
 
-# Replies that carry no content of their own.
-LOW_SIGNAL = ["ok", "okay", "k", "yes", "no", "sure", "thanks", "thank you", "thx", "done", "got it", "sounds good", "lgtm", "great", "nice", "cool"]
+# Replies that carry no content of their own, as whole texts without regard to ASCII case.
+LOW_SIGNAL = ["ok", "done", "done.", "got it", "got it.", "understood", "understood.", "sure", "sure.", "yes", "no", "thanks", "thanks.", "thank you", "thank you."]
 
 MAX_CHARS = 2000
 CODE_HEAD, CODE_TAIL = 20, 10
@@ -66,8 +67,8 @@ def normalize_whitespace(text: Column) -> Column:
 
 
 def is_low_signal(text: Column) -> Column:
-    """Whether the whole text is a bare acknowledgement."""
-    return F.lower(F.regexp_replace(normalize_whitespace(text), r"[.!]+$", "")).isin(LOW_SIGNAL)
+    """Whether the whole text, but for white space around it, is a bare acknowledgement; other punctuation keeps it ("Thanks!")."""
+    return F.trim(text, F.lit(BLANKS)).rlike(rf"(?i)\A(?:{'|'.join(re.escape(t) for t in LOW_SIGNAL)})\z")
 
 
 def truncate_chars(text: Column, most: int = MAX_CHARS) -> Column:
@@ -120,7 +121,7 @@ def canonical_text(text: str, most: int = MAX_CHARS) -> str:
     if block is not None:
         out += collapse_code(block, language)
     flat = " ".join(" ".join(out).split())
-    return "" if flat.rstrip(".!").lower() in LOW_SIGNAL else flat[:most]
+    return "" if flat.isascii() and flat.lower() in LOW_SIGNAL else flat[:most]
 
 
 def canonical_query(query: str, most: int = MAX_CHARS) -> str:
@@ -226,10 +227,23 @@ def content_hash(text: Column) -> Column:
 
 
 def fnv1a(data: bytes) -> int:
-    h = FNV_OFFSET
-    for b in data:
-        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
-    return h
+    """FNV-1a of some bytes."""
+    return int(fnv1a_all([data])[0])
+
+
+def fnv1a_all(data: list[bytes], start: int = FNV_OFFSET) -> np.ndarray:
+    """FNV-1a of each: one byte of all of them at a time, longest first, so that those still running lie together."""
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    order = np.argsort(-size, kind="stable")
+    flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+    first, left = (np.cumsum(size) - size)[order], size[order]
+    running = np.searchsorted(-left, -np.arange(1, left[0] + 1 if len(left) else 1), "right")
+    h, prime = np.full(len(data), start, np.uint64), np.uint64(FNV_PRIME)
+    for at, n in enumerate(running):
+        h[:n] = (h[:n] ^ flat[first[:n] + at]) * prime
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 def signed(h: int) -> int:
@@ -240,19 +254,33 @@ def signed(h: int) -> int:
 @F.arrow_udf(T.LongType())
 def fnv1a_64(text: pa.Array) -> pa.Array:
     """FNV-1a of the UTF-8 bytes, as the BIGINT of the same bits."""
-    return pa.array([None if t is None else signed(fnv1a(t.encode())) for t in text.to_pylist()], pa.int64())
+    return pa.array(fnv1a_all(_bytes(text)).view(np.int64), pa.int64(), mask=text.is_null().to_numpy(zero_copy_only=False))
+
+
+def _bytes(text: pa.Array) -> list[bytes]:
+    return text.fill_null("").cast(pa.binary()).to_pylist()
+
+
+def simhashes(texts: list[str]) -> np.ndarray:
+    """64-bit SimHash of each text over its shingles of three words (single words if there are fewer)."""
+    parts: list[bytes] = []
+    counts = np.zeros(len(texts), np.int64)
+    for n, text in enumerate(texts):
+        words = text.split()
+        mine = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or words
+        parts += [m.encode() for m in mine]
+        counts[n] = len(mine)
+    out = np.zeros(len(texts), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        bits = np.unpackbits(fnv1a_all(parts).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ups = np.add.reduceat(bits, (np.cumsum(counts) - counts)[some], axis=0, dtype=np.int64)
+        out[some] = np.packbits(2 * ups > counts[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
 def simhash(text: str) -> int:
-    """64-bit SimHash over shingles of three words (single words if there are fewer)."""
-    words = text.split()
-    parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or words
-    votes = [0] * 64
-    for p in parts:
-        h = fnv1a(p.encode())
-        for b in range(64):
-            votes[b] += 1 if h >> b & 1 else -1
-    return sum(1 << b for b in range(64) if votes[b] > 0)
+    return int(simhashes([text])[0])
 
 
 FINGERPRINT = T.StructType([T.StructField("hash", T.LongType()), T.StructField("simhash", T.LongType()), T.StructField("chars", T.IntegerType()), T.StructField("words", T.IntegerType())])
@@ -260,8 +288,10 @@ FINGERPRINT = T.StructType([T.StructField("hash", T.LongType()), T.StructField("
 
 @F.arrow_udf(FINGERPRINT)
 def fingerprint(text: pa.Array) -> pa.Array:
-    kind = pa.struct([("hash", pa.int64()), ("simhash", pa.int64()), ("chars", pa.int32()), ("words", pa.int32())])
-    return pa.array([None if t is None else {"hash": signed(fnv1a(t.encode())), "simhash": signed(simhash(t)), "chars": len(t), "words": len(t.split())} for t in text.to_pylist()], kind)
+    """Hash, SimHash and size of each text; null stays null."""
+    texts = text.fill_null("").to_pylist()
+    parts = [fnv1a_all(_bytes(text)).view(np.int64), simhashes(texts).view(np.int64), np.array([len(t) for t in texts], np.int32), np.array([len(t.split()) for t in texts], np.int32)]
+    return pa.StructArray.from_arrays([pa.array(x) for x in parts], ["hash", "simhash", "chars", "words"], mask=text.is_null())
 
 
 def needs_reembedding(old: Column, new: Column, threshold: float = 8 / 64, chars: float = 0.2) -> Column:
@@ -292,7 +322,7 @@ STRUCTURE = {
     "type": r"(?:struct|enum|trait|interface|type)\s+([A-Za-z_]\w*)",
     "module": r"(?:mod|module|package|namespace)\s+([A-Za-z_][\w.]*)",
     "import": r"(?:import|use|include|require)\s+([A-Za-z_][\w.:]*)",
-    "heading": r"(?m)^#{1,6}\s+(.+)$",
+    "heading": r"(?md)^#{1,6}\s+(.+)$",
 }
 
 
@@ -307,41 +337,88 @@ def code_structure(content: Column) -> Column:
 
 # -- redaction ------------------------------------------------------------------------------
 
-# What a class of data becomes on a surface; anything else passes.
-REDACTION = {
-    ("secret", "log"): "drop", ("secret", "export"): "drop", ("secret", "display"): "mask", ("secret", "index"): "drop",
-    ("personal", "log"): "hash", ("personal", "export"): "mask", ("personal", "display"): "passthrough", ("personal", "index"): "hash",
-    ("path", "log"): "hash", ("path", "export"): "hash", ("path", "display"): "passthrough", ("path", "index"): "passthrough",
-    ("content", "log"): "truncate", ("content", "export"): "passthrough", ("content", "display"): "passthrough", ("content", "index"): "passthrough",
-}
-
-# Path patterns that hold sensitive data, and the class.
+# What a class of data becomes on each surface.
+REDACTION = """
+class                   log          evidence     explain      display      repro_pack
+credential              drop         mask         drop         drop         mask
+private_key             drop         drop         drop         drop         drop
+cloud_secret            drop         mask         drop         drop         mask
+session_artifact        drop         drop         drop         drop         drop
+personal_data           hash         hash         truncate     truncate     hash
+financial_data          hash         hash         drop         drop         hash
+health_data             hash         hash         drop         drop         hash
+sensitive_file_content  drop         mask         drop         drop         mask
+user_path               hash         hash         truncate     passthrough  hash
+query_text              truncate     truncate     passthrough  passthrough  truncate
+operational             passthrough  passthrough  passthrough  passthrough  passthrough
+"""
+# Characters a truncated value keeps, and where the hash of masks begins.
+TRUNCATED, MASK_SEED = 64, 0xF5F5CAFEBABED00D
+
+# What in a path, without regard to case, tells its data classes; other paths with a folder are user_path.
 SENSITIVE_PATHS = {
-    "secret": r"(?i)(^|/)(\.ssh|\.gnupg|\.aws|\.env(\.[^/]*)?|id_rsa[^/]*|[^/]*\.pem|[^/]*\.key|credentials[^/]*)(/|$)",
-    "personal": r"(?i)(^|/)(contacts|mail|messages|history)(/|$)",
+    "private_key": [".ssh/", "id_rsa", "id_ed25519", "id_ecdsa", ".gnupg/"],
+    "cloud_secret": [".aws/credentials", ".config/gcloud/", ".azure/"],
+    "credential": [".env", ".npmrc", ".pypirc", ".netrc", ".docker/config.json"],
+    "session_artifact": ["cookie", "session"],
 }
+# Paths whose content is never kept, shown or sent; case counts.
+HARD_DENY = [".ssh/", ".gnupg/", ".aws/credentials", ".config/gcloud/", ".azure/", ".kube/config", ".docker/config.json", ".npmrc", ".pypirc", ".netrc", ".env", "id_rsa", "id_ed25519", "id_ecdsa"]
+#: The order in which a path's classes are listed.
+CLASS_ORDER = ["credential", "private_key", "cloud_secret", "session_artifact", "user_path"]
+
+
+def redaction_rules() -> dict[tuple[str, str], str]:
+    """(class, surface) to what is done."""
+    head, *lines = [line.split() for line in REDACTION.strip().split("\n")]
+    return {(kind, surface): action for kind, *actions in lines for surface, action in zip(head[1:], actions)}
+
+
+def _seeded(digits: int):
+    @F.arrow_udf(T.StringType())
+    def run(value: pa.Array) -> pa.Array:
+        low = fnv1a_all(_bytes(value), MASK_SEED) & np.uint64((1 << 4 * digits) - 1)
+        return pa.array([f"{h:0{digits}x}" for h in low.tolist()], pa.string(), mask=value.is_null().to_numpy(zero_copy_only=False))
 
+    return run
 
-def redact(value: Column, data_class: Column, surface: str, keep: int = 64) -> Column:
-    """The value as ``surface`` may see it: dropped, masked, hashed, cut or whole."""
-    hashed = F.sha2(value, 256)
-    out = value
-    for (kind, where), action in REDACTION.items():
-        if where != surface or action == "passthrough":
+
+def redact(value: Column, data_class: Column, surface: str, keep: int = TRUNCATED, rules: dict[tuple[str, str], str] | None = None) -> Column:
+    """The value as ``surface`` may see it: dropped (null), masked, hashed, cut or whole.
+
+    Pairs without a rule, unknown classes and surfaces, and null classes drop the value. Equal values have equal masks.
+    """
+    out = F.lit(None).cast("string")
+    for (kind, where), action in (redaction_rules() if rules is None else rules).items():
+        if where != surface or action == "drop":
             continue
         new = {
-            "drop": F.lit(None).cast("string"),
-            "mask": F.concat(F.lit("<MASKED:"), F.left(hashed, F.lit(8)), F.lit(">")),
-            "hash": F.concat(F.lit("<HASH:"), F.left(hashed, F.lit(16)), F.lit(">")),
-            "truncate": F.left(value, F.lit(keep)),
-        }[action]
+            "mask": lambda: F.concat(F.lit("<MASKED:"), _seeded(8)(value), F.lit(">")),
+            "hash": lambda: F.concat(F.lit("<HASH:"), _seeded(16)(value), F.lit(">")),
+            "truncate": lambda: F.when(F.length(value) > keep, F.concat(F.left(value, F.lit(keep)), F.lit("..."))).otherwise(value),
+            "passthrough": lambda: value,
+        }[action]()
         out = F.when(data_class == kind, new).otherwise(out)
     return out
 
 
-def path_class(path: Column) -> Column:
-    """The data class of a path, null if it is ordinary."""
-    return F.coalesce(*[F.when(path.rlike(p), F.lit(kind)) for kind, p in SENSITIVE_PATHS.items()])
+def path_classes(path: Column) -> Column:
+    """The data classes of a path, in the order of ``CLASS_ORDER``; [] for a bare name. Null gives null."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    lower = F.lower(plain)
+
+    def holds(text: Column, parts: list[str]) -> Column:
+        return text.rlike("|".join(re.escape(p) for p in parts))
+
+    marks = {kind: holds(lower, parts) for kind, parts in SENSITIVE_PATHS.items()}
+    none = ~F.greatest(*marks.values())
+    marks["user_path"] = none & F.contains(plain, F.lit("/"))
+    listed = F.filter(F.array(*[F.when(marks[k], F.lit(k)) for k in CLASS_ORDER]), lambda k: k.isNotNull())
+    return F.when(path.isNotNull(), listed)
+
+
+def is_hard_deny(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/")).rlike("|".join(re.escape(p) for p in HARD_DENY))
 
 
 # -- snippets ----------------------------------------------------------------------------------

@@ -80,24 +80,103 @@ def ewma(rows: DataFrame, by: Sequence[str], seq: str, value: str, alpha: float
     return lists.select(*by, F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.element_at("s", 1)["v"], lambda e, x: a * x["v"] + (1 - a) * e).alias("ewma"))
 
 
-# Modes from full service to none, and the pressure at which each begins.
-DEGRADATION = [("normal", 0.0), ("embed_deferred", 0.6), ("lexical_only", 0.75), ("metadata_only", 0.9), ("paused", 0.97)]
+# Smoothed scores from which each pressure state holds, by profile.
+PRESSURE = """
+profile      constrained  degraded  emergency
+strict       60           75        90
+performance  70           85        95
+degraded     80           90        98
+"""
+STATES = ["normal", "constrained", "degraded", "emergency"]
+
+# Readings in a row that make the mode worse, and better, by profile.
+CONFIRMATIONS = """
+profile      worse  better
+strict       1      3
+performance  2      3
+degraded     2      5
+"""
+MODES = ["normal", "embed_deferred", "lexical_only", "metadata_only", "paused"]
+
+# The mode aimed at, by pressure state and by what else is wrong.
+TARGETS = """
+state        none            circuit_open    high_watermark  saturated
+normal       normal          embed_deferred  embed_deferred  lexical_only
+constrained  embed_deferred  lexical_only    embed_deferred  lexical_only
+degraded     lexical_only    metadata_only   lexical_only    metadata_only
+emergency    metadata_only   metadata_only   metadata_only   paused
+"""
+
+
+def _rows_of(text: str) -> dict[str, dict[str, str]]:
+    head, *lines = [line.split() for line in text.strip().split("\n")]
+    return {line[0]: dict(zip(head[1:], line[1:])) for line in lines}
+
 
+def _confirmed(held: Column, wanted: Column, needed: Column) -> Column:
+    """The next (at, pending, run) of a machine that moves to ``wanted`` once it was wanted ``needed`` times in a row."""
+    run = F.when(held["pending"] == wanted, held["run"] + 1).otherwise(F.lit(1))
 
-def degradation(rows: DataFrame, by: Sequence[str], seq: str, pressure: str, hysteresis: float = 0.05, override: str | None = None) -> DataFrame:
-    """(by..., mode): worse as soon as pressure asks for it, better only once it is ``hysteresis`` below the threshold."""
-    lists = _ordered(rows, by, seq, F.col(pressure).cast("double").alias("p"))
-    limits = [x for _, x in DEGRADATION]
+    def state(at: Column, pending: Column, n: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), pending.cast("int").alias("pending"), n.cast("int").alias("run"))
 
-    def level(p: Column) -> Column:
+    still = state(held["at"], F.lit(-1), F.lit(0))
+    return F.when(wanted == held["at"], still).when(run >= needed, state(wanted, F.lit(-1), F.lit(0))).otherwise(state(held["at"], wanted, run))
+
+
+def pressure_states(rows: DataFrame, by: Sequence[str], seq: str, score: str, profile: str = "performance", alpha: float = 0.3, hysteresis: float = 5.0, needed: int = 3) -> DataFrame:
+    """(by..., state): the pressure state after all readings (0 to 100), from normal.
+
+    Readings are smoothed. A smoothed score asks for a worse state by its threshold, for a better one
+    only once it is ``hysteresis`` below; a state is taken once it was asked for ``needed`` times in a row. Null readings are none.
+    """
+    lists = _ordered(rows.where(F.col(score).isNotNull()), by, seq, F.col(score).cast("double").alias("v"))
+    limits = [float(x) for x in _rows_of(PRESSURE)[profile].values()]
+
+    def state(e: Column, margin: float) -> Column:
         out = F.lit(0)
-        for i, x in enumerate(limits):
-            out = F.when(p >= x, i).otherwise(out)
+        for n, limit in enumerate(limits, 1):
+            out = F.when(e >= max(0.0, limit - margin), n).otherwise(out)
         return out
 
-    step = lambda a, x: F.when(level(x["p"]) > a, level(x["p"])).otherwise(F.least(a, level(x["p"] + hysteresis)))
-    names = F.array(*[F.lit(n) for n, _ in DEGRADATION])
-    mode = F.element_at(names, F.aggregate("s", F.lit(0), step) + 1)
+    def step(a: Column, x: Column) -> Column:
+        e = F.when(a["e"].isNull(), x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * a["e"])
+        up = state(e, 0.0)
+        wanted = F.when(up > a["m"]["at"], up).when(up < a["m"]["at"], state(e, hysteresis)).otherwise(a["m"]["at"])
+        return F.struct(e.alias("e"), _confirmed(a["m"], wanted, F.lit(needed)).alias("m"))
+
+    start = F.struct(F.lit(None).cast("double").alias("e"), F.struct(F.lit(0).alias("at"), F.lit(-1).alias("pending"), F.lit(0).alias("run")).alias("m"))
+    names = F.array(*[F.lit(n) for n in STATES])
+    return lists.select(*by, F.element_at(names, F.aggregate("s", start, step)["m"]["at"] + 1).alias("state"))
+
+
+def degradation(rows: DataFrame, by: Sequence[str], seq: str, state: str, backpressure: str | None = None, circuit_open: str | None = None, profile: str = "performance", override: str | None = None) -> DataFrame:
+    """(by..., mode): the mode after all signals, from normal, one step at a time.
+
+    Signals: the pressure ``state``; ``backpressure`` (saturated, high_watermark or other); whether the quality
+    circuit is open. They aim at a mode; the mode moves one step towards it once that was so for
+    as many signals in a row as the profile asks, more to get better than to get worse. ``override`` forces a mode.
+    Unknown and null states count as normal.
+    """
+    lists = _ordered(rows, by, seq, F.col(state).alias("state"), (F.col(backpressure) if backpressure else F.lit("normal")).alias("back"), F.coalesce(F.col(circuit_open) if circuit_open else F.lit(False), F.lit(False)).alias("open"))
+    policy, targets = _rows_of(CONFIRMATIONS)[profile], _rows_of(TARGETS)
+
+    def aim(x: Column) -> Column:
+        def of(name: str) -> Column:
+            row = {k: F.lit(MODES.index(v)) for k, v in targets[name].items()}
+            return F.when(x["back"] == "saturated", row["saturated"]).when(x["open"], row["circuit_open"]).when(x["back"] == "high_watermark", row["high_watermark"]).otherwise(row["none"])
+
+        out = of("normal")
+        for name in STATES[1:]:
+            out = F.when(x["state"] == name, of(name)).otherwise(out)
+        return out
+
+    def step(a: Column, x: Column) -> Column:
+        wanted = a["at"] + F.signum(aim(x) - a["at"]).cast("int")
+        return _confirmed(a, wanted, F.when(wanted > a["at"], int(policy["worse"])).otherwise(int(policy["better"])))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("pending"), F.lit(0).alias("run"))
+    mode = F.element_at(F.array(*[F.lit(n) for n in MODES]), F.aggregate("s", start, step)["at"] + 1)
     return lists.select(*by, (F.lit(override) if override else mode).alias("mode"))
 
 

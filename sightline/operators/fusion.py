@@ -196,12 +196,18 @@ def nqc(scores: DataFrame, by: str = "query_id", score: str = "score") -> DataFr
 
 #: Queries whose commitment the adaptive weight remembers.
 NQC_SAMPLE = 2048
+#: Queries it must have seen before it weighs anything.
+NQC_WARM_UP = 64
 
 
-def dense_weights(commitment: DataFrame, sample: DataFrame, beta: float = 0.5, least: float = 0.3, by: str = "query_id") -> DataFrame:
-    """(query, weight): ``1 - beta * CDF(cv)`` against a rolling sample of at most ``NQC_SAMPLE`` cvs, held to [least, 1]."""
-    seen = sorted(r.cv for r in sample.select("cv").where("cv IS NOT NULL").limit(NQC_SAMPLE).collect())
-    if not seen:
+def dense_weights(commitment: DataFrame, sample: DataFrame, order: str, beta: float = 0.5, least: float = 0.3, by: str = "query_id", warm_up: int = NQC_WARM_UP) -> DataFrame:
+    """(query, weight): ``1 - beta * CDF(cv)`` against the last ``NQC_SAMPLE`` finite cvs of ``sample`` by ``order``, held to [least, 1].
+
+    Below ``warm_up`` cvs, and for ``beta`` of 0 or less, every weight is 1. Ties of ``order`` fall to the greater cv.
+    """
+    last = sample.where(finite(F.col("cv"))).orderBy(F.desc(order), F.desc("cv")).limit(NQC_SAMPLE).select("cv")
+    seen = sorted(r.cv for r in last.collect())
+    if len(seen) < max(1, warm_up) or beta <= 0:
         return commitment.select(by, F.lit(1.0).alias("weight"))
     below = F.size(F.filter(F.array(*[F.lit(x) for x in seen]), lambda x: x <= F.col("cv")))
     weight = F.least(F.greatest(1 - beta * below / len(seen), F.lit(least)), F.lit(1.0))

@@ -151,9 +151,9 @@ def enqueue(jobs: DataFrame, requests: DataFrame, hash_embedders: Sequence[str]
 
 
 def claim(jobs: DataFrame, worker: str, count: int, now: int) -> DataFrame:
-    """The next ``count`` jobs: pending, due, none active for the document and embedder; by priority, then age."""
+    """The next ``count`` jobs: pending, due by ``now``, none active for the document and embedder; by priority, then age."""
     active = jobs.where("status = 'processing'").select("doc_id", "embedder_id").distinct()
-    free = jobs.where("status = 'pending'").join(active, ["doc_id", "embedder_id"], "left_anti")
+    free = jobs.where((F.col("status") == "pending") & (F.col("submitted_at") <= now)).join(active, ["doc_id", "embedder_id"], "left_anti")
     picked = free.orderBy(F.desc("priority"), "submitted_at", "doc_id", "embedder_id").limit(count)
     return picked.withColumns({"status": F.lit("processing"), "worker_id": F.lit(worker), "started_at": F.lit(now)})
 

@@ -23,28 +23,38 @@ MAX_DEPTH = 64
 
 # -- classes ----------------------------------------------------------------------------
 
-# What makes a query an identifier.
-IDENTIFIER = r"^(?:fn|struct|impl)\s|::|/|\\|\w\.\w|\w_\w|_\w|[a-z][A-Z]|[A-Za-z]+-\d+"
+# What makes a single word an identifier, and how any query for a definition begins.
+SEPARATORS = ["/", "\\", ".", "_", "::"]
+TICKET = r"^[A-Za-z0-9_-]+-[0-9]+$"
+DEFINITIONS = ["fn ", "struct ", "impl "]
 # Budgets of each class, as multiples of the base.
 LEXICAL_BUDGET = {"empty": 0.0, "identifier": 2.0, "short_keyword": 1.0, "natural_language": 0.5}
 SEMANTIC_BUDGET = {"empty": 0.0, "identifier": 0.5, "short_keyword": 1.0, "natural_language": 2.0}
 
 
 def query_class(query: str) -> str:
+    """empty, identifier, short_keyword (up to three words) or natural_language.
+
+    A single word is an identifier if it has a separator, if it has letters of both cases and is no word
+    with a capital (all but the first in lower case), or if it ends in a hyphen and digits.
+    """
     q = query.strip()
     if not q:
         return "empty"
     words = q.split()
-    if re.search(IDENTIFIER, q) and (len(words) == 1 or re.match(r"(?:fn|struct|impl)\s", q) or "::" in q):
+    cases = any(c.islower() for c in q) and any(c.isupper() for c in q) and not (q[0].isupper() and all(c.islower() for c in q[1:]))
+    if len(words) == 1 and (any(x in q for x in SEPARATORS) or cases or re.match(TICKET, q)) or q.startswith(tuple(DEFINITIONS)):
         return "identifier"
     return "short_keyword" if len(words) <= 3 else "natural_language"
 
 
 def query_class_column(query: Column) -> Column:
     """``query_class`` of a column; null counts as empty."""
-    q = F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " "))
-    words = F.size(F.split(q, " "))
-    named = q.rlike(IDENTIFIER) & ((words == 1) | q.rlike(r"^(?:fn|struct|impl)\s") | F.contains(q, F.lit("::")))
+    space = r"[\s\p{Z}]+"
+    q = F.regexp_replace(F.coalesce(query, F.lit("")), rf"^{space}|{space}$", "")
+    words = F.size(F.split(q, space))
+    cases = q.rlike(r"\p{IsLowercase}") & q.rlike(r"\p{IsUppercase}") & ~q.rlike(r"^\p{IsUppercase}\p{IsLowercase}*$")
+    named = (words == 1) & (q.rlike("|".join(re.escape(x) for x in SEPARATORS)) | cases | q.rlike(TICKET)) | q.rlike("^(?:" + "|".join(DEFINITIONS) + ")")
     return F.when(q == "", "empty").when(named, "identifier").when(words <= 3, "short_keyword").otherwise("natural_language")
 
 

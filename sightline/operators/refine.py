@@ -197,38 +197,35 @@ def build_graph(edges: DataFrame) -> DataFrame:
     return good.groupBy("src", "dst", "edge_type").agg(F.sum("weight").alias("weight"))
 
 
-def personalized_pagerank(edges: DataFrame, hits: DataFrame, restart: float = 0.15, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """(node, rank), summing to 1: seeds are the documents' greatest positive finite scores, dangling mass goes back to them.
+def personalized_pagerank(edges: DataFrame, hits: DataFrame, restart: float = 0.15, rounds: int = 20, tolerance: float = 1e-6, by: str | None = None) -> DataFrame:
+    """(by, node, rank), summing to 1 for each query: seeds are its documents' greatest positive finite scores, dangling mass goes back to them.
 
-    A round is one join and one aggregation on nodes, with map-side combine; a hub
+    ``by`` names the query of a hit; without it all hits are one query's and only (node, rank) come out.
+    A round is one join and one aggregation on (query, node), with map-side combine; a hub
     with very many edges is spread by its destinations. Each round is written to the
-    shared folder, and the rounds stop early once little changes.
+    shared folder, and the rounds stop early once little changes for any query.
     """
     graph = build_graph(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     graph = cut(graph.join(graph.groupBy("src").agg(F.sum("weight").alias("_out")), "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share")), "graph")
     sources = graph.select(F.col("src").alias("node")).distinct()
     nodes = sources.union(graph.select(F.col("dst").alias("node"))).distinct()
-    seeds = hits.where(finite(F.col("score")) & (F.col("score") > 0)).groupBy(F.col("doc_id").alias("node")).agg(F.max("score").alias("s")).join(nodes, "node", "left_semi")
-    total = seeds.agg(F.sum("s")).first()[0]
-    if not total:
-        return nodes.limit(0).select("node", F.lit(0.0).alias("rank"))
-    seeds = cut(seeds.select("node", (F.col("s") / F.lit(total)).alias("seed")), "seeds")
-    # who has edges out takes part in every round's one aggregation
-    parts = lambda m, was, out: [F.col("node"), m.alias("m"), was.alias("was"), F.lit(out).alias("out")]
-    out = sources.select(*parts(F.lit(0.0), F.lit(0.0), 1))
-    rank = seeds.select("node", F.col("seed").alias("rank"))
-    dangling = seeds.join(sources, "node", "left_anti").agg(F.coalesce(F.sum("seed"), F.lit(0.0))).first()[0]
+    query = F.col(by) if by else F.lit(0)
+    seeds = hits.where(finite(F.col("score")) & (F.col("score") > 0)).groupBy(query.alias("_q"), F.col("doc_id").alias("node")).agg(F.max("score").alias("s")).join(nodes, "node", "left_semi")
+    total = seeds.groupBy(F.col("_q").alias("_of")).agg(F.sum("s").alias("_total"))
+    seeds = cut(seeds.join(total, F.col("_q").eqNullSafe(F.col("_of"))).select("_q", "node", (F.col("s") / F.col("_total")).alias("seed")), "seeds")
+    rank = seeds.select("_q", "node", F.col("seed").alias("rank"))
     for _ in range(rounds):
-        moved = rank.join(graph, rank.node == graph.src).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share") * (1 - restart)).alias("m"), F.lit(0.0).alias("was"), F.lit(0).alias("out"))
-        back = seeds.select(*parts(F.col("seed") * F.lit(restart + (1 - restart) * dangling), F.lit(0.0), 0))
-        before = rank.select(*parts(F.lit(0.0), F.col("rank"), 0))
-        new = moved.unionByName(back).unionByName(before).unionByName(out).groupBy("node").agg(F.sum("m").alias("rank"), F.sum("was").alias("was"), F.max("out").alias("out"))
-        new = cut(new, "rank")
-        dangling, change = new.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
-        rank = new.where("rank > 0").select("node", "rank")
-        if change < tolerance:
+        dangling = rank.join(sources, "node", "left_anti").groupBy(F.col("_q").alias("_of")).agg(F.sum("rank").alias("_d"))
+        back = seeds.join(dangling, F.col("_q").eqNullSafe(F.col("_of")), "left")
+        back = back.select("_q", "node", (F.col("seed") * (F.lit(restart) + (1 - restart) * F.coalesce("_d", F.lit(0.0)))).alias("m"), F.lit(0.0).alias("was"))
+        moved = rank.join(graph, rank.node == graph.src).select("_q", F.col("dst").alias("node"), (F.col("rank") * F.col("share") * (1 - restart)).alias("m"), F.lit(0.0).alias("was"))
+        before = rank.select("_q", "node", F.lit(0.0).alias("m"), F.col("rank").alias("was"))
+        new = cut(moved.unionByName(back).unionByName(before).groupBy("_q", "node").agg(F.sum("m").alias("rank"), F.sum("was").alias("was")), "rank")
+        change = new.groupBy("_q").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("c")).agg(F.max("c")).first()[0]
+        rank = new.where("rank > 0").select("_q", "node", "rank")
+        if (change or 0) < tolerance:
             break
-    return rank
+    return rank.select(*([F.col("_q").alias(by)] if by else []), "node", "rank")
 
 
 def graph_list(rank: DataFrame, query_id, limit: int) -> DataFrame:

@@ -250,18 +250,12 @@ def online_circuit_breaker(spark, folder):
     return A.circuit_breaker(e, ["user_id"], "event_id", "ok", "ms", failures=2)
 
 
-def online_pressure(spark, folder):
-    """Smoothed value and degradation mode of each user."""
-    e = table(spark, folder, "events").select("user_id", "event_id", (F.col("value") / 100).alias("v"))
-    return A.ewma(e, ["user_id"], "event_id", "v").select("user_id", F.round("ewma", 9).alias("ewma")).join(A.degradation(e, ["user_id"], "event_id", "v"), "user_id")
-
-
 QUERIES = {f.__name__: f for f in (
     vec_exact, vec_truncated, vec_int8, vec_int4, vec_filtered, vec_quantizer, vec_scalar, vec_hash_embedding,
     fuse_rrf, fuse_weighted_rrf, fuse_pool_minmax, fuse_blend, fuse_federated_rrf, fuse_comb_mnz, fuse_z_scores, fuse_commitment, fuse_rank_changes,
     eval_measures, eval_calibration, eval_outliers, eval_median_mad, eval_off_policy, eval_conformal,
     refine_mmr, refine_feedback_expansion, refine_smoothing, refine_hubness, refine_pagerank, refine_explanations,
-    online_blend, online_k, online_phase_gate, online_circuit_breaker, online_pressure,
+    online_blend, online_k, online_phase_gate, online_circuit_breaker,
 )}
 
 _V = """

@@ -67,7 +67,10 @@ def text_code_structure(spark, folder):
 def text_redaction(spark, folder):
     """Sources and titles as a log may show them."""
     d = _documents(spark, folder)
-    return d.select("doc_id", X.redact(F.col("source"), F.lit("personal"), "log").alias("source"), X.redact(F.col("title"), F.lit("content"), "log", 10).alias("title"), X.redact(F.col("lang"), F.lit("secret"), "display").alias("lang"))
+    return d.select(
+        "doc_id", X.redact(F.col("source"), F.lit("user_path"), "log").alias("source"), X.redact(F.col("title"), F.lit("query_text"), "log", 10).alias("title"), X.redact(F.col("lang"), F.lit("credential"), "evidence").alias("lang"),
+        X.redact(F.col("title"), F.col("doc_type"), "display").alias("kind"), X.path_classes(F.col("source")).alias("classes"), X.is_hard_deny(F.col("source")).alias("denied"),
+    )
 
 
 def query_classes(spark, folder):
@@ -158,6 +161,12 @@ QUERIES = {f.__name__: f for f in (
     lex_document_frequencies, lex_bm25, lex_match_counts, lex_boolean, lex_phrase, lex_glob, lex_set, lex_exclusion, lex_filtered, lex_snippets,
 )}
 
+def _fnv(hexed: str, start: str = "14695981039346656037") -> str:
+    """SQL for FNV-1a of bytes given in hex."""
+    return f"""list_reduce(list_prepend({start}::UHUGEINT, list_transform(range(length({hexed}) // 2), lambda i: ('0x' || substring({hexed}, 2 * i + 1, 2))::UTINYINT::UHUGEINT)),
+        lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"""
+
+
 _TOK = "regexp_extract_all(replace(lower({}), 'ς', 'σ'), '[\\p{{L}}\\p{{N}}]+')"
 _TOKENS = f"""
     toks AS (SELECT doc_id::VARCHAR AS doc_id, 'content' AS field, unnest({_TOK.format("coalesce(text, '')")}) AS term FROM documents
@@ -170,20 +179,47 @@ ORACLE = {
         FROM (SELECT doc_id, text, {_TOK.format("text")} AS t FROM documents)""",
     "text_preview": """
         SELECT doc_id, left(c, 80) || CASE WHEN length(c) > 80 THEN '…' ELSE '' END AS preview, sha256(text) AS hash, left(c, 40) AS head,
-               regexp_replace(lower(c), '[.!]+$', '') IN ('ok', 'okay', 'k', 'yes', 'no', 'sure', 'thanks', 'thank you', 'thx', 'done', 'got it', 'sounds good', 'lgtm', 'great', 'nice', 'cool') AS low_signal
+               lower(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) IN ('ok', 'done', 'done.', 'got it', 'got it.', 'understood', 'understood.', 'sure', 'sure.', 'yes', 'no', 'thanks', 'thanks.', 'thank you', 'thank you.') AS low_signal
         FROM (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS c FROM documents)""",
     "text_edge_ngrams": f"""
         WITH words AS (SELECT doc_id, unnest({_TOK.format("title")}) AS w FROM documents),
              grams AS (SELECT DISTINCT doc_id, left(w, n::INT) AS ngram FROM words, range(2, 9) r(n) WHERE n <= length(w))
         SELECT ngram, count(*) AS documents FROM grams GROUP BY ngram""",
-    "text_redaction": """
-        SELECT doc_id, '<HASH:' || left(sha256(source), 16) || '>' AS source, left(title, 10) AS title, '<MASKED:' || left(sha256(lang), 8) || '>' AS lang FROM documents""",
+    "text_redaction": f"""
+        WITH d AS (SELECT doc_id, source, title, lang, hex(encode(source)) AS hs, hex(encode(lang)) AS hl, lower(replace(source, chr(92), '/')) AS p FROM documents),
+        m AS (SELECT *, {_fnv("hs", "17723295103990026253")} AS s, {_fnv("hl", "17723295103990026253")} AS l, contains(p, '.env') OR contains(p, '.npmrc') OR contains(p, '.pypirc') OR contains(p, '.netrc') OR contains(p, '.docker/config.json') AS a,
+                     contains(p, '.ssh/') OR contains(p, 'id_rsa') OR contains(p, 'id_ed25519') OR contains(p, 'id_ecdsa') OR contains(p, '.gnupg/') AS b,
+                     contains(p, '.aws/credentials') OR contains(p, '.config/gcloud/') OR contains(p, '.azure/') AS c, contains(p, 'cookie') OR contains(p, 'session') AS e FROM d)
+        SELECT doc_id, CASE WHEN source IS NOT NULL THEN '<HASH:' || lpad(lower(to_hex(s::UBIGINT)), 16, '0') || '>' END AS source, CASE WHEN length(title) > 10 THEN left(title, 10) || '...' ELSE title END AS title,
+            CASE WHEN lang IS NOT NULL THEN '<MASKED:' || lpad(lower(to_hex((l % 4294967296)::UBIGINT)), 8, '0') || '>' END AS lang, NULL::VARCHAR AS kind,
+            CASE WHEN source IS NOT NULL THEN list_filter([CASE WHEN a THEN 'credential' END, CASE WHEN b THEN 'private_key' END, CASE WHEN c THEN 'cloud_secret' END, CASE WHEN e THEN 'session_artifact' END,
+                CASE WHEN NOT (a OR b OR c OR e) AND contains(p, '/') THEN 'user_path' END], lambda k: k IS NOT NULL) END AS classes,
+            regexp_matches(replace(source, chr(92), '/'), '\\.ssh/|\\.gnupg/|\\.aws/credentials|\\.config/gcloud/|\\.azure/|\\.kube/config|\\.docker/config\\.json|\\.npmrc|\\.pypirc|\\.netrc|\\.env|id_rsa|id_ed25519|id_ecdsa') AS denied FROM m""",
+    "text_fingerprints": f"""
+        WITH d AS (SELECT doc_id, text, hex(encode(text)) AS h, list_filter(string_split_regex(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+'), lambda w: w <> '') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS part FROM d),
+        u AS (SELECT part, {_fnv("h")} AS f FROM (SELECT DISTINCT part, hex(encode(part)) AS h FROM p)),
+        v AS (SELECT doc_id, b, sum(((f::UBIGINT >> b::UBIGINT) % 2)::INT) AS ups, count(*) AS n FROM p JOIN u USING (part), range(64) r(b) GROUP BY ALL),
+        s AS (SELECT doc_id, bit_or(CASE WHEN 2 * ups > n THEN 1::UBIGINT << b::UBIGINT ELSE 0::UBIGINT END)::HUGEINT AS x FROM v GROUP BY 1),
+        e AS (SELECT doc_id, text, w, {_fnv("h")}::HUGEINT AS y FROM d)
+        SELECT e.doc_id, CASE WHEN text IS NULL THEN NULL WHEN y >= 9223372036854775808 THEN (y - 18446744073709551616)::BIGINT ELSE y::BIGINT END AS hash,
+            CASE WHEN text IS NULL THEN NULL WHEN x >= 9223372036854775808 THEN (x - 18446744073709551616)::BIGINT ELSE coalesce(x, 0)::BIGINT END AS simhash, length(text)::INT AS chars, len(w)::INT AS words
+        FROM e LEFT JOIN s USING (doc_id)""",
+    "text_code_structure": """
+        SELECT kind, name, count(*) AS n FROM (
+            SELECT 'function' AS kind, unnest(regexp_extract_all(text, '(?:fn|def|func|function)\\s+([A-Za-z_]\\w*)', 1)) AS name FROM documents
+            UNION ALL SELECT 'class', unnest(regexp_extract_all(text, 'class\\s+([A-Za-z_]\\w*)', 1)) FROM documents
+            UNION ALL SELECT 'type', unnest(regexp_extract_all(text, '(?:struct|enum|trait|interface|type)\\s+([A-Za-z_]\\w*)', 1)) FROM documents
+            UNION ALL SELECT 'module', unnest(regexp_extract_all(text, '(?:mod|module|package|namespace)\\s+([A-Za-z_][\\w.]*)', 1)) FROM documents
+            UNION ALL SELECT 'import', unnest(regexp_extract_all(text, '(?:import|use|include|require)\\s+([A-Za-z_][\\w.:]*)', 1)) FROM documents
+            UNION ALL SELECT 'heading', unnest(regexp_extract_all(text, '(?m)^#{1,6}\\s+(.+)$', 1)) FROM documents) GROUP BY ALL""",
     "query_classes": """
-        WITH q AS (SELECT item_id, trim(regexp_replace(coalesce(query, ''), '\\s+', ' ', 'g')) AS q FROM eval_items),
+        WITH q AS (SELECT item_id, regexp_replace(coalesce(query, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS q FROM eval_items),
         k AS (SELECT item_id, CASE WHEN q = '' THEN 'empty'
-            WHEN regexp_matches(q, '^(?:fn|struct|impl)\\s|::|/|\\\\|\\w\\.\\w|\\w_\\w|_\\w|[a-z][A-Z]|[A-Za-z]+-\\d+')
-                 AND (len(string_split(q, ' ')) = 1 OR regexp_matches(q, '^(?:fn|struct|impl)\\s') OR contains(q, '::')) THEN 'identifier'
-            WHEN len(string_split(q, ' ')) <= 3 THEN 'short_keyword' ELSE 'natural_language' END AS kind FROM q)
+            WHEN NOT regexp_matches(q, '[\\s\\p{Z}]') AND (contains(q, '/') OR contains(q, chr(92)) OR contains(q, '.') OR contains(q, '_') OR contains(q, '::') OR regexp_matches(q, '^[A-Za-z0-9_-]+-[0-9]+$')
+                 OR (regexp_matches(q, '\\p{Ll}') AND regexp_matches(q, '\\p{Lu}') AND NOT regexp_matches(q, '^\\p{Lu}\\p{Ll}*$'))) THEN 'identifier'
+            WHEN starts_with(q, 'fn ') OR starts_with(q, 'struct ') OR starts_with(q, 'impl ') THEN 'identifier'
+            WHEN len(string_split_regex(q, '[\\s\\p{Z}]+')) <= 3 THEN 'short_keyword' ELSE 'natural_language' END AS kind FROM q)
         SELECT item_id, kind, CASE kind WHEN 'empty' THEN 0 WHEN 'identifier' THEN 60 WHEN 'short_keyword' THEN 30 ELSE 15 END AS lexical,
                CASE kind WHEN 'empty' THEN 0 WHEN 'identifier' THEN 15 WHEN 'short_keyword' THEN 30 ELSE 60 END AS semantic FROM k""",
     "lex_document_frequencies": f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,14 +51,16 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor sees.
 
-    Only where that setting is unset (tests) a temporary folder of this machine
-    is used, and set, so that ``checkpoint()`` works as well.
+    Only where that setting is unset and all runs in this process (tests) a temporary folder of this machine
+    is used, and set, so that ``checkpoint()`` works as well; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = hadoop.get() if hadoop.isDefined() else None
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor sees")
         base = os.path.join(tempfile.gettempdir(), "sightline-shared")
         spark.sparkContext.setCheckpointDir(base)
     _MADE.append(f"{base.rstrip('/')}/sightline-{purpose}-{uuid.uuid4().hex}")

@@ -138,10 +138,13 @@ def breaker_fold(key: str, order: str, ok: str, ms: str, **limits) -> Fold:
 
 
 class LiveResults:
-    """A bounded buffer of the newest rows of a stream, for a screen: lossy drops the oldest, else a full buffer refuses."""
+    """A bounded buffer of the newest rows of a stream, for a screen: lossy drops the oldest, else a full buffer refuses.
 
-    def __init__(self, size: int = 1000, lossy: bool = True):
-        self.size, self.lossy = size, lossy
+    ``order`` is the column that says which rows of a batch are newest. ``dropped`` counts all rows that are not shown any more.
+    """
+
+    def __init__(self, order: str, size: int = 1000, lossy: bool = True):
+        self.order, self.size, self.lossy = order, size, lossy
         self.rows: list[tuple[int, dict]] = []
         self.sequence = self.dropped = 0
 
@@ -159,6 +162,19 @@ class LiveResults:
         return [r for n, r in self.rows if n > cursor], self.sequence
 
     def step(self, batch: DataFrame, _: int) -> None:
-        """For ``each_batch``: the newest ``size`` rows of a batch."""
-        for row in batch.limit(self.size).collect():
+        """For ``each_batch``: adds a batch, oldest first; of a lossy buffer only the newest ``size`` rows are fetched.
+
+        A buffer that is not lossy takes a batch whole or raises, so that the stream repeats it once ``taken`` made room.
+        """
+        count = batch.count()
+        if not self.lossy and len(self.rows) + count > self.size:
+            raise BufferError(f"{count} rows for {self.size - len(self.rows)} free places")
+        newest = batch.orderBy(F.desc(self.order)).limit(self.size).collect()
+        self.sequence += count - len(newest)
+        self.dropped += count - len(newest)
+        for row in reversed(newest):
             self.add(row.asDict())
+
+    def taken(self, cursor: int) -> None:
+        """Frees the rows up to ``cursor``, which a reader has had."""
+        self.rows = [(n, r) for n, r in self.rows if n > cursor]

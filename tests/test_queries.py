@@ -1,9 +1,9 @@
 import pytest
 from oracle import connect, difference
 
-from sightline.plans import core_problems, fusion_queries, lexical_queries, telemetry_queries
+from sightline.plans import core_problems, fusion_queries, lexical_queries, state_queries, telemetry_queries
 
-MODULES = (core_problems, lexical_queries, fusion_queries, telemetry_queries)
+MODULES = (core_problems, lexical_queries, fusion_queries, telemetry_queries, state_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 

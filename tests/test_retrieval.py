@@ -70,7 +70,15 @@ def test_too_many_expanded_terms_are_an_error(spark):
         L.expand_glob(L.build_index(docs), "content", "*", limit=3)
 
 
-def test_parsers_and_classes():
+def test_parsers_and_classes(spark):
+    cases = {
+        "HTTPServer": "identifier", "foo.": "identifier", "std::fmt how to use it now": "natural_language", "std::fmt": "identifier", "Hello": "short_keyword", "HELLO": "short_keyword",
+        "camelCase": "identifier", "bd-123": "identifier", "my-project-789": "identifier", "well-known": "short_keyword", "-12": "short_keyword", "fn main": "identifier", "fn": "short_keyword",
+        "impl Trait for X y": "identifier", "a b c": "short_keyword", "a b c d": "natural_language", "a_b c": "short_keyword", " \t": "empty", "Ünïcode": "short_keyword", "üÜ": "identifier", "Foo1": "identifier",
+    }
+    assert {q: Q.query_class(q) for q in cases} == cases
+    got = spark.createDataFrame([(q,) for q in cases], "q string").select("q", Q.query_class_column(F.col("q")).alias("k")).collect()
+    assert {r.q: r.k for r in got} == cases
     assert [Q.query_class(q) for q in ("", "foo_bar", "src/main.rs", "two words", "how do i fix this thing")] == ["empty", "identifier", "identifier", "short_keyword", "natural_language"]
     n = Q.parse_negation(r'a -b NOT "c d" \-e')
     assert (n.positive, n.terms, n.phrases) == ("a -e", ["b"], ["c d"])
@@ -157,9 +165,19 @@ def test_kendall_and_rank_changes(spark):
 
 def test_dense_weights(spark):
     cv = spark.createDataFrame([(0, 0.1), (1, 5.0)], "query_id int, cv double")
-    sample = spark.createDataFrame([(x / 10,) for x in range(10)], "cv double")
-    got = {r.query_id: r.weight for r in U.dense_weights(cv, sample, 0.5, 0.3).collect()}
+    sample = spark.createDataFrame([(x / 10, x) for x in range(10)] + [(float("nan"), 99), (None, 98)], "cv double, at int")
+    got = {r.query_id: r.weight for r in U.dense_weights(cv, sample, "at", 0.5, 0.3, warm_up=10).collect()}
     assert got == pytest.approx({0: 0.9, 1: 0.5})
+    for more in ({"warm_up": 11}, {"warm_up": 10, "beta": 0.0}):
+        assert [r.weight for r in U.dense_weights(cv, sample, "at", **more).collect()] == [1.0, 1.0]
+
+
+def test_dense_weights_take_the_last_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(U, "NQC_SAMPLE", 4)
+    cv = spark.createDataFrame([(0, 0.5)], "query_id int, cv double")
+    sample = spark.createDataFrame([(0.1 if x < 20 else 0.9, x) for x in range(24)], "cv double, at int").repartition(6)
+    assert U.dense_weights(cv, sample, "at", warm_up=1).first().weight == 1.0
+    assert U.dense_weights(cv, sample.withColumn("at", -F.col("at")), "at", warm_up=1).first().weight == 0.5
 
 
 # -- refinement ------------------------------------------------------------------------

@@ -17,19 +17,54 @@ def test_phase_gate_decides_at_the_first_crossing(spark):
     assert {r.k: r.decision for r in A.phase_gate(df, ["k"], "s", "f", timeout=8).collect()}["flat"] == "skip_quality"
 
 
-def test_ewma_and_degradation_equal_loops(spark):
+def confirmed(at, pending, run, wanted, needed):
+    if wanted == at:
+        return at, None, 0
+    run = run + 1 if pending == wanted else 1
+    return (wanted, None, 0) if run >= needed else (at, wanted, run)
+
+
+def test_ewma_and_pressure_states_equal_loops(spark):
     rng = random.Random(2)
-    data = [(k, i, rng.random()) for k in "ab" for i in range(40)]
+    data = [(k, i, min(100.0, max(0.0, 80 + 45 * math.sin(i / 9) + rng.uniform(-25, 25)))) for k in "abcdefgh" for i in range(10 + 7 * (ord(k) - 97))]
     df = spark.createDataFrame(data, "k string, s int, v double")
     got = {r.k: r.ewma for r in A.ewma(df, ["k"], "s", "v").collect()}
-    mode = {r.k: r.mode for r in A.degradation(df, ["k"], "s", "v").collect()}
-    level = lambda p: max(i for i, (_, x) in enumerate(A.DEGRADATION) if p >= x)
-    for k in "ab":
-        e, m = None, 0
+    state = {r.k: r.state for r in A.pressure_states(df, ["k"], "s", "v").collect()}
+    level = lambda p, margin: sum(p >= x - margin for x in (70, 85, 95))
+    for k in "abcdefgh":
+        e, m = None, (0, None, 0)
         for _, _, v in [d for d in data if d[0] == k]:
             e = v if e is None else 0.3 * v + 0.7 * e
-            m = level(v) if level(v) > m else min(m, level(v + 0.05))
-        assert got[k] == pytest.approx(e) and mode[k] == A.DEGRADATION[m][0]
+            up = level(e, 0)
+            m = confirmed(*m, up if up > m[0] else level(e, 5) if up < m[0] else m[0], 3)
+        assert got[k] == pytest.approx(e) and state[k] == A.STATES[m[0]]
+    assert len(set(state.values())) > 1
+
+
+def test_degradation_moves_one_step_at_a_time(spark):
+    aims = {  # by pressure: plain, circuit open, high watermark, saturated
+        "normal": (0, 1, 1, 2), "constrained": (1, 2, 1, 2), "degraded": (2, 3, 2, 3), "emergency": (3, 3, 3, 4),
+    }
+    rng, data = random.Random(5), []
+    for k in range(30):
+        s, b, o = "normal", None, False
+        for i in range(40):
+            if rng.random() < 0.15:
+                s, b, o = rng.choice([*aims, None]), rng.choice([None, "ok", "high_watermark", "saturated"]), rng.choice([True, False, None])
+            data.append((k, i, s, b, o))
+    df = spark.createDataFrame(data, "k int, i int, s string, b string, o boolean")
+    for profile, worse, better in (("performance", 2, 3), ("strict", 1, 3), ("degraded", 2, 5)):
+        got = {r.k: r.mode for r in A.degradation(df, ["k"], "i", "s", "b", "o", profile).collect()}
+        for k in range(30):
+            m = (0, None, 0)
+            for _, _, s, b, o in [d for d in data if d[0] == k]:
+                aim = aims[s or "normal"][3 if b == "saturated" else 1 if o else 2 if b == "high_watermark" else 0]
+                wanted = m[0] + (aim > m[0]) - (aim < m[0])
+                m = confirmed(*m, wanted, worse if wanted > m[0] else better)
+            assert got[k] == A.MODES[m[0]]
+    emergency = spark.createDataFrame([(0, i, "emergency") for i in range(3)], "k int, i int, s string")
+    assert A.degradation(emergency, ["k"], "i", "s").first().mode == "embed_deferred"
+    assert A.degradation(emergency, ["k"], "i", "s", override="paused").first().mode == "paused"
 
 
 def test_conjugate_updates(spark):

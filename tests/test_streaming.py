@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from conftest import rows
@@ -54,13 +55,28 @@ def test_breaker_steps_equal_the_batch_fold(spark):
 
 
 def test_a_live_buffer_drops_or_refuses():
-    lossy, strict = S.LiveResults(2), S.LiveResults(2, lossy=False)
+    lossy, strict = S.LiveResults("i", 2), S.LiveResults("i", 2, lossy=False)
     for i in range(3):
         lossy.add({"i": i})
     assert [strict.add({"i": i}) for i in range(3)] == [True, True, False]
     assert lossy.after(1) == ([{"i": 1}, {"i": 2}], 3) and lossy.dropped == 1
 
 
+def test_a_live_buffer_keeps_the_newest_rows_of_a_batch(spark):
+    df = spark.createDataFrame([((i * 7) % 20,) for i in range(20)], "i int").repartition(5)
+    lossy, strict = S.LiveResults("i", 3), S.LiveResults("i", 25, lossy=False)
+    lossy.step(df, 0)
+    assert [r["i"] for _, r in lossy.rows] == [17, 18, 19] and lossy.dropped == 17 and lossy.sequence == 20
+    strict.step(df, 0)
+    with pytest.raises(BufferError):
+        strict.step(df, 1)
+    rows, cursor = strict.after(0)
+    assert [r["i"] for r in rows] == list(range(20)) and cursor == 20
+    strict.taken(cursor)
+    strict.step(df, 1)
+    assert len(strict.rows) == 20 and strict.dropped == 0
+
+
 def test_frames_round_trip_and_are_validated(spark):
     df = spark.createDataFrame([("a", 0), ("b", 1)], "doc_id string, rank int")
     lines = [frames.frame("s", 0, "started"), *sorted(r.value for r in frames.encode_frames(df, "s").collect()), frames.frame("s", 3, "terminal")]

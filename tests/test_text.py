@@ -26,7 +26,9 @@ def test_canonical_text_strips_markdown_and_collapses_code():
     code = "```py\n" + "\n".join(f"l{i}" for i in range(50)) + "\n```"
     got = X.canonical_text(code)
     assert "l19" in got and "l20 " not in got and "l40" in got and "20 lines omitted" in got
-    assert X.canonical_text("Thanks!") == "" and X.canonical_text("") == "" and len(X.canonical_text("x" * 9000)) == 2000
+    assert [X.canonical_text(t) for t in ("OK", "Done.", "Got it.", " understood ", "THANK YOU.")] == [""] * 5
+    assert [X.canonical_text(t) for t in ("Thanks!", "Great!", "lgtm", "cool", "ok ok")] == ["Thanks!", "Great!", "lgtm", "cool", "ok ok"]
+    assert X.canonical_text("") == "" and len(X.canonical_text("x" * 9000)) == 2000
 
 
 def test_chunks_cover_the_whole_text():
@@ -46,6 +48,19 @@ def test_edge_ngrams_and_preview(spark):
 
 def test_fnv_and_fingerprints(spark):
     assert X.fnv1a(b"") == 0xCBF29CE484222325 and X.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    data = [b"", b"a", "läng".encode() * 50, b"foobar"]
+    slow = []
+    for d in data:
+        h = X.FNV_OFFSET
+        for b in d:
+            h = (h ^ b) * X.FNV_PRIME % 2**64
+        slow.append(h)
+    assert X.fnv1a_all(data).tolist() == slow and X.fnv1a_all([]).tolist() == []
+    text = "one two three four five"
+    votes = [0] * 64
+    for p in ("one two three", "two three four", "three four five"):
+        votes = [v + (1 if X.fnv1a(p.encode()) >> b & 1 else -1) for b, v in enumerate(votes)]
+    assert X.simhashes(["", text, "x", text]).tolist() == [0, (want := sum(1 << b for b in range(64) if votes[b] > 0)), X.fnv1a(b"x"), want]
     assert column(spark, ["a", None], X.fnv1a_64(F.col("t"))) == [X.signed(0xAF63DC4C8601EC8C), None]
     df = spark.createDataFrame([("the cat sat on the mat today", "the cat sat on the mat today"), ("abc", "abcd" * 9), ("one two three four", "one two three fore")], "a string, b string")
     df = df.select(X.fingerprint(F.col("a")).alias("a"), X.fingerprint(F.col("b")).alias("b"))
@@ -65,10 +80,29 @@ def test_snippet_picks_the_heaviest_window_and_escapes():
     assert X.snippet_of("a < b", {"zzz": 1.0}) == "a &lt; b" and X.snippet_of("a", {"z": 1.0}, fallback=False) is None
 
 
-def test_redaction_and_paths(spark):
-    assert column(spark, ["v"], X.redact(F.col("t"), F.lit("secret"), "log")) == [None]
-    assert column(spark, ["v"], X.redact(F.col("t"), F.lit("secret"), "display"))[0].startswith("<MASKED:")
-    assert column(spark, ["/home/u/.ssh/id_rsa", "/src/a.py", "/x/.env"], X.path_class(F.col("t"))) == ["secret", None, "secret"]
+def test_low_signal_column_agrees(spark):
+    texts = ["OK", " done. ", "Thanks!", "thank you", "no way", "", None, "Understood."]
+    assert column(spark, texts, X.is_low_signal(F.col("t"))) == [True, True, False, True, False, False, None, True]
+
+
+def test_redaction(spark):
+    h = X.MASK_SEED
+    for b in "väl".encode():
+        h = (h ^ b) * X.FNV_PRIME % 2**64
+    shown = lambda kind, surface, **more: column(spark, ["väl", None, "x" * 70], X.redact(F.col("t"), F.lit(kind), surface, **more))
+    assert shown("credential", "evidence")[:2] == [f"<MASKED:{h & 0xFFFFFFFF:08x}>", None] and shown("user_path", "log")[0] == f"<HASH:{h:016x}>"
+    assert shown("query_text", "log") == ["väl", None, "x" * 64 + "..."] and shown("operational", "log")[0] == "väl"
+    # what has no rule is dropped
+    for kind, surface in (("credential", "log"), ("unheard_of", "log"), (None, "log"), ("operational", "elsewhere")):
+        assert shown(kind, surface) == [None] * 3
+    assert shown("credential", "log", rules={("credential", "log"): "passthrough"})[0] == "väl"
+    assert len(X.redaction_rules()) == 55
+
+
+def test_path_classes(spark):
+    paths = ["/home/u/.ssh/ID_RSA", "C:\\u\\.AWS\\credentials", "/x/.env", "/src/a.py", "a.py", "/x/session/.env", None]
+    assert column(spark, paths, X.path_classes(F.col("t"))) == [["private_key"], ["cloud_secret"], ["credential"], ["user_path"], [], ["credential", "session_artifact"], None]
+    assert column(spark, paths, X.is_hard_deny(F.col("t"))) == [True, False, True, False, False, True, None]
 
 
 def test_code_structure(spark):
