@@ -81,12 +81,10 @@ def latest_summaries(summaries: DataFrame) -> DataFrame:
 def slo_windows(events: DataFrame, failed: Column, size: int, p: float = 0.95) -> DataFrame:
     """(scope, project_key, window_start, total, failed, p95_us) per project and for the fleet (scope 'fleet', null project)."""
     rows = events.where("ts_ms IS NOT NULL").select("project_key", "latency_us", bucket_start(F.col("ts_ms"), size).alias("window_start"), failed.alias("_failed"))
-    rows.createOrReplaceTempView("_sightline_slo")
-    out = rows.sparkSession.sql(f"""
-        SELECT CASE WHEN grouping(project_key) = 1 THEN 'fleet' ELSE 'project' END AS scope, project_key, window_start,
-               count(*) AS total, count_if(_failed) AS failed, percentile_approx(latency_us, {p}, 10000) AS p95_us
-        FROM _sightline_slo GROUP BY GROUPING SETS ((project_key, window_start), (window_start))""")
-    return out
+    sets = rows.groupingSets([["project_key", "window_start"], ["window_start"]], "project_key", "window_start")
+    whole = F.when(F.grouping("project_key") == 1, "fleet").otherwise("project")
+    counted = sets.agg(whole.alias("scope"), F.count("*").alias("total"), F.count_if("_failed").alias("failed"), F.percentile_approx("latency_us", p, 10_000).alias("p95_us"))
+    return counted.select("scope", "project_key", "window_start", "total", "failed", "p95_us")
 
 
 def evaluate_slo(windows: DataFrame, window: str = "1h", objective: float = 0.995, latency_target_us: int = 150_000, least: int = 1) -> DataFrame:

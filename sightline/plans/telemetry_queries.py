@@ -14,11 +14,6 @@ def _events(spark, folder):
     return M.distinct_events(table(spark, folder, "search_events"))
 
 
-def _usable(spark, folder):
-    """Events with a measured latency."""
-    return _events(spark, folder).where("latency_us > 0")
-
-
 def _every(spark, folder):
     """All events; a latency that was not measured is null, which percentiles pass over."""
     return _events(spark, folder).withColumn("latency_us", F.expr("CASE WHEN latency_us > 0 THEN latency_us END"))
@@ -34,48 +29,95 @@ def _summaries(events):
 
 
 def tele_summaries(spark, folder):
-    """Statistics of every project, instance and window size, over events with a measured latency."""
-    return _summaries(_usable(spark, folder))
-
-
-def tele_summaries_all(spark, folder):
     """Statistics of every project, instance and window size, over all events."""
     return _summaries(_every(spark, folder))
 
 
-def tele_slo(spark, folder):
-    """Failures and health per project and fleet, by day, over events with a measured latency."""
-    w = M.slo_windows(_usable(spark, folder), _failed(), M.DAY)
-    e = M.evaluate_slo(w, "24h", objective=0.95, latency_target_us=10**9)
-    return e.select("scope", "project_key", "window_start", "total", "failed", F.round("error_rate", 9).alias("error_rate"), F.round("budget_consumed", 9).alias("budget_consumed"), "health")
+def tele_latest_summaries(spark, folder):
+    """The newest day and week of every project and instance."""
+    s = M.latest_summaries(M.search_summaries(_every(spark, folder), {"24h": M.DAY, "1w": 7 * M.DAY}))
+    return s.select("project_key", "instance_id", "window", "window_start", "events", "p95_us")
+
+
+def _slo(spark, folder):
+    return M.evaluate_slo(M.slo_windows(_every(spark, folder), _failed(), M.DAY), "24h", objective=0.95)
 
 
-def tele_slo_all(spark, folder):
+def tele_slo(spark, folder):
     """Failures, latency and health per project and fleet, by day, over all events."""
-    w = M.slo_windows(_every(spark, folder), _failed(), M.DAY)
-    e = M.evaluate_slo(w, "24h", objective=0.95)
     rounded = [F.round(c, 9).alias(c) for c in ("error_rate", "budget_consumed", "latency_ratio")]
-    return e.select("scope", "project_key", "window_start", "total", "failed", "p95_us", *rounded, "health", "reason")
+    return _slo(spark, folder).select("scope", "project_key", "window_start", "total", "failed", "p95_us", *rounded, "health", "reason")
 
 
 def tele_anomalies(spark, folder):
-    """Fleet and project days whose errors are twice those before, over events with a measured latency."""
-    w = M.slo_windows(_usable(spark, folder), _failed(), M.DAY)
-    a = M.anomalies(M.evaluate_slo(w, "24h"))
-    return a.where("metric = 'error_rate'").select("scope", "project_key", "window_start", F.round("observed", 9).alias("observed"), F.round("baseline", 9).alias("baseline"), "severity")
-
-
-def tele_anomalies_all(spark, folder):
     """Fleet and project days whose errors or latencies are twice those before, over all events."""
-    w = M.slo_windows(_every(spark, folder), _failed(), M.DAY)
-    a = M.anomalies(M.evaluate_slo(w, "24h"))
+    a = M.anomalies(M.evaluate_slo(M.slo_windows(_every(spark, folder), _failed(), M.DAY), "24h"))
     return a.select("scope", "project_key", "metric", "window_start", F.round("observed", 9).alias("observed"), F.round("baseline", 9).alias("baseline"), "severity")
 
 
+def tele_open_anomalies(spark, folder):
+    """Anomalies that opened and that were resolved, where those with a small deviation were open before and only great ones count now, worst first."""
+    slo = _slo(spark, folder)
+    before, now = M.anomalies(slo), M.anomalies(slo, factor=3.0)
+    both = M.anomalies(slo, before, 3.0)
+    worst = M.by_severity(now, 25).select("scope", "project_key", "metric", "window_start", F.lit(True).alias("listed"))
+    key = ["scope", "metric", "window_start"]
+    named = [both[k] == worst[k] for k in key] + [both["project_key"].eqNullSafe(worst["project_key"])]
+    return both.join(worst, named, "left").select(both["scope"], both["project_key"], both["metric"], both["window_start"], both["state"], F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 def tele_latest(spark, folder):
-    """Newest time and number of events of each instance."""
+    """Newest event of each instance."""
+    e = _events(spark, folder).where("ts_ms IS NOT NULL AND instance_id IS NOT NULL")
+    # of events at one time the greatest id counts
+    once = e.groupBy("instance_id", "ts_ms").agg(F.max("event_id").alias("event_id"))
+    return M.latest_per_instance(once).select("instance_id", "ts_ms", "event_id")
+
+
+def tele_trend(spark, folder):
+    """The last three memory samples of each instance in the last day of the feed."""
+    e = _events(spark, folder).where("memory_bytes IS NOT NULL AND ts_ms IS NOT NULL AND instance_id IS NOT NULL")
+    samples = e.groupBy("project_key", "instance_id", "ts_ms").agg(F.max("memory_bytes").alias("memory_bytes"))
+    now = samples.agg(F.max("ts_ms")).first()[0] or 0
+    return M.resource_trend(samples, now, M.DAY, 3)
+
+
+def _signals(spark, folder):
+    e = _events(spark, folder).where("ts_ms IS NOT NULL AND instance_id IS NOT NULL")
+    state = F.when(F.lower(F.trim("phase")) == "refinement_failed", "stopped").otherwise("healthy")
+    return e.groupBy("instance_id", "ts_ms").agg(F.max(state).alias("state"))
+
+
+def tele_lifecycle(spark, folder):
+    """State of each instance after its last signal, three days silent is stale."""
+    s = _signals(spark, folder)
+    return M.lifecycle(s, s.agg(F.max("ts_ms")).first()[0] or 0, 3 * M.DAY)
+
+
+def tele_fleet(spark, folder):
+    """Totals over all instances."""
+    n = _events(spark, folder).where("instance_id IS NOT NULL").groupBy("instance_id").agg(F.sum("result_count").alias("documents"), F.count_if(F.col("latency_us").isNull()).alias("pending_jobs"))
+    return M.fleet(tele_lifecycle(spark, folder).join(n, "instance_id"))
+
+
+def tele_attribution(spark, folder):
+    """Which rule names the project of each source of documents."""
+    hosts = table(spark, folder, "documents").where("source IS NOT NULL").select(F.col("source").alias("host")).distinct()
+    rules = spark.createDataFrame([("^workspace/", "work", 0.5), ("notes", "notes", 0.9), ("atlas", "atlas", 0.9), ("chat", "talk", 0.7)], "pattern string, project_key string, confidence double")
+    return M.attribute_projects(hosts, rules)
+
+
+def tele_admitted(spark, folder):
+    """Events of failed searches that are new beside those of reranked ones, each once."""
+    e = table(spark, folder, "search_events").where("event_id IS NOT NULL")
+    return M.admit_batch(e.where("result_count IS NOT NULL"), e.where(F.lower(F.trim("phase")) == "reranked"), 0, 10**9).select("event_id", "result_count")
+
+
+def tele_rolling(spark, folder):
+    """Events of each project in the week before the feed's end."""
     e = _events(spark, folder).where("ts_ms IS NOT NULL")
-    return e.groupBy("instance_id").agg(F.max("ts_ms").alias("last_ms"), F.count("*").alias("events"))
+    now = e.agg(F.max("ts_ms")).first()[0] or 0
+    return e.where(M.rolling(F.col("ts_ms"), now, 7 * M.DAY)).groupBy("project_key").agg(F.count("*").alias("events"))
 
 
 def tele_throughput(spark, folder):
@@ -146,15 +188,19 @@ def jobs_status(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    tele_summaries, tele_summaries_all, tele_slo, tele_slo_all, tele_anomalies, tele_anomalies_all, tele_latest, tele_throughput, tele_retention, tele_sessions, tele_instances,
-    jobs_ledger, jobs_changes, jobs_staleness, jobs_coverage, jobs_replay, jobs_status,
+    tele_summaries, tele_latest_summaries, tele_slo, tele_anomalies, tele_open_anomalies, tele_latest, tele_trend, tele_lifecycle, tele_fleet, tele_attribution, tele_admitted, tele_rolling,
+    tele_throughput, tele_retention, tele_sessions, tele_instances, jobs_ledger, jobs_changes, jobs_staleness, jobs_coverage, jobs_replay, jobs_status,
 )}
 
-_E = "e AS (SELECT DISTINCT * FROM search_events WHERE event_id IS NOT NULL), u AS (SELECT * FROM e WHERE latency_us > 0)"
+_E = "e AS (SELECT DISTINCT * FROM search_events WHERE event_id IS NOT NULL), u AS (SELECT * REPLACE (CASE WHEN latency_us > 0 THEN latency_us END AS latency_us) FROM e)"
 _WINDOWS = "(VALUES ('1m', 60000::BIGINT), ('15m', 900000), ('1h', 3600000), ('6h', 21600000), ('24h', 86400000), ('3d', 259200000), ('1w', 604800000)) w(name, ms)"
-_SLO = f"""{_E}, b AS (SELECT project_key, ts_ms - ts_ms % 86400000 AS window_start, coalesce(lower(trim(phase)) = 'refinement_failed', false) AS failed FROM u WHERE ts_ms IS NOT NULL),
-    s AS (SELECT 'project' AS scope, project_key, window_start, count(*) AS total, count_if(failed) AS failed FROM b GROUP BY ALL
-          UNION ALL SELECT 'fleet', NULL, window_start, count(*), count_if(failed) FROM b GROUP BY window_start)"""
+_SLO = f"""{_E}, b AS (SELECT project_key, latency_us, ts_ms - ts_ms % 86400000 AS window_start, coalesce(lower(trim(phase)) = 'refinement_failed', false) AS failed FROM u WHERE ts_ms IS NOT NULL),
+    s AS (SELECT 'project' AS scope, project_key, window_start, count(*) AS total, count_if(failed) AS failed, quantile_disc(latency_us, 0.95) AS p95_us FROM b GROUP BY ALL
+          UNION ALL SELECT 'fleet', NULL, window_start, count(*), count_if(failed), quantile_disc(latency_us, 0.95) FROM b GROUP BY window_start)"""
+_RATES = f"""{_SLO}, r AS (SELECT scope, project_key, window_start, 'error_rate' AS metric, failed / total AS rate FROM s UNION ALL SELECT scope, project_key, window_start, 'p95_latency', p95_us::DOUBLE FROM s),
+    m AS (SELECT *, avg(rate) OVER (PARTITION BY scope, project_key, metric ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM r)"""
+_LIFE = f"""{_E}, g AS (SELECT instance_id, ts_ms, max(CASE WHEN lower(trim(phase)) = 'refinement_failed' THEN 'stopped' ELSE 'healthy' END) AS state FROM e WHERE ts_ms IS NOT NULL AND instance_id IS NOT NULL GROUP BY ALL),
+    life AS (SELECT instance_id, max(ts_ms) AS last_ms, CASE WHEN arg_max(state, ts_ms) <> 'stopped' AND (SELECT max(ts_ms) FROM g) - max(ts_ms) > 3 * 86400000 THEN 'stale' ELSE arg_max(state, ts_ms) END AS state FROM g GROUP BY 1)"""
 _SNAP = """
     d AS (SELECT coalesce(source, 'none') || '/' || doc_id AS id, doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL),
     o AS (SELECT id, h, 1 AS t FROM d WHERE doc_id % 7 <> 0),
@@ -166,15 +212,41 @@ ORACLE = {
         WITH {_E} SELECT project_key, instance_id, name AS "window", ts_ms - ts_ms % ms AS window_start, count(*) AS events, quantile_disc(latency_us, 0.5) AS p50_us,
             quantile_disc(latency_us, 0.95) AS p95_us, quantile_disc(latency_us, 0.99) AS p99_us, round(avg(result_count), 6) AS avg_results
         FROM u, {_WINDOWS} WHERE ts_ms IS NOT NULL GROUP BY project_key, instance_id, name, ts_ms - ts_ms % ms""",
+    "tele_latest_summaries": f"""
+        WITH {_E}, w AS (SELECT project_key, instance_id, name AS "window", ts_ms - ts_ms % ms AS window_start, count(*) AS events, quantile_disc(latency_us, 0.95) AS p95_us
+            FROM u, (VALUES ('24h', 86400000::BIGINT), ('1w', 604800000)) v(name, ms) WHERE ts_ms IS NOT NULL GROUP BY project_key, instance_id, name, ts_ms - ts_ms % ms)
+        FROM w QUALIFY row_number() OVER (PARTITION BY project_key, instance_id, "window" ORDER BY window_start DESC) = 1""",
     "tele_slo": f"""
-        WITH {_SLO} SELECT scope, project_key, window_start, total, failed, round(failed / total, 9) AS error_rate, round(least(failed / total / (1 - 0.95::DOUBLE), 1), 9) AS budget_consumed,
-            CASE WHEN failed / total / (1 - 0.95::DOUBLE) >= 1 THEN 'critical' WHEN failed / total / (1 - 0.95::DOUBLE) >= 0.5 THEN 'warning' ELSE 'healthy' END AS health FROM s""",
+        WITH {_SLO}, c AS (SELECT *, failed / total / (1 - 0.95::DOUBLE) AS used, p95_us / 150000 AS ratio FROM s)
+        SELECT scope, project_key, window_start, total, failed, p95_us, round(failed / total, 9) AS error_rate, round(least(used, 1), 9) AS budget_consumed, round(ratio, 9) AS latency_ratio,
+            CASE WHEN used >= 1 OR ratio >= 2 THEN 'critical' WHEN used >= 0.5 OR ratio >= 1 THEN 'warning' ELSE 'healthy' END AS health,
+            CASE WHEN used >= 0.5 THEN 'error budget' WHEN ratio >= 1 THEN 'latency' ELSE 'within objectives' END AS reason FROM c""",
     "tele_anomalies": f"""
-        WITH {_SLO}, r AS (SELECT *, failed / total AS rate FROM s),
-        m AS (SELECT *, avg(rate) OVER (PARTITION BY scope, project_key ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM r)
-        SELECT scope, project_key, window_start, round(rate, 9) AS observed, round(base, 9) AS baseline, CASE WHEN rate / base >= 3 THEN 'critical' ELSE 'warning' END AS severity
+        WITH {_RATES} SELECT scope, project_key, metric, window_start, round(rate, 9) AS observed, round(base, 9) AS baseline, CASE WHEN rate / base >= 3 THEN 'critical' ELSE 'warning' END AS severity
         FROM m WHERE base > 0 AND rate >= 2 * base""",
-    "tele_latest": f"WITH {_E} SELECT instance_id, max(ts_ms) AS last_ms, count(*) AS events FROM e WHERE ts_ms IS NOT NULL GROUP BY 1",
+    "tele_open_anomalies": f"""
+        WITH {_RATES}, o AS (SELECT *, CASE WHEN rate >= 3 * base THEN 'open' ELSE 'resolved' END AS state, CASE WHEN rate / base >= 4.5 THEN 1 ELSE 2 END AS severity FROM m WHERE base > 0 AND rate >= 2 * base)
+        SELECT scope, project_key, metric, window_start, state, state = 'open' AND row_number() OVER (PARTITION BY state ORDER BY severity, window_start DESC, scope, project_key NULLS FIRST, metric) <= 25 AS listed FROM o""",
+    "tele_latest": f"WITH {_E} SELECT instance_id, ts_ms, event_id FROM (SELECT instance_id, ts_ms, max(event_id) AS event_id FROM e WHERE ts_ms IS NOT NULL AND instance_id IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY ts_ms DESC) = 1",
+    "tele_trend": f"""
+        WITH {_E}, s AS (SELECT project_key, instance_id, ts_ms, max(memory_bytes) AS memory_bytes FROM e WHERE memory_bytes IS NOT NULL AND ts_ms IS NOT NULL AND instance_id IS NOT NULL GROUP BY ALL)
+        FROM s WHERE ts_ms > (SELECT max(ts_ms) FROM s) - 86400000 QUALIFY row_number() OVER (PARTITION BY project_key, instance_id ORDER BY ts_ms DESC) <= 3""",
+    "tele_lifecycle": f"WITH {_LIFE} SELECT instance_id, state, last_ms FROM life",
+    "tele_fleet": f"""
+        WITH {_LIFE}, n AS (SELECT instance_id, sum(result_count) AS documents, count_if(latency_us IS NULL) AS pending_jobs FROM e WHERE instance_id IS NOT NULL GROUP BY 1)
+        SELECT count(*) AS instances, count_if(state = 'healthy') AS healthy, count_if(state = 'stale') AS stale, coalesce(sum(documents), 0)::BIGINT AS documents, coalesce(sum(pending_jobs), 0)::BIGINT AS pending_jobs FROM life JOIN n USING (instance_id)""",
+    "tele_attribution": """
+        WITH r AS (FROM (VALUES ('^workspace/', 'work', 0.5::DOUBLE), ('notes', 'notes', 0.9), ('atlas', 'atlas', 0.9), ('chat', 'talk', 0.7)) v(pattern, project_key, confidence)),
+        h AS (SELECT DISTINCT source AS host FROM documents WHERE source IS NOT NULL),
+        m AS (SELECT host, project_key, r.confidence, max(r.confidence) OVER (PARTITION BY host) AS best FROM h LEFT JOIN r ON regexp_matches(host, pattern))
+        SELECT host, min(project_key) AS project_key, coalesce(max(best), 0) AS confidence, count(DISTINCT project_key) > 1 AS collision FROM m WHERE confidence IS NOT DISTINCT FROM best GROUP BY 1""",
+    "tele_admitted": """
+        SELECT DISTINCT event_id, result_count FROM search_events WHERE event_id IS NOT NULL AND result_count IS NOT NULL AND event_id NOT IN (SELECT event_id FROM search_events WHERE lower(trim(phase)) = 'reranked' AND event_id IS NOT NULL)""",
+    "tele_rolling": f"WITH {_E} SELECT project_key, count(*) AS events FROM e WHERE ts_ms > (SELECT max(ts_ms) FROM e) - 604800000 GROUP BY 1",
+    "tele_instances": f"""
+        WITH g AS (SELECT DISTINCT instance_id AS i, project_key AS k FROM search_events WHERE instance_id IS NOT NULL AND project_key IS NOT NULL), l0 AS (SELECT DISTINCT i, i AS l FROM g),
+        {", ".join(f"l{n + 1} AS MATERIALIZED (SELECT g.i, min(p.l) AS l FROM g JOIN (SELECT k, min(l) AS l FROM g JOIN l{n} USING (i) GROUP BY 1) p USING (k) GROUP BY 1)" for n in range(12))}
+        SELECT i AS sighting, l AS instance FROM l12""",
     "tele_throughput": """
         SELECT user_id, CASE WHEN count(*) >= 2 AND max((epoch_us(ts) // 1000)) > min((epoch_us(ts) // 1000)) THEN round((arg_max(event_id, ts) - arg_min(event_id, ts)) / ((max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000))) / 1000), 9) END AS per_s FROM events GROUP BY 1""",
     "tele_retention": """

@@ -58,11 +58,11 @@ def nearest(values, p):
 def test_failures_count_without_a_latency(spark, tmp_path):
     rows = days_of_events(spark, tmp_path)
     rates = {k: sum("fail" in (r[3] or "").lower() for r in rs) / len(rs) for k, rs in cells(rows).items()}
-    got = {(r.scope, r.project_key, r.window_start): (r.total, r.error_rate) for r in Q.tele_slo_all(spark, str(tmp_path)).collect()}
+    got = {(r.scope, r.project_key, r.window_start): (r.total, r.error_rate) for r in Q.tele_slo(spark, str(tmp_path)).collect()}
     assert got == {k: (len(rs), pytest.approx(rates[k])) for k, rs in cells(rows).items()}
-    found = {(r.scope, r.project_key, r.window_start) for r in Q.tele_anomalies_all(spark, str(tmp_path)).where("observed > 0").collect()}
+    found = {(r.scope, r.project_key, r.window_start) for r in Q.tele_anomalies(spark, str(tmp_path)).where("observed > 0").collect()}
     assert ("project", "p", 3 * M.DAY) in found
-    for r in Q.tele_summaries_all(spark, str(tmp_path)).where("window = '24h'").collect():
+    for r in Q.tele_summaries(spark, str(tmp_path)).where("window = '24h'").collect():
         mine = cells(rows)["project", r.project_key, r.window_start]
         assert (r.events, r.avg_results) == (40, 19.5) and r.p95_us == nearest([x[4] for x in mine if (x[4] or 0) > 0], 0.95)
 
@@ -70,10 +70,10 @@ def test_failures_count_without_a_latency(spark, tmp_path):
 def test_latency_counts_in_health_and_anomalies(spark, tmp_path):
     by = cells(days_of_events(spark, tmp_path))
     p95 = {k: nearest([x[4] for x in rs if (x[4] or 0) > 0], 0.95) for k, rs in by.items()}
-    got = {(r.scope, r.project_key, r.window_start): r for r in Q.tele_slo_all(spark, str(tmp_path)).collect()}
+    got = {(r.scope, r.project_key, r.window_start): r for r in Q.tele_slo(spark, str(tmp_path)).collect()}
     assert {k: (r.p95_us, r.latency_ratio) for k, r in got.items()} == {k: (v, pytest.approx(v / 150_000)) for k, v in p95.items()}
     slow = got["project", "q", 3 * M.DAY]
     assert (slow.failed, slow.health) == (4, "critical") and slow.latency_ratio >= 2
-    found = {(r.scope, r.project_key, r.window_start): r.observed for r in Q.tele_anomalies_all(spark, str(tmp_path)).where("metric = 'p95_latency'").collect()}
+    found = {(r.scope, r.project_key, r.window_start): r.observed for r in Q.tele_anomalies(spark, str(tmp_path)).where("metric = 'p95_latency'").collect()}
     want = {k: v for k, v in p95.items() if (earlier := [p95[o] for o in p95 if o[:2] == k[:2] and o[2] < k[2]]) and v >= 2 * sum(earlier) / len(earlier)}
     assert found == want and ("project", "q", 3 * M.DAY) in want
