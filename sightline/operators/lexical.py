@@ -1,7 +1,8 @@
 """BM25 over postings tables.
 
-An index is three tables: postings (field, term, doc_id, tf, positions), field
-lengths (field, doc_id, length) and statistics (field, docs, total). Queries are a
+An index is postings (field, term, doc_id, tf, length, positions), the term dictionary
+(field, term, df), field lengths (field, doc_id, length) and statistics (field, docs, total). A posting
+has its document's length with it, so scoring needs one join. Queries are a
 table too, so one plan ranks any number of queries: query terms are joined to the
 postings, scores are summed per (query, document) with map-side combine, and the
 top k of each query is taken with a partial limit before its shuffle.
@@ -20,8 +21,6 @@ from sightline.operators.ranking import page
 
 K1, B = 1.2, 0.75
 FIELD_BOOSTS = {"content": 1.0, "title": 2.0}
-#: Rows of a query side up to which it is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def quantized_length(length: Column) -> Column:
@@ -55,16 +54,21 @@ class LexicalIndex:
     lengths: DataFrame
     statistics: DataFrame
     live: DataFrame | None = None
+    terms: DataFrame | None = None
 
     def write(self, path: str) -> None:
         """Postings sorted by term within files, so that a query's terms prune row groups."""
         self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{path}/postings")
+        written = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        # a task's terms are whole but at the ends of its range: counted once more after a small shuffle
+        written.groupBy("field", "term").agg(F.count("*").alias("df")).sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/terms")
         self.lengths.write.partitionBy("field").parquet(f"{path}/lengths")
         self.statistics.write.parquet(f"{path}/statistics")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "statistics")])
+        tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "statistics", "terms")}
+        return cls(**tables)
 
 
 def build_index(documents: DataFrame, doc_id: str = "doc_id", fields: Mapping[str, str] | None = None, positions: bool = True) -> LexicalIndex:
@@ -76,13 +80,15 @@ def build_index(documents: DataFrame, doc_id: str = "doc_id", fields: Mapping[st
         rows = rows.unionByName(p)
     lengths = rows.select("field", "doc_id", F.size("terms").cast("bigint").alias("length"))
     statistics = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.sum("length").alias("total"))
-    each = rows.select("field", "doc_id", F.posexplode("terms").alias("pos", "term")).where(F.octet_length("term") <= X.MAX_TERM_BYTES)
+    each = rows.select("field", "doc_id", F.size("terms").cast("bigint").alias("length"), F.posexplode("terms").alias("pos", "term")).where(F.octet_length("term") <= X.MAX_TERM_BYTES)
     more = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
-    return LexicalIndex(each.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), *more), lengths, statistics)
+    return LexicalIndex(each.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("length").alias("length"), *more), lengths, statistics)
 
 
 def document_frequencies(index: LexicalIndex) -> DataFrame:
-    """(field, term, df)."""
+    """(field, term, df), from the dictionary where there is one."""
+    if index.terms is not None:
+        return index.terms
     return index.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
@@ -99,14 +105,16 @@ def score_terms(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     Sums of doubles depend on the order of their parts, which shuffles don't keep;
     scores are rounded to 9 places so that equal documents tie on every run.
 
-    Postings are first cut down to the terms asked for; only those get frequencies
-    and lengths.
+    The terms asked for get their frequencies from the dictionary, and meet the postings in one
+    join. Without a dictionary postings are first cut down to those terms and counted.
     """
-    wanted = terms.select("field", "term").distinct()
-    hits = index.postings.select("field", "term", "doc_id", "tf").join(wanted, ["field", "term"], "left_semi")
-    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    hits = index.postings.select("field", "term", "doc_id", "tf", "length")
+    df = index.terms
+    if df is None:
+        hits = hits.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi")
+        df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, ["field", "term"]).join(F.broadcast(index.statistics), "field")  # statistics: a row a field
-    scored = hits.join(weighted, ["field", "term"]).join(index.lengths, ["field", "doc_id"])
+    scored = hits.join(weighted, ["field", "term"])
     if index.live is not None:
         scored = scored.join(index.live, "doc_id", "left_semi")
     one = term_score(F.col("tf"), F.col("df"), F.col("docs"), F.col("length"), F.col("total") / F.col("docs")) * F.col("boost")

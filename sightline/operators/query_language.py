@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import text as X
-from sightline.operators.lexical import LexicalIndex, expand_glob, length_norm, idf, K1
+from sightline.operators.lexical import LexicalIndex, document_frequencies, expand_glob, length_norm, idf, K1
 
 MAX_QUERY_CHARS = 10_000
 MAX_DEPTH = 64
@@ -466,15 +466,15 @@ class Compiler:
         return rows if self.index.live is None else rows.join(self.index.live, "doc_id", "left_semi")
 
     def _weighted(self, hits: DataFrame, weight: DataFrame, boost: float) -> DataFrame:
-        """Scores of ``hits`` (field, doc_id, tf), by ``weight`` (field, idf): one row a field."""
+        """Scores of ``hits`` (field, doc_id, tf, length), by ``weight`` (field, idf): one row a field."""
         stats = self.index.statistics.select("field", (F.col("total") / F.col("docs")).alias("_avg"))
-        rows = hits.join(F.broadcast(weight), "field").join(F.broadcast(stats), "field").join(self.index.lengths, ["field", "doc_id"])
+        rows = hits.join(F.broadcast(weight), "field").join(F.broadcast(stats), "field")  # a row a field
         score = F.col("idf") * (1 + K1) * (F.col("tf") / (F.col("tf") + length_norm(F.col("length"), F.col("_avg")))) * boost
         return rows.select("doc_id", score.alias("score"))
 
     def _idf(self, terms: list[str], name: str) -> DataFrame:
         """(field, idf): sum of the terms' idf in a field; a term that occurs nowhere counts as rarest."""
-        df = self.index.postings.where((F.col("field") == name) & F.col("term").isin(terms)).groupBy("field", "term").agg(F.count("*").alias("df"))
+        df = document_frequencies(self.index).where((F.col("field") == name) & F.col("term").isin(terms))
         stats = self.index.statistics.where(F.col("field") == name)
         each = stats.withColumn("term", F.explode(F.array(*[F.lit(t) for t in terms]))).join(df, ["field", "term"], "left")
         return each.groupBy("field").agg(F.sum(idf(F.coalesce("df", F.lit(0)), F.col("docs"))).alias("idf"))
@@ -482,7 +482,7 @@ class Compiler:
     def _term(self, q: Term) -> DataFrame:
         out = None
         for name, boost in q.fields:
-            hits = self.index.postings.where((F.col("field") == name) & (F.col("term") == q.term)).select("field", "doc_id", "tf")
+            hits = self.index.postings.where((F.col("field") == name) & (F.col("term") == q.term)).select("field", "doc_id", "tf", "length")
             part = self._weighted(hits, self._idf([q.term], name), boost)
             out = part if out is None else out.unionByName(part)
         return self._live(out.groupBy("doc_id").agg(F.sum("score").alias("score")))
@@ -494,14 +494,14 @@ class Compiler:
             rows = None
             for i, t in enumerate(q.terms):
                 match = F.col("term").startswith(t) if q.prefix and i == len(q.terms) - 1 else F.col("term") == t
-                one = posts.where(match).groupBy("field", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias(f"p{i}"))
+                one = posts.where(match).groupBy("field", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias(f"p{i}"), *([F.max("length").alias("length")] if i == 0 else []))
                 rows = one if rows is None else rows.join(one, ["field", "doc_id"])
             if q.slop == 0 or len(q.terms) == 1:
                 starts = F.filter("p0", lambda p: _all([F.array_contains(F.col(f"p{i}"), p + i) for i in range(1, len(q.terms))]))
                 tf = F.size(starts).cast("bigint")
             else:
                 tf = _sloppy(q.slop)(F.array(*[f"p{i}" for i in range(len(q.terms))]))
-            hits = rows.select("field", "doc_id", tf.alias("tf")).where("tf > 0")
+            hits = rows.select("field", "doc_id", tf.alias("tf"), "length").where("tf > 0")
             part = self._weighted(hits, self._idf(list(q.terms), name), boost)
             out = part if out is None else out.unionByName(part)
         return self._live(out.groupBy("doc_id").agg(F.sum("score").alias("score")))

@@ -1,24 +1,29 @@
 """Exact and two-pass vector search for a stated set of queries against all rows.
 
 The query vectors go to the workers in blocks of ``QUERY_BLOCK`` (a fixed bound);
-each Arrow batch of the corpus is scored by one matrix product and reduced to the
-top k of each query before anything is shuffled, so the shuffle holds at most
-``k`` rows a query and batch, however many rows the corpus has.
+each Arrow batch of the corpus is scored by one matrix product, and a task keeps the
+top k of each query over its batches, so the shuffle holds at most
+``k`` rows a query and task (and ties), however many rows the corpus has.
+
+``store`` writes each vector beside its int8 codes, its 4-bit codes and its first
+numbers as columns of their own, so a first pass reads a quarter, an eighth or a part of the bytes of an exact scan.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sightline.functions import vectors as V
 from sightline.operators.ranking import page
+from sightline.sources import files
 
 QUERY_BLOCK = 2_000
 #: How many times k a first pass keeps.
@@ -46,10 +51,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(values, np.float32).reshape(len(column), -1)
 
 
-def score_blocks(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str, value: str, query_id: str, query_value: str, score, keep_all_ties: bool = True) -> DataFrame:
-    """(query_id, doc_id, score): the top ``k`` of each query in each batch; ``score(rows, queries)`` gives the matrix."""
+def score_blocks(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str, value: str, query_id: str, query_value: str, score) -> DataFrame:
+    """(query_id, doc_id, score): the top ``k`` of each query in each task; ``score(rows, queries)`` gives the matrix."""
+    return _scan(corpus.select(F.col(doc_id).alias("doc_id"), F.col(value).alias("v")), queries, k, query_id, query_value, lambda batch, q: score(_matrix(batch.column(1)), q))
+
+
+def _scan(corpus: DataFrame, queries: DataFrame, k: int, query_id: str, query_value: str, score) -> DataFrame:
+    """``score_blocks`` over (doc_id, v, ...), where ``score(batch, queries)`` gives the matrix."""
     spark = corpus.sparkSession
-    named = corpus.select(F.col(doc_id).alias("doc_id"), F.col(value).alias("v")).where("doc_id IS NOT NULL AND v IS NOT NULL")
+    named = corpus.where("doc_id IS NOT NULL AND v IS NOT NULL")
     doc_kind = named.schema["doc_id"].dataType.simpleString()
     query_type = queries.select(query_id).schema[0].dataType
     query_kind, query_arrow = query_type.simpleString(), to_arrow_type(query_type)
@@ -59,19 +69,26 @@ def score_blocks(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str, val
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
+            docs, cols, scores, waiting = [], [], [], 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                s = score(_matrix(batch.column(1)), q)
+                s = np.asarray(score(batch, q))
                 s = np.where(np.isnan(s), -np.inf, s)
                 if len(s) > k:
-                    edge = -np.partition(-s, k - 1, axis=0)[k - 1]
-                    rows, cols = np.nonzero(s >= edge)  # ties at the edge stay in
+                    rows, mine = np.nonzero(s >= -np.partition(-s, k - 1, axis=0)[k - 1])  # ties at the edge stay in
                 else:
-                    rows, cols = np.nonzero(np.ones_like(s, bool))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, query_arrow).take(pa.array(cols)), batch.column(0).take(pa.array(rows)), pa.array(s[rows, cols].astype(np.float64))], ["query_id", "doc_id", "score"]
-                )
+                    rows, mine = np.nonzero(np.ones_like(s, bool))
+                docs.append(batch.column(0).take(pa.array(rows)))
+                cols.append(mine)
+                scores.append(s[rows, mine])
+                waiting += len(rows)
+                if waiting > 8 * k * len(ids) + 100_000:
+                    docs, cols, scores = ([x] for x in _edge(docs, cols, scores, k))
+                    waiting = len(cols[0])
+            if docs:
+                doc, col, s = _edge(docs, cols, scores, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, query_arrow).take(pa.array(col)), doc, pa.array(s.astype(np.float64))], ["query_id", "doc_id", "score"])
 
         part = named.mapInArrow(run, f"query_id {query_kind}, doc_id {doc_kind}, score double")
         out = part if out is None else out.unionByName(part)
@@ -80,6 +97,17 @@ def score_blocks(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str, val
     return out
 
 
+def _edge(docs: list[pa.Array], cols: list[np.ndarray], scores: list[np.ndarray], k: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The rows of each query that score at least its ``k``-th."""
+    doc, col, s = pa.concat_arrays(docs), np.concatenate(cols), np.concatenate(scores)
+    order = np.lexsort((-s, col))
+    begins = np.flatnonzero(np.r_[True, col[order][1:] != col[order][:-1]])
+    size = np.diff(np.r_[begins, len(order)])
+    least = np.repeat(s[order][begins + np.minimum(size, k) - 1], size)
+    keep = order[s[order] >= least]
+    return doc.take(pa.array(keep)), col[keep], s[keep]
+
+
 def dot_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return rows.astype(np.float64) @ queries.T.astype(np.float64)
 
@@ -113,29 +141,78 @@ def rescored(hits: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, doc
     return ranked_top_k(exact, k)
 
 
-def int8_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        scale = np.maximum(np.abs(x).max(1, keepdims=True), 1e-12) / 127
-        return np.rint(x / scale), scale
+# -- stored codes ----------------------------------------------------------------------------
 
-    a, sa = codes(rows.astype(np.float32))
-    b, sb = codes(queries.astype(np.float32))
-    return (a @ b.T) * sa * sb.T
 
+def scaled_codes(x: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes -levels..levels of each row, and the step of a row."""
+    step = np.maximum(np.abs(x).max(1, initial=0), np.float32(1e-12)) / levels
+    return np.rint(x / step[:, None]).astype(np.int8), step.astype(np.float32)
 
-def int4_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        scale = np.maximum(np.abs(x).max(1, keepdims=True), 1e-12) / 7
-        return np.rint(x / scale), scale
 
-    a, sa = codes(rows.astype(np.float32))
-    b, sb = codes(queries.astype(np.float32))
-    return (a @ b.T) * sa * sb.T
+def store(corpus: DataFrame, path: str, dims: int = MRL_DIMS, doc_id: str = "doc_id", value: str = "embedding") -> DataFrame:
+    """Writes (doc_id, v, int8, step8, int4, step4, head) and reads it back: the vector, its codes of one and of half a byte a number, its first ``dims`` numbers.
+
+    Rows without id or vector are left out. All vectors must have one length.
+    """
+    named = corpus.select(F.col(doc_id).alias("doc_id"), F.col(value).cast("array<float>").alias("v")).where("doc_id IS NOT NULL AND v IS NOT NULL")
+    kind = named.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1))
+            (c8, s8), (c4, s4) = scaled_codes(x, 127), scaled_codes(x, 7)
+            head = x[:, :dims]
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * head.shape[1])
+            columns = [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in c8], pa.binary()), pa.array(s8), pa.array(pack_rows(c4), pa.binary()), pa.array(s4), pa.ListArray.from_arrays(ends, pa.array(head.ravel(), pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "v", "int8", "step8", "int4", "step4", "head"])
+
+    named.mapInArrow(run, f"doc_id {kind}, v array<float>, int8 binary, step8 float, int4 binary, step4 float, head array<float>").write.parquet(path)
+    return corpus.sparkSession.read.parquet(path)
+
+
+def pack_rows(codes: np.ndarray) -> list[bytes]:
+    """``pack_nibbles`` of each row."""
+    u = (codes.astype(np.int8) & 0xF).astype(np.uint8)
+    u = np.pad(u, ((0, 0), (0, u.shape[1] % 2)))
+    return [r.tobytes() for r in u[:, ::2] | u[:, 1::2] << 4]
+
+
+def _coded(batch: pa.RecordBatch, q: np.ndarray, bits: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    if bits == 8:
+        codes = raw.view(np.int8)
+    else:
+        codes = np.stack([raw & 0xF, raw >> 4], 2).reshape(len(raw), -1)[:, : q.shape[1]].astype(np.int8)
+        codes[codes > 7] -= 16
+    asked, step = scaled_codes(q, 127 if bits == 8 else 7)
+    return (codes.astype(np.float32) @ asked.astype(np.float32).T) * batch.column(2).to_numpy()[:, None] * step
+
+
+def stored_top_k(stored: DataFrame, queries: DataFrame, k: int, form: str = "int8", multiplier: int | None = None, query_id: str = "query_id", query_value: str = "embedding") -> DataFrame:
+    """(query_id, doc_id, score, rank): a first pass over the ``form`` (int8, int4 or head) of a store keeps ``multiplier * k`` a query, whose vectors are then read and scored exactly."""
+    columns = {"int8": ["int8", "step8"], "int4": ["int4", "step4"], "head": ["head"]}[form]
+    keep = k * (multiplier or (MRL_RESCORE if form == "head" else TWO_PASS))
+    seen = stored.select("doc_id", F.col(columns[0]).alias("v"), *columns[1:])
+    if form == "head":
+        first = _scan(seen, queries, keep, query_id, query_value, lambda b, q: dot_scores(x := _matrix(b.column(1)), q[:, : x.shape[1]]))
+    else:
+        bits = int(form[3:])
+        first = _scan(seen, queries, keep, query_id, query_value, lambda b, q: _coded(b, q, bits))
+    return rescored(ranked_top_k(first, keep), stored, queries, k, "doc_id", "v", query_id, query_value)
 
 
 def two_pass_top_k(corpus: DataFrame, queries: DataFrame, k: int, bits: int = 8, multiplier: int = TWO_PASS, doc_id: str = "doc_id", value: str = "embedding", query_id: str = "query_id", query_value: str = "embedding") -> DataFrame:
-    """A quantized scan keeps ``multiplier * k`` a query, which are rescored exactly."""
-    first = score_blocks(corpus, queries, k * multiplier, doc_id, value, query_id, query_value, int8_scores if bits == 8 else int4_scores)
+    """A quantized scan keeps ``multiplier * k`` a query, which are rescored exactly. Without a store: codes are made as vectors are read."""
+    levels = 127 if bits == 8 else 7
+
+    def score(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        (a, sa), (b, sb) = scaled_codes(x, levels), scaled_codes(q, levels)
+        return (a.astype(np.float32) @ b.astype(np.float32).T) * sa[:, None] * sb
+
+    first = score_blocks(corpus, queries, k * multiplier, doc_id, value, query_id, query_value, score)
     return rescored(ranked_top_k(first, k * multiplier), corpus, queries, k, doc_id, value, query_id, query_value)
 
 
@@ -252,8 +329,32 @@ class CellIndex:
         filed.repartition("cell").write.partitionBy("cell").parquet(path)
         return cls(c, corpus.sparkSession.read.parquet(path), doc_id, value)
 
+    def save(self, path: str) -> None:
+        """Writes the centroids and what they were made for below ``path``, where ``rows`` were filed; written last, in one step."""
+        spark = self.rows.sparkSession
+        size = int(self.centroids.shape[1])
+        text = json.dumps({"dimensions": size, "cells": len(self.centroids), "doc_id": self.doc_id, "value": self.value, "centroids": self.centroids.tolist()})
+        if not files.write_new(spark, f"{path}/index.json", text):
+            raise RuntimeError(f"an index is there already: {path}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CellIndex:
+        """The index in ``path``; an error if it was not finished or its rows don't fit its header."""
+        if not files.exists(spark, f"{path}/index.json"):
+            raise ValueError(f"no finished index in {path}")
+        head = json.loads(files.read_text(spark, f"{path}/index.json"))
+        rows = spark.read.parquet(f"{path}/rows")
+        if missing := {head["doc_id"], head["value"], "cell"} - set(rows.columns):
+            raise ValueError(f"rows without {sorted(missing)}")
+        centroids = np.array(head["centroids"], np.float32)
+        if centroids.shape != (head["cells"], head["dimensions"]):
+            raise ValueError("centroids don't fit the header")
+        return cls(centroids, rows, head["doc_id"], head["value"])
+
     def search(self, queries: DataFrame, k: int, probes: int = 4, query_id: str = "query_id", query_value: str = "embedding") -> DataFrame:
-        """(query_id, doc_id, score, rank) over the ``probes`` nearest cells of each query."""
+        """(query_id, doc_id, score, rank) over the ``probes`` nearest cells of each query; vectors of another length are an error."""
+        if bad := queries.where(F.col(query_value).isNotNull() & (F.size(query_value) != self.centroids.shape[1])).limit(1).count():
+            raise ValueError(f"{bad} query vector has not {self.centroids.shape[1]} numbers")
         q = queries.select(F.col(query_id).alias("query_id"), F.col(query_value).alias("_q")).where("_q IS NOT NULL")
         q = q.withColumn("cell", F.explode(_nearest_cells(self.centroids, probes)(F.col("_q"))))
         rows = self.rows.select(F.col(self.doc_id).alias("doc_id"), F.col(self.value).alias("_v"), "cell")

@@ -11,6 +11,9 @@ from sightline.operators import evaluation as E
 from sightline.operators import fusion as U
 from sightline.operators import refine as R
 from sightline.operators import vector_search as S
+from sightline.plans.lexical_queries import CLASSES as _CLASSES
+from sightline.plans.lexical_queries import fnv_sql as _fnv
+from sightline.session import stored_once
 from sightline.sources.tables import table
 
 
@@ -35,6 +38,11 @@ def _shards(spark, folder):
     return rows.withColumn("rank", rank)
 
 
+def _stored(spark, folder):
+    """The store of the vectors, made once."""
+    return spark.read.parquet(stored_once(spark, "vectors", folder, lambda path: S.store(_vectors(spark, folder)[0], path, 32)))
+
+
 def vec_exact(spark, folder):
     """Top 10 of all vectors for every hundredth."""
     v, q = _vectors(spark, folder)
@@ -42,21 +50,18 @@ def vec_exact(spark, folder):
 
 
 def vec_truncated(spark, folder):
-    """Top 10 by a scan of 32 dimensions, rescored."""
-    v, q = _vectors(spark, folder)
-    return S.truncated_top_k(v, q, 10, 32).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """Top 10 by a scan of the stored first 32 dimensions, rescored."""
+    return S.stored_top_k(_stored(spark, folder), _vectors(spark, folder)[1], 10, "head").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def vec_int8(spark, folder):
-    """Top 10 by an int8 scan, rescored."""
-    v, q = _vectors(spark, folder)
-    return S.two_pass_top_k(v, q, 10, 8).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """Top 10 by a scan of stored int8 codes, rescored."""
+    return S.stored_top_k(_stored(spark, folder), _vectors(spark, folder)[1], 10, "int8").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def vec_int4(spark, folder):
-    """Top 10 by a 4-bit scan, rescored."""
-    v, q = _vectors(spark, folder)
-    return S.two_pass_top_k(v, q, 10, 4).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """Top 10 by a scan of stored 4-bit codes, rescored."""
+    return S.stored_top_k(_stored(spark, folder), _vectors(spark, folder)[1], 10, "int4").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def vec_filtered(spark, folder):
@@ -65,6 +70,24 @@ def vec_filtered(spark, folder):
     return S.exact_top_k(v.where("label = 3"), q, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def vec_live(spark, folder):
+    """Live vectors over a base, later versions of half the labels and deletions of one."""
+    v, _ = _vectors(spark, folder)
+    base = v.select("doc_id", "label", F.lit(1).alias("seq"))
+    later = v.where("label < 4").select("doc_id", (F.col("label") + 100).alias("label"), F.lit(2).alias("seq"))
+    gone = v.where("label = 2").select("doc_id", F.lit(3).alias("seq"))
+    return S.live_rows(base, later, gone).select("doc_id", "label")
+
+
+def vec_cells(spark, folder):
+    """Whether a search of three quarters of the cells finds nine of ten true neighbours of the query vectors, on average."""
+    v, q = _vectors(spark, folder)
+    at = stored_once(spark, "cells", folder, lambda path: S.CellIndex.build(v, f"{path}/rows", 12).save(path))
+    found = S.CellIndex.load(spark, at).search(q, 10, 9)
+    r = S.recall(found, S.exact_top_k(v, q, 10))
+    return r.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
 def vec_quantizer(spark, folder):
     """Range and step of each dimension."""
     v, _ = _vectors(spark, folder)
@@ -103,6 +126,33 @@ def fuse_pool_minmax(spark, folder):
     return f.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
+def fuse_hash_ties(spark, folder):
+    """Lists of equal scores fused by reciprocal rank, ties by the hash of the document."""
+    lists = _lists(spark, folder)
+    flat = {n: lists[n].withColumn("score", F.lit(1.0)).withColumn("rank", F.lit(0)) for n in ("semantic", "quality")}
+    return U.rrf(flat, limit=4, hash_ties=True).select("query_id", "doc_id", "rank")
+
+
+def fuse_labels(spark, folder):
+    """Where each fused hit came from, with priors of the explanations' order."""
+    lists = _lists(spark, folder)
+    f = U.rrf({"lexical": lists["lexical"], "semantic": lists["semantic"]})
+    priors = table(spark, folder, "hit_explanations").groupBy("doc_id").agg((F.max("rank_after") / 100).alias("boost"))
+    w = U.with_priors(f, priors, 0.08)
+    return w.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank", U.source_label(F.col("lexical_rank"), F.col("semantic_rank")).alias("label"))
+
+
+def fuse_coverage(spark, folder):
+    """How many of the expected shards answered."""
+    return U.federated_coverage(_shards(spark, folder), ["lexical", "semantic_fast", "reranked", "archive"], 3)
+
+
+def fuse_dense_weights(spark, folder):
+    """Weight of the dense list of each query, against the spread of lexical scores seen."""
+    cv = U.nqc(_lists(spark, folder)["lexical"]).withColumn("cv", F.round("cv", 9))
+    return U.dense_weights(cv, cv, "query_id", 0.5, 0.6, warm_up=20).select("query_id", F.round("weight", 9).alias("weight"))
+
+
 def fuse_blend(spark, folder):
     """Fast and quality tiers blended."""
     lists = _lists(spark, folder)
@@ -218,7 +268,69 @@ def refine_pagerank(spark, folder):
     l = table(spark, folder, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s"), "l_extendedprice")
     edges = l.select(F.col("p").alias("src"), F.col("s").alias("dst"), F.lit("ref").alias("edge_type"), F.lit(1.0).alias("weight")).union(l.select("s", "p", F.lit("ref"), F.lit(1.0)))
     seeds = l.where("l_extendedprice > 90000").groupBy(F.col("p").alias("doc_id")).agg(F.max("l_extendedprice").alias("score"))
-    return R.personalized_pagerank(edges, seeds)
+    rank = R.personalized_pagerank(edges, seeds, rounds=12, tolerance=0.0)
+    return rank.select("node", F.round("rank", 9).alias("rank"))
+
+
+def _pages(spark, folder):
+    h = table(spark, folder, "hit_explanations").where("query_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("query_id", "doc_id").agg(F.max(F.coalesce("final_score", F.lit(0.0))).alias("score"))
+    from pyspark.sql import Window
+
+    return h.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").cast("string"))) - 1)
+
+
+def refine_rerank(spark, folder):
+    """Hits ordered anew by the words they share with the title of the query's least document."""
+    hits = _pages(spark, folder)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "title")
+    queries = hits.groupBy("query_id").agg(F.min("doc_id").alias("doc_id")).join(docs, "doc_id").select("query_id", F.col("title").alias("query"))
+    r = R.rerank(hits, docs, queries, R.overlap_scorer)
+    return r.select("query_id", "doc_id", "rank", F.round("rerank_score", 9).alias("rerank_score"), "new_rank")
+
+
+def refine_priors(spark, folder):
+    """Hits after priors of age, place and project."""
+    d = table(spark, folder, "documents").select("doc_id", "source", F.unix_timestamp("created_at").alias("at"))
+    hits = _pages(spark, folder).join(d, "doc_id", "left")
+    m = [0.5 + 0.5 * R.recency(F.lit(1_780_000_000) - F.col("at"), 86_400.0 * 90), 1 + R.path_proximity(F.col("source"), F.lit("workspace/atlas-notes")), R.project_affinity(F.col("source"), F.lit("chat"))]
+    return R.apply_priors(hits, m, 8).select("query_id", "doc_id", F.round("score", 9).alias("score"))
+
+
+def refine_feedback(spark, folder):
+    """Hits after boosts by document."""
+    hits = _pages(spark, folder)
+    boosts = table(spark, folder, "documents").select("doc_id", (1 + F.length("doc_type") / 10).alias("boost")).where("boost IS NOT NULL")
+    return R.apply_feedback(hits, boosts).select("query_id", "doc_id", F.round("score", 9).alias("score"))
+
+
+def refine_mutual(spark, folder):
+    """Vector results smoothed over neighbours that have each other, ranked anew."""
+    v, q = _vectors(spark, folder)
+    hits = S.exact_top_k(v, q, 50)
+    edges = v.select(F.col("doc_id").alias("src"), F.explode(F.array(*[F.struct((F.col("doc_id") + d).alias("dst"), F.lit(i).alias("ord")) for i, d in enumerate((1, -1, 3))])).alias("e")).select("src", "e.dst", "e.ord", F.lit("similar").alias("edge_type"))
+    return R.smooth_ranked(hits, edges, alpha=0.3, nearest=3, mutual=True).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def refine_hub_penalty(spark, folder):
+    """Vector results less the hubness of each."""
+    v, q = _vectors(spark, folder)
+    return R.hubness_penalty(S.exact_top_k(v, q, 20), R.hubness(v, q, 3), 0.5).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def refine_structure(spark, folder):
+    """Boost of each document whose code names what its title says."""
+    from sightline.functions import text as X
+
+    d = table(spark, folder, "documents").select("doc_id", X.code_structure(F.col("text")).alias("s"), X.tokens(F.col("title")).alias("t"))
+    return d.select("doc_id", F.round(R.structure_boost(F.col("s"), F.col("t")), 6).alias("boost"))
+
+
+def refine_short_circuit(spark, folder):
+    """Queries whose vector search can be skipped."""
+    from sightline.operators.query_language import query_class_column
+
+    e = table(spark, folder, "eval_items").select("item_id", query_class_column(F.col("query")).alias("kind"), F.length("query").alias("n"))
+    return e.select("item_id", R.short_circuit(F.col("kind"), F.col("n"), F.lit(12)).alias("skip"))
 
 
 def refine_explanations(spark, folder):
@@ -251,10 +363,11 @@ def online_circuit_breaker(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    vec_exact, vec_truncated, vec_int8, vec_int4, vec_filtered, vec_quantizer, vec_scalar, vec_hash_embedding,
-    fuse_rrf, fuse_weighted_rrf, fuse_pool_minmax, fuse_blend, fuse_federated_rrf, fuse_comb_mnz, fuse_z_scores, fuse_commitment, fuse_rank_changes,
+    vec_exact, vec_truncated, vec_int8, vec_int4, vec_filtered, vec_live, vec_cells, vec_quantizer, vec_scalar, vec_hash_embedding,
+    fuse_rrf, fuse_weighted_rrf, fuse_pool_minmax, fuse_hash_ties, fuse_labels, fuse_coverage, fuse_dense_weights, fuse_blend, fuse_federated_rrf, fuse_comb_mnz, fuse_z_scores, fuse_commitment, fuse_rank_changes,
     eval_measures, eval_calibration, eval_outliers, eval_median_mad, eval_off_policy, eval_conformal,
     refine_mmr, refine_feedback_expansion, refine_smoothing, refine_hubness, refine_pagerank, refine_explanations,
+    refine_rerank, refine_priors, refine_feedback, refine_mutual, refine_hub_penalty, refine_structure, refine_short_circuit,
     online_blend, online_k, online_phase_gate, online_circuit_breaker,
 )}
 
@@ -272,6 +385,49 @@ _L = """
                  avg(score) OVER (PARTITION BY query_id, source) AS mean, stddev_pop(score) OVER (PARTITION BY query_id, source) AS dev FROM c)"""
 _EXACT = f"WITH {_V}, {_ALL} {_TOP.format('scored', 10)}"
 
+_SPACE = "'[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+'"
+_PAGE = """
+    g AS (SELECT query_id, doc_id, max(coalesce(final_score, 0)) AS score FROM hit_explanations WHERE query_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL),
+    page AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) - 1 AS rank FROM g)"""
+
+
+def _pagerank_sql(rounds: int) -> str:
+    step = """r{1} AS MATERIALIZED (SELECT node, sum(m) AS r FROM (
+        SELECT dst AS node, r * share * 0.85::DOUBLE AS m FROM r{0} JOIN e ON src = node
+        UNION ALL SELECT node, seed * (0.15::DOUBLE + 0.85::DOUBLE * coalesce((SELECT sum(r) FROM r{0} WHERE node NOT IN (SELECT src FROM e)), 0)) FROM seeds) GROUP BY 1)"""
+    return f"""
+        WITH l AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, l_extendedprice AS x FROM lineitem),
+        a AS (SELECT p AS src, s AS dst FROM l UNION ALL SELECT s, p FROM l), w AS (SELECT src, dst, count(*) AS n FROM a GROUP BY ALL),
+        e AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM w),
+        d AS (SELECT p AS node, max(x) AS s FROM l WHERE x > 90000 GROUP BY 1), seeds AS MATERIALIZED (SELECT node, s / sum(s) OVER () AS seed FROM d), r0 AS (SELECT node, seed AS r FROM seeds),
+        {", ".join(step.format(n, n + 1) for n in range(rounds))}
+        SELECT node, round(r, 9) AS rank FROM r{rounds} WHERE r > 0"""
+
+
+def _structure_sql() -> str:
+    from sightline.functions.text import STRUCTURE
+
+    parts = " UNION ALL ".join(f"SELECT doc_id, {R.STRUCTURE_WEIGHTS[k]} AS w, lower(unnest(regexp_extract_all(text, '{p.replace('(?md)', '(?m)')}', 1))) AS name FROM documents" for k, p in STRUCTURE.items())
+    return f"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(replace(lower(title), 'ς', 'σ'), '[\\p{{L}}\\p{{N}}]+') AS t, text FROM documents), n AS ({parts}),
+        b AS (SELECT n.doc_id, sum(CASE WHEN list_contains(t, name) THEN w WHEN len(list_filter(t, lambda x: length(x) >= 3 AND contains(name, x))) > 0 THEN 0.2 ELSE 0.0 END) AS b FROM n JOIN t USING (doc_id) GROUP BY 1)
+        SELECT doc_id, round(least(coalesce(b, 0), 1)::DOUBLE, 6) AS boost FROM t LEFT JOIN b USING (doc_id)"""
+
+
+def _breaker_sql() -> str:
+    """Steps through each user's events: bad and good in a row, since when it is open, and how many were skipped."""
+    state = "CASE WHEN r.state = 'open' AND x.ms - r.since >= 30000 THEN 'half_open' ELSE r.state END"
+    return f"""
+        WITH RECURSIVE s AS (SELECT user_id, event_type <> 'error' AS ok, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        r(user_id, n, state, bad, good, since, skipped) AS (
+            SELECT DISTINCT user_id, 0::BIGINT, 'closed', 0, 0, 0::BIGINT, 0 FROM s
+            UNION ALL SELECT user_id, n, CASE WHEN st = 'open' THEN 'open' WHEN st = 'closed' THEN CASE WHEN NOT ok AND bad + 1 >= 2 THEN 'open' ELSE 'closed' END ELSE CASE WHEN NOT ok THEN 'open' WHEN good + 1 >= 3 THEN 'closed' ELSE 'half_open' END END,
+                CASE WHEN st = 'open' THEN bad WHEN st = 'closed' AND NOT ok AND bad + 1 < 2 THEN bad + 1 ELSE 0 END, CASE WHEN st = 'open' THEN good WHEN st = 'half_open' AND ok AND good + 1 < 3 THEN good + 1 ELSE 0 END,
+                CASE WHEN st <> 'open' AND NOT ok AND (st = 'half_open' OR bad + 1 >= 2) THEN ms ELSE since END, skipped + (st = 'open')::INT
+            FROM (SELECT x.user_id, x.n, x.ok, x.ms, r.bad, r.good, r.since, r.skipped, {state} AS st FROM r JOIN s x ON x.user_id = r.user_id AND x.n = r.n + 1))
+        SELECT user_id, state, skipped FROM r JOIN (SELECT user_id, max(n) AS n FROM s GROUP BY 1) USING (user_id, n)"""
+
+
 ORACLE = {
     "vec_scalar": f"""
         WITH {_V}, n AS (SELECT doc_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v)
@@ -289,6 +445,45 @@ ORACLE = {
         SELECT query_id, round(sum(CASE WHEN d = 0 THEN x END) / sqrt(sum(x * x)), 5) AS first, 1.0::DOUBLE AS norm FROM m GROUP BY query_id""",
     "vec_exact": _EXACT,
     "vec_int8": _EXACT,
+    "vec_int4": _EXACT,
+    "vec_live": "SELECT vec_id AS doc_id, CASE WHEN label < 4 THEN label + 100 ELSE label END AS label FROM embeddings WHERE label <> 2",
+    "vec_cells": "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
+    "fuse_hash_ties": f"""
+        WITH {_L}, f AS (SELECT query_id, doc_id, count(*) AS n FROM l WHERE source IN ('semantic_fast', 'semantic_quality') GROUP BY ALL), h AS (SELECT *, {_fnv("hex(encode(doc_id))")} AS h FROM f)
+        SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, h, doc_id) - 1 AS rank FROM h QUALIFY rank < 4""",
+    "fuse_labels": f"""
+        WITH {_L}, p AS (SELECT doc_id::VARCHAR AS doc_id, least(greatest(max(rank_after) / 100, -0.08), 0.08) AS boost FROM hit_explanations GROUP BY 1),
+        f AS (SELECT query_id, doc_id, sum(1 / (61.0::DOUBLE + rank)) AS score, bool_or(source = 'lexical') AS a, bool_or(source = 'semantic_fast') AS b FROM l WHERE source IN ('lexical', 'semantic_fast') GROUP BY ALL),
+        s AS (SELECT query_id, doc_id, score + coalesce(boost, 0) AS score, CASE WHEN a AND b THEN 'hybrid' WHEN a THEN 'lexical' ELSE 'semantic_fast' END AS label FROM f LEFT JOIN p USING (doc_id))
+        SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank, label FROM s""",
+    "fuse_coverage": """
+        SELECT count(DISTINCT source) AS answered, 4 AS expected, count(DISTINCT source) >= 3 AS sufficient FROM score_components WHERE source IN ('lexical', 'semantic_fast', 'reranked', 'archive') AND NOT isnan(raw_score) AND NOT isinf(raw_score)""",
+    "fuse_dense_weights": f"""
+        WITH {_L}, n AS (SELECT query_id, round(CASE WHEN abs(avg(score)) > 1e-12 THEN stddev_pop(score) / avg(score) ELSE 0 END, 9) AS cv FROM l WHERE source = 'lexical' GROUP BY 1),
+        s AS (SELECT cv FROM n ORDER BY query_id DESC, cv DESC LIMIT 2048)
+        SELECT query_id, round(CASE WHEN (SELECT count(*) FROM s) < 20 THEN 1.0 ELSE least(greatest(1 - 0.5::DOUBLE * (SELECT count(*) FROM s WHERE s.cv <= n.cv) / (SELECT count(*) FROM s), 0.6), 1) END, 9) AS weight FROM n""",
+    "refine_rerank": f"""
+        WITH {_PAGE}, w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), {_SPACE}), lambda x: x <> '')) AS t, list_distinct(list_filter(string_split_regex(lower(coalesce(title, '')), {_SPACE}), lambda x: x <> '')) AS q FROM documents),
+        a AS (SELECT query_id, min(doc_id) AS first, count(*) AS n FROM page GROUP BY 1),
+        s AS (SELECT p.query_id, p.doc_id, p.rank, CASE WHEN p.rank < 100 AND a.n >= 5 THEN len(list_intersect(q.q, t.t)) / greatest(1, len(q.q)) END AS s FROM page p JOIN a USING (query_id) JOIN w q ON q.doc_id = a.first JOIN w t ON t.doc_id = p.doc_id)
+        SELECT query_id, doc_id, rank, round(s, 9) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s IS NULL, s DESC, rank) - 1 AS new_rank FROM s""",
+    "refine_priors": f"""
+        WITH {_PAGE}, x AS (SELECT p.*, source, floor(epoch(created_at))::BIGINT AS born FROM page p LEFT JOIN documents d USING (doc_id)),
+        m AS (SELECT *, coalesce(0.5 + 0.5 * exp(-ln(2) * greatest(1780000000 - born, 0) / (86400.0 * 90)), 1) * coalesce(1 + (CASE WHEN source = 'workspace/atlas-notes' THEN 2 WHEN split_part(source, '/', 1) = 'workspace' THEN 1 ELSE 0 END) / greatest(len(string_split(source, '/')), 2), 1)
+            * CASE WHEN source = 'chat' THEN 1.25 ELSE 1.0 END AS m FROM x)
+        SELECT query_id, doc_id, round(CASE WHEN rank < 8 THEN score * m ELSE score END, 9) AS score FROM m""",
+    "refine_feedback": f"WITH {_PAGE} SELECT query_id, doc_id, round(score * coalesce(1 + length(doc_type) / 10, 1), 9) AS score FROM page LEFT JOIN documents USING (doc_id)",
+    "refine_mutual": f"""
+        WITH {_V}, {_ALL}, h AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS n FROM scored) WHERE n <= 50),
+        m AS (SELECT a.query_id, a.doc_id, avg(b.score) AS mean FROM h a JOIN h b ON a.query_id = b.query_id AND b.doc_id - a.doc_id IN (1, -1) GROUP BY ALL)
+        SELECT h.query_id, h.doc_id, round(coalesce((1 - 0.3::DOUBLE) * score + 0.3::DOUBLE * mean, score), 6) AS score FROM h LEFT JOIN m ON m.query_id = h.query_id AND m.doc_id = h.doc_id""",
+    "refine_hub_penalty": f"""
+        WITH {_V}, {_ALL}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC) AS place FROM scored), r AS (SELECT doc_id, avg(score) AS r FROM n WHERE place <= 3 GROUP BY doc_id)
+        SELECT query_id, doc_id, round(score - 0.5 * r, 6) AS score FROM scored JOIN r USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) <= 20""",
+    "refine_pagerank": _pagerank_sql(12),
+    "refine_structure": _structure_sql(),
+    "refine_short_circuit": "SELECT item_id, kind IN ('identifier', 'short_keyword') AND length(query) >= 12 AS skip FROM (" + _CLASSES + ") JOIN eval_items USING (item_id)",
+    "online_circuit_breaker": _breaker_sql(),
     "vec_filtered": f"WITH {_V}, scored AS (SELECT query_id, doc_id, list_dot_product(v.e, q.e) AS score FROM v, q WHERE label = 3) {_TOP.format('scored', 10)}",
     "vec_truncated": f"""
         WITH {_V}, first AS (SELECT query_id, doc_id, list_dot_product(v.e[1:32], q.e[1:32]) AS score, list_dot_product(v.e, q.e) AS exact FROM v, q),

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,3 +81,18 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     at = shared_dir(df.sparkSession, purpose)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, purpose: str, of: str, write: Callable[[str], None]) -> str:
+    """Folder of what ``write`` made of the tables in ``of``, made at the first call of an application and again if it was deleted."""
+    from sightline.sources import files
+
+    key = spark.sparkContext.applicationId, purpose, of
+    if key not in _STORED or not files.exists(spark, _STORED[key]):
+        at = shared_dir(spark, purpose)
+        write(at)
+        _STORED[key] = at
+    return _STORED[key]

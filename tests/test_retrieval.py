@@ -304,3 +304,59 @@ def test_robust_statistics(spark):
     assert E.huber_mean(df, ["k"], "seq", "v").first().huber == pytest.approx(est)
     r = E.robust_metrics(df, "k", "v").first()
     assert (r.n, r.p50, r.least, r.most, r["distinct"]) == (5, 3, 1, 100, 5)
+
+
+def test_a_store_holds_codes_of_fewer_bytes_and_finds_the_same(spark):
+    from sightline.session import shared_dir
+    from sightline.sources import files
+
+    x = np.random.default_rng(3).normal(size=(800, 33)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None)], "doc_id bigint, embedding array<float>")
+    at = shared_dir(spark, "store")
+    stored = S.store(df, at, 16)
+    assert stored.count() == 800
+    row = stored.where("doc_id = 7").first()
+    assert np.abs(np.frombuffer(row.int8, np.int8) * row.step8 - x[7]).max() <= row.step8 / 2 + 1e-6
+    assert (S.unpack_nibbles(row.int4, 33) == np.rint(x[7] / row.step4)).all() and row.int4 == S.pack_nibbles(S.unpack_nibbles(row.int4, 33)) and len(row.int4) == 17
+    q = df.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.doc_id) for r in S.exact_top_k(df, q, 10).collect()}
+    found = {form: {(r.query_id, r.doc_id) for r in S.stored_top_k(stored, q, 10, form).collect()} for form in ("int8", "int4", "head")}
+    assert found["int8"] == exact and len(found["int4"] & exact) >= 48
+    assert found["head"] == {(r.query_id, r.doc_id) for r in S.truncated_top_k(df, q, 10, 16).collect()}
+    # a first pass reads its own column only
+    plan = S._scan(stored.select("doc_id", F.col("int8").alias("v"), "step8"), q, 5, "query_id", "embedding", lambda b, q: S._coded(b, q, 8))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,int8:binary,step8:float>" in plan
+    index = S.CellIndex.build(df, f"{at}-cells/rows", 6)
+    index.save(f"{at}-cells")
+    again = S.CellIndex.load(spark, f"{at}-cells")
+    assert {(r.query_id, r.doc_id) for r in again.search(q, 10, 6).collect()} == exact
+    with pytest.raises(ValueError):
+        again.search(q.withColumn("embedding", F.slice("embedding", 1, 5)), 10)
+    with pytest.raises(ValueError):
+        S.CellIndex.load(spark, at)
+    with pytest.raises(RuntimeError):
+        index.save(f"{at}-cells")
+
+
+def test_each_task_keeps_the_best_over_its_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame([(i, [float(i % 50), 1.0]) for i in range(200)], "doc_id bigint, embedding array<float>").coalesce(1)
+        q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query_id bigint, embedding array<float>")
+        rows = S.score_blocks(df, q, 3, "doc_id", "embedding", "query_id", "embedding", S.dot_scores).collect()
+        assert {(r.query_id, r.doc_id) for r in rows} == {(1, i) for i in (49, 99, 149, 199)} | {(2, i) for i in (0, 50, 100, 150)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_written_index_scores_as_the_one_in_memory(spark, data):
+    from sightline.operators import lexical as L
+    from sightline.session import shared_dir
+
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    e = spark.read.parquet(f"{data}/eval_items.parquet")
+    index = L.build_index(d, fields={"content": "text", "title": "title"})
+    at = shared_dir(spark, "index")
+    index.write(at)
+    a, b = (sorted(map(tuple, L.search_queries(i, e, 5, "item_id", "query", L.FIELD_BOOSTS).collect())) for i in (index, L.LexicalIndex.read(spark, at)))
+    assert a == b and a
