@@ -117,6 +117,10 @@ def comparison_report(a: dict[str, Sequence[float]], b: dict[str, Sequence[float
     return "\n".join(lines)
 
 
+#: Sizes of the quantile sketch and, as a power of two, of the distinct-count sketch.
+KLL_K, HLL_LG = 800, 14
+
+
 # -- spread and outliers ---------------------------------------------------------------------
 
 
@@ -159,6 +163,30 @@ def robust_metrics(rows: DataFrame, label: str, value: str) -> DataFrame:
     return first.join(off, label).select(label, "n", "least", "most", "distinct", "mad", *[F.col("p")[i].alias(c) for i, c in enumerate(names)])
 
 
+def metric_state(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by..., n, total, least, most, quantiles, distinct): states of a column that can be stored and merged.
+
+    ``quantiles`` is a KLL sketch, ``distinct`` a HyperLogLog sketch. Nulls and NaN don't count.
+    """
+    good = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("_v", F.col(value).cast("double"))
+    return good.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum("_v").alias("total"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.kll_sketch_agg_double("_v", F.lit(KLL_K)).alias("quantiles"), F.hll_sketch_agg(F.xxhash64("_v"), F.lit(HLL_LG)).alias("distinct")
+    )
+
+
+def merged_state(states: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The states over ``by``, from those of parts, days or finer groups."""
+    return states.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_double("quantiles", F.lit(KLL_K)).alias("quantiles"), F.hll_union_agg("distinct").alias("distinct")
+    )
+
+
+def state_metrics(states: DataFrame, by: Sequence[str], at: dict[str, float]) -> DataFrame:
+    """(by..., n, mean, least, most, distinct, one column for each of ``at``): what states say, within a rank error of about 0.4 %."""
+    picked = [F.kll_sketch_get_quantile_double("quantiles", F.lit(q)).alias(name) for name, q in at.items()]
+    return states.select(*by, "n", (F.col("total") / F.col("n")).alias("mean"), "least", "most", F.hll_sketch_estimate("distinct").alias("distinct"), *picked)
+
+
 def median_mad(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by..., median, mad_raw, mad): exact, in two passes."""
     good = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
@@ -217,6 +245,15 @@ def isotonic(score: Column, steps: Sequence[tuple[float, float]]) -> Column:
     return F.when(_finite(score), F.when(F.size(below) > 0, F.element_at(below, -1)["v"]).otherwise(F.lit(float(steps[0][1])))).otherwise(F.lit(0.0))
 
 
+def calibration_summary(rows: DataFrame, raw: str, calibrated: Column, label: str, bins: int = 10) -> DataFrame:
+    """Two rows (stage, ece, brier, n): of the raw score, held to [0, 1], and of the calibrated one."""
+    held = F.least(F.greatest(F.col(raw).cast("double"), F.lit(0.0)), F.lit(1.0))
+    staged = rows.select(F.col(label).cast("double").alias("y"), F.explode(F.array(F.struct(F.lit("before").alias("stage"), held.alias("p")), F.struct(F.lit("after").alias("stage"), calibrated.cast("double").alias("p")))).alias("s"))
+    good = staged.select("y", "s.stage", "s.p").where("p IS NOT NULL AND NOT isnan(p) AND y IS NOT NULL")
+    per = good.groupBy("stage", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("c"), F.avg("y").alias("a"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("b"))
+    return per.groupBy("stage").agg((F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n")).alias("ece"), (F.sum("b") / F.sum("n")).alias("brier"), F.sum("n").alias("n"))
+
+
 def expected_calibration_error(rows: DataFrame, predicted: str, label: str, bins: int = 10) -> DataFrame:
     """One row (ece): equal-width bins, weighted distance of confidence and accuracy."""
     b = F.least(F.floor(F.col(predicted) * bins), F.lit(bins - 1))
@@ -243,6 +280,19 @@ def conformal_required_k(ranks: DataFrame, alpha: float, by: Sequence[str] = ())
     return stepped.groupBy(*by).agg(F.min(F.when((F.col("_up") >= at) & (at <= F.col("_n")), F.col("rank"))).alias("required_k"), F.max("_n").cast("int").alias("n"))
 
 
+def conformal_interval(scores: DataFrame, alpha: float, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., low, high, n): the interval that holds the next score with probability 1 - alpha, half of alpha on either side.
+
+    Ends are order statistics: place floor((n + 1) alpha / 2) and ceil((n + 1) (1 - alpha / 2)) from 1; null where the sample is too small for that.
+    """
+    counts = scores.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    stepped = counts.withColumn("_up", F.sum("_c").over(w.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    first, last = F.floor((F.col("_n") + 1) * (alpha / 2) + 1e-9), F.ceil((F.col("_n") + 1) * (1 - alpha / 2) - 1e-9)
+    low, high = F.min(F.when((F.col("_up") >= first) & (first >= 1), F.col("_s"))), F.min(F.when((F.col("_up") >= last) & (last <= F.col("_n")), F.col("_s")))
+    return stepped.groupBy(*by).agg(low.alias("low"), high.alias("high"), F.max("_n").alias("n"))
+
+
 def conformal_p_value(ranks: DataFrame, rank: int) -> DataFrame:
     return ranks.agg(((F.count_if(F.col("rank") >= rank) + 1) / (F.count("*") + 1)).alias("p"))
 

@@ -84,14 +84,24 @@ def rrf(
     return page(fused, [by], [F.desc("score"), F.desc("in_both"), F.desc(_key(tie)), *last, F.col(doc)], limit, offset)
 
 
+def with_spread(rows: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
+    """``rows`` with _low, _high, _mean and _dev of ``value`` in their group, null keys a group too.
+
+    One aggregation that combines on the map side and one join with a row a group; adaptive execution splits the rows
+    of a hot group in that join, which it cannot do with a window over the group.
+    """
+    spread = rows.groupBy(*[F.col(b).alias(f"_by{n}") for n, b in enumerate(by)]).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_dev"))
+    same = [F.col(b).eqNullSafe(F.col(f"_by{n}")) for n, b in enumerate(by)]
+    return rows.join(spread, same).drop(*[f"_by{n}" for n in range(len(by))])
+
+
 def pool_minmax(lists: Mapping[str, DataFrame], limit: int | None = None, offset: int = 0, weights: Mapping[str, float] | None = None, by: str = "query_id", doc: str = "doc_id") -> DataFrame:
     """Weighted sum of scores brought to [0, 1] within each list's pool; missing and flat pools count 0."""
     union = None
     for name, hits in lists.items():
-        one = ranked(hits, by, doc)
-        w = Window.partitionBy(by)
         value = F.when(finite(F.col("score")), F.col("score").cast("double"))
-        low, high = F.min(value).over(w), F.max(value).over(w)
+        one = with_spread(ranked(hits, by, doc), [by], value)
+        low, high = F.col("_low"), F.col("_high")
         scaled = F.when(high - low > EPSILON, F.coalesce((value - low) / (high - low), F.lit(0.0))).otherwise(F.lit(0.0))
         part = one.select(by, doc, F.lit(name).alias("list"), F.col("score").cast("double").alias("raw"), (scaled * sane_weight((weights or {}).get(name, 1.0))).alias("part"))
         union = part if union is None else union.unionByName(part)
@@ -154,18 +164,19 @@ def federated_coverage(shards: DataFrame, expected: Sequence[str], least: int =
 
 def normalized(rows: DataFrame, by: Sequence[str], score: str = "score", method: str = "min_max") -> DataFrame:
     """Adds ``normalized``. min_max: flat pool 0.5, non-finite 0. z_score: clipped at 3 deviations and mapped to [0, 1], flat 0.5."""
-    w = Window.partitionBy(*by)
     value = F.when(finite(F.col(score)), F.col(score).cast("double"))
+    spread = ["_low", "_high", "_mean", "_dev"]
+    rows = with_spread(rows, by, value)
     if method == "min_max":
-        low, high = F.min(value).over(w), F.max(value).over(w)
+        low, high = F.col("_low"), F.col("_high")
         out = F.when(value.isNull(), F.lit(0.0)).when(high - low > EPSILON, (value - low) / (high - low)).otherwise(F.lit(0.5))
     elif method == "z_score":
-        mean, deviation = F.avg(value).over(w), F.stddev_pop(value).over(w)
+        mean, deviation = F.col("_mean"), F.col("_dev")
         z = F.least(F.greatest((value - mean) / deviation, F.lit(-3.0)), F.lit(3.0))
         out = F.when(value.isNull(), F.lit(0.0)).when(deviation > EPSILON, (z + 3) / 6).otherwise(F.lit(0.5))
     else:
         out = F.coalesce(value, F.lit(0.0))
-    return rows.withColumn("normalized", out)
+    return rows.withColumn("normalized", out).drop(*spread)
 
 
 def blend(fast: DataFrame, quality: DataFrame, alpha: float = 0.7, by: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -173,10 +184,9 @@ def blend(fast: DataFrame, quality: DataFrame, alpha: float = 0.7, by: str = "qu
     alpha = min(max(alpha if math.isfinite(alpha) else 0.7, 0.0), 1.0)
     union = None
     for name, hits in (("fast", fast), ("quality", quality)):
-        one = ranked(hits, by, doc)
-        w = Window.partitionBy(by)
         value = F.when(finite(F.col("score")), F.col("score").cast("double"))
-        low, high = F.min(value).over(w), F.max(value).over(w)
+        one = with_spread(ranked(hits, by, doc), [by], value)
+        low, high = F.col("_low"), F.col("_high")
         scaled = F.when(value.isNull(), F.lit(0.0)).when(high - low > EPSILON, (value - low) / (high - low)).otherwise(F.lit(1.0))
         part = one.select(by, doc, F.lit(name).alias("tier"), scaled.alias("s"))
         union = part if union is None else union.unionByName(part)

@@ -25,6 +25,24 @@ def page(rows: DataFrame, by: Sequence[str], order: Sequence[Column], limit: int
     return ranked.withColumn(name, F.col("_row") - 1).drop("_row")
 
 
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their place from 1 in their key's order, in ``name``.
+
+    Rows are sorted in ranges of key and order, which may part a key, and are written so; a
+    range's places are shifted by the key's rows in the ranges before. No task holds more than a range, however hot a key is.
+    Null keys are a key too.
+    """
+    from sightline.session import cut
+
+    ranged = cut(rows.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_size")).withColumn("_above", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    shifts = sizes.select(*[F.col(b).alias(f"_by{n}") for n, b in enumerate(by)], F.col("_range").alias("_of"), "_above")
+    same = [F.col("_range") == F.col("_of"), *[F.col(b).eqNullSafe(F.col(f"_by{n}")) for n, b in enumerate(by)]]
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    return placed.join(shifts, same).withColumn(name, F.col("_place") + F.col("_above")).drop("_range", "_of", "_place", "_above", *[f"_by{n}" for n in range(len(by))])
+
+
 def join_by_key(rows: DataFrame, info: DataFrame, keys: Sequence[str], count: str, how: str = "inner") -> DataFrame:
     """``rows`` with the one row of ``info`` for their key; ``info.count`` has the number of rows of the key.
 

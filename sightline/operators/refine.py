@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import vectors as V
-from sightline.operators.fusion import EPSILON, finite
+from sightline.operators.fusion import EPSILON, finite, with_spread
+from sightline.operators.ranking import numbered
 from sightline.session import cut
 
 RERANK_MOST, RERANK_LEAST = 100, 5
@@ -308,11 +309,10 @@ def apply_feedback(hits: DataFrame, boosts: DataFrame) -> DataFrame:
 
 def explain_hits(components: DataFrame, k: float = 60.0) -> DataFrame:
     """(query_id, doc_id, final_score, components): per source its raw score, share of the pool, weight and contribution by rank."""
-    w = Window.partitionBy("query_id", "source")
     value = F.when(finite(F.col("raw_score")), F.col("raw_score"))
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    share = F.when(high - low > EPSILON, F.coalesce((value - low) / (high - low), F.lit(0.0))).otherwise(F.lit(0.5))
-    place = F.row_number().over(w.orderBy(F.desc(F.coalesce(value, F.lit(float("-inf")))), F.col("doc_id").cast("string")))
-    rows = components.select("query_id", "doc_id", "source", "raw_score", "weight", share.alias("normalized_score"), (F.col("weight") / (k + place)).alias("rrf_contribution"))
+    share = F.when(F.col("_high") - F.col("_low") > EPSILON, F.coalesce((value - F.col("_low")) / (F.col("_high") - F.col("_low")), F.lit(0.0))).otherwise(F.lit(0.5))
+    spread = with_spread(components, ["query_id", "source"], value)
+    place = F.col("_place_of_hit")
+    rows = numbered(spread, ["query_id", "source"], [F.desc(F.coalesce(value, F.lit(float("-inf")))), F.col("doc_id").cast("string")], "_place_of_hit").select("query_id", "doc_id", "source", "raw_score", "weight", share.alias("normalized_score"), (F.col("weight") / (k + place)).alias("rrf_contribution"))
     parts = F.sort_array(F.collect_list(F.struct("source", "raw_score", "normalized_score", "weight", "rrf_contribution")))
     return rows.groupBy("query_id", "doc_id").agg(F.sum("rrf_contribution").alias("final_score"), parts.alias("components"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions import text as X
 from sightline.operators import lexical as L
 from sightline.operators import query_language as Q
+from sightline.operators.segments import SegmentedIndex
 from sightline.session import stored_once
 from sightline.sources.tables import table
 
@@ -225,10 +226,27 @@ def lex_conversations_filter(spark, folder):
     return d.where(Q.conversation_filter(["note", "issue", "commit"], (), 1_700_000_000, None, "en")).select("doc_id")
 
 
+def lex_segments(spark, folder):
+    """Top 3 documents of every evaluation query in an index that grew by three batches, two of which were merged, and had documents replaced."""
+    d = _documents(spark, folder)
+    kind = F.coalesce("doc_type", F.lit("none"))
+
+    def grow(path: str) -> None:
+        index = SegmentedIndex(spark, path, FIELDS)
+        index.add(d.where(kind == "note").withColumn("text", F.lit("an older text")))
+        index.add(d.where(kind <= "issue"))
+        index.add(d.where((kind > "issue") | (kind == "note")))
+        index.merge(index.manifest()["segments"])
+
+    index = SegmentedIndex(spark, stored_once(spark, "segments", folder, grow)).open()
+    hits = L.search_queries(index, table(spark, folder, "eval_items"), 3, "item_id", "query", L.FIELD_BOOSTS)
+    return hits.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     text_tokens, text_preview, text_edge_ngrams, text_canonical, text_chunks, text_fingerprints, text_hyphen_cjk, text_code_structure, text_redaction, query_classes,
     lex_document_frequencies, lex_bm25, lex_match_counts, lex_boolean, lex_phrase, lex_glob, lex_set, lex_exclusion, lex_filtered, lex_snippets,
-    lex_scores, lex_phrase_prefix, lex_boosted, lex_conversation, lex_prefix_terms, lex_all_but, lex_allowed, lex_deleted, lex_statistics, lex_conversations_filter,
+    lex_scores, lex_phrase_prefix, lex_boosted, lex_conversation, lex_prefix_terms, lex_all_but, lex_allowed, lex_deleted, lex_statistics, lex_conversations_filter, lex_segments,
 )}
 
 def fnv_sql(hexed: str, start: str = "14695981039346656037") -> str:
@@ -312,6 +330,9 @@ ORACLE = {
     "lex_bm25": f"""
         WITH {_ASKED}, {_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM scored)
         SELECT item_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank < 10""",
+    "lex_segments": f"""
+        WITH {_ASKED}, {_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM scored)
+        SELECT item_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank < 3""",
     "lex_allowed": f"""
         WITH {_ASKED}, {_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM scored)
         SELECT item_id, doc_id, rank FROM ranked WHERE rank < 10 AND doc_id IN (SELECT doc_id::VARCHAR FROM documents WHERE lang = 'en')""",

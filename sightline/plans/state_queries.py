@@ -222,6 +222,31 @@ def eval_calibrators(spark, folder):
     return e.select("event_id", F.round(E.temperature(F.col("score"), 7.0), 9).alias("temperature"), F.round(E.platt(F.col("score"), 0.3, -2.0), 9).alias("platt"), F.round(E.isotonic(F.col("score"), steps), 9).alias("isotonic"))
 
 
+def eval_calibration_summary(spark, folder):
+    """Calibration error and Brier score of the events' scores before and after Platt scaling."""
+    e = _steps(spark, folder).select((F.col("value") / 50).alias("raw"), (F.col("event_type") == "purchase").cast("double").alias("won"))
+    c = E.calibration_summary(e, "raw", E.platt(F.col("raw"), 0.5, -1.5), "won")
+    return c.select("stage", F.round("ece", 9).alias("ece"), F.round("brier", 9).alias("brier"), "n")
+
+
+def eval_interval(spark, folder):
+    """The interval that holds nine of ten of each user's next values."""
+    return E.conformal_interval(_steps(spark, folder), 0.1, "value", ["user_id"])
+
+
+def eval_states(spark, folder):
+    """Counts, means, ends, and whether quantiles and numbers of different values lie near the true ones, from the states of users merged to kinds of events."""
+    e = _steps(spark, folder)
+    parts = E.metric_state(e, ["event_type", "user_id"], "value")
+    m = E.state_metrics(E.merged_state(parts, ["event_type"]), ["event_type"], {"p50": 0.5, "p95": 0.95})
+    ranks = e.join(m, "event_type").groupBy("event_type").agg(
+        F.first("n").alias("n"), F.round(F.first("mean"), 6).alias("mean"), F.first("least").alias("least"), F.first("most").alias("most"),
+        (F.abs(F.avg((F.col("value") <= F.col("p50")).cast("double")) - 0.5) < 0.01).alias("p50_near"), (F.abs(F.avg((F.col("value") <= F.col("p95")).cast("double")) - 0.95) < 0.01).alias("p95_near"),
+        (F.abs(F.first("distinct") / F.count_distinct("value") - 1) < 0.05).alias("distinct_near"),
+    )
+    return ranks
+
+
 def eval_mondrian(spark, folder):
     """The rank that holds an answer nine times in ten, by phase, and the p-value of rank 3."""
     h = table(spark, folder, "hit_explanations").select("phase", F.col("rank_after").alias("rank")).where("phase IS NOT NULL")
@@ -261,7 +286,7 @@ QUERIES = {f.__name__: f for f in (
     jobs_claim, jobs_finish, jobs_recovery, jobs_enqueue, jobs_depth, jobs_upsert, jobs_audit, jobs_dedup, jobs_pending_embeddings, jobs_commits, jobs_changelog_batch, jobs_history, jobs_index_report, jobs_sniff, jobs_artifacts,
     jobs_discovered, jobs_shadow, jobs_conversation,
     online_pressure_state, online_degradation, online_guard, online_alpha, online_huber, online_feedback, online_typing, online_loss,
-    eval_calibrators, eval_mondrian, eval_budgets, eval_opportunities, eval_gate, eval_trimmed,
+    eval_calibrators, eval_calibration_summary, eval_interval, eval_states, eval_mondrian, eval_budgets, eval_opportunities, eval_gate, eval_trimmed,
 )}
 
 _JOBS = """
@@ -404,6 +429,15 @@ ORACLE = {
         lows AS (SELECT i.score, a.score AS first, min((b.w - a.w0) / (b.m - a.m0)) AS low FROM c i JOIN c a ON a.score <= i.score JOIN c b ON b.score >= i.score GROUP BY ALL),
         f AS (SELECT score, max(low) AS fitted FROM lows GROUP BY 1)
         SELECT event_id, round(1 / (1 + exp(-score / 7.0)), 9) AS temperature, round(1 / (1 + exp(-(0.3::DOUBLE * score - 2.0))), 9) AS platt, round(fitted, 9) AS isotonic FROM e JOIN f USING (score)""",
+    "eval_calibration_summary": """
+        WITH e AS (SELECT value / 50 AS raw, (event_type = 'purchase')::INT AS y FROM events), p AS (SELECT 'before' AS stage, least(greatest(raw, 0), 1) AS p, y FROM e UNION ALL SELECT 'after', 1 / (1 + exp(-(0.5::DOUBLE * raw - 1.5))), y FROM e),
+        b AS (SELECT stage, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS c, avg(y) AS a, sum((p - y) * (p - y)) AS b FROM p GROUP BY ALL)
+        SELECT stage, round(sum(n * abs(c - a)) / sum(n), 9) AS ece, round(sum(b) / sum(n), 9) AS brier, sum(n)::BIGINT AS n FROM b GROUP BY 1""",
+    "eval_interval": """
+        WITH l AS (SELECT user_id, list(value ORDER BY value) AS v, count(*) AS n FROM events GROUP BY 1)
+        SELECT user_id, CASE WHEN floor((n + 1) * 0.05::DOUBLE + 1e-9) >= 1 THEN v[floor((n + 1) * 0.05::DOUBLE + 1e-9)::INT] END AS low, CASE WHEN ceil((n + 1) * 0.95::DOUBLE - 1e-9) <= n THEN v[ceil((n + 1) * 0.95::DOUBLE - 1e-9)::INT] END AS high, n FROM l""",
+    "eval_states": """
+        SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, true AS p50_near, true AS p95_near, true AS distinct_near FROM events GROUP BY 1""",
     "eval_mondrian": """
         WITH h AS (SELECT phase, rank_after AS rank FROM hit_explanations WHERE phase IS NOT NULL AND rank_after IS NOT NULL),
         o AS (SELECT rank, row_number() OVER (ORDER BY rank) AS i, count(*) OVER () AS n FROM h), g AS (SELECT min(rank) FILTER (i >= ceil((n + 1) * 0.9::DOUBLE - 1e-9)) AS k FROM o),

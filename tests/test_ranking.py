@@ -18,3 +18,18 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
     plain = rows(ranking.join_by_key(df, info, ["k"], "n"))
     monkeypatch.setattr(ranking, "HOT_ROWS", 10)
     assert rows(ranking.join_by_key(df, info, ["k"], "n")) == plain and len(plain) == 51
+
+
+def test_places_are_right_when_ranges_part_a_key(spark):
+    from pyspark.sql import functions as F
+    from sightline.operators.ranking import numbered
+
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        data = [(k, (i * 37) % 101) for k, n in (("hot", 300), ("cold", 3), (None, 20)) for i in range(n)]
+        got = numbered(spark.createDataFrame(data, "k string, v int"), ["k"], [F.desc("v")]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for k in ("hot", "cold", None):
+        mine = sorted((r.place, r.v) for r in got if r.k == k)
+        assert [p for p, _ in mine] == list(range(1, len(mine) + 1)) and [v for _, v in mine] == sorted((v for x, v in data if x == k), reverse=True)
