@@ -22,10 +22,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.ranking import join_by_key
+from sightline.operators.ranking import join_by_key, numbered
 from sightline.session import cut
 
 #: Hits of a query that meet in one knock-out.
@@ -97,12 +97,8 @@ def ranking(hits: DataFrame, components: DataFrame, query: str = "query_id", doc
     equal scores; a range's ranks are shifted by the query's hits in the ranges before.
     So no task holds more than a range, whatever a query has.
     """
-    order = [F.col(query), F.desc("fused"), F.col(doc)]
-    ranged = cut(fused(hits, components, query, doc, **names).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy(query).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = ranged.groupBy(query, "_range").agg(F.count("*").alias("_size")).select(query, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_above"))
-    ranked = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(query, "_range").orderBy(*order[1:])))
-    return ranked.join(shifts, [query, "_range"]).select(query, doc, F.col("fused").alias("fused_score"), (F.col("_place") + F.col("_above")).alias("rank"))
+    ranked = numbered(fused(hits, components, query, doc, **names), [query], [F.desc("fused"), F.col(doc)], "rank")
+    return ranked.select(query, doc, F.col("fused").alias("fused_score"), "rank")
 
 
 #: Squashed values of a pair's scores: the higher, the lower, and either of two equal ones.
