@@ -27,6 +27,18 @@ def adaptive_blend(outcomes: DataFrame, kind: str = "query_class", won: str = "q
     return per.select(kind, F.least(F.greatest(alpha, F.lit(0.1)), F.lit(0.95)).alias("alpha"))
 
 
+def blend_state(outcomes: DataFrame, before: DataFrame | None = None, kind: str = "query_class", won: str = "quality_won") -> DataFrame:
+    """(kind, n, w): outcomes and wins of each class so far, to be stored; adds to the state ``before``, whatever the order of batches."""
+    new = outcomes.groupBy(kind).agg(F.count("*").alias("n"), F.count_if(F.col(won)).alias("w"))
+    return new if before is None else before.select(kind, "n", "w").unionByName(new).groupBy(kind).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+
+
+def blend_evidence(state: DataFrame, kind: str = "query_class", prior: tuple[float, float] = (7.0, 3.0), least: int = 50) -> DataFrame:
+    """(kind, n, w, a, b, mean, warm): the posterior a state stands for, and whether its class decides for itself yet."""
+    a, b = prior
+    return state.select(kind, "n", "w", (F.lit(a) + F.col("w")).alias("a"), (F.lit(b) + F.col("n") - F.col("w")).alias("b"), ((a + F.col("w")) / (a + b + F.col("n"))).alias("mean"), (F.col("n") >= least).alias("warm"))
+
+
 def adaptive_k(observations: DataFrame, value: str = "k", by: Sequence[str] = (), mean: float = 60.0, variance: float = 100.0, noise: float = 225.0) -> DataFrame:
     """(by..., k): mean of a normal posterior, held to [1, 200]."""
     agg = observations.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("s"))

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.ranking import page
+
 
 def _judged(run: DataFrame, relevant: DataFrame, k: int | None) -> DataFrame:
     """(query_id, rank, rel, relevant count) of each query with judgements; queries without hits keep one empty row."""
@@ -326,6 +328,34 @@ def off_policy(rows: DataFrame, by: Sequence[str] = (), clip: float = 10.0, doub
     return out.select(*by, "estimate", "ess", (F.col("estimate") - 1.96 * F.col("se")).alias("low"), (F.col("estimate") + 1.96 * F.col("se")).alias("high"), (F.col("ess") >= least_ess).alias("reliable"))
 
 
+# -- choosing parameters ------------------------------------------------------------------------------
+
+MOST_POINTS = 1_000
+
+
+def sweep(scores: DataFrame, relevant: DataFrame, grid: DataFrame, k: int = 10, folds: int = 5, seed: int = 42) -> DataFrame:
+    """(point, ndcg, held_out): how each point of a grid of weights does over all queries, and over the folds in which it was the best of the others.
+
+    ``scores`` (query_id, doc_id, list, score); ``grid`` (point, list, weight), at most ``MOST_POINTS`` points. A document's
+    score at a point is the weighted sum of its scores; ties fall to the least id. ``held_out`` is the mean over the queries
+    of the folds a point was chosen for on the remaining ones, null for points never chosen.
+    """
+    points = [r.point for r in grid.select("point").distinct().limit(MOST_POINTS + 1).collect()]
+    if len(points) > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} points")
+    # a row a point and list: bounded by the check above
+    at = scores.join(F.broadcast(grid), "list").groupBy("point", "query_id", F.col("doc_id").cast("string").alias("doc_id")).agg(F.round(F.sum(F.col("score") * F.col("weight")), 9).alias("score"))
+    run = page(at, ["point", "query_id"], [F.desc("score"), F.col("doc_id")], k)
+    named = run.select(F.struct("point", "query_id").alias("query_id"), "doc_id", "rank")
+    judged = relevant.select("query_id", "doc_id", F.explode(F.array(*[F.lit(p) for p in points])).alias("point")).select(F.struct("point", "query_id").alias("query_id"), "doc_id")
+    per = ndcg(named, judged, k).select("query_id.*", "ndcg").withColumn("fold", F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(folds)))
+    sums = per.groupBy("point", "fold").agg(F.sum("ndcg").alias("s"), F.count("*").alias("n"))
+    whole = Window.partitionBy("point")
+    rest = sums.withColumn("train", F.round((F.sum("s").over(whole) - F.col("s")) / F.nullif(F.sum("n").over(whole) - F.col("n"), F.lit(0)), 12))
+    best = rest.groupBy("fold").agg(F.max_by(F.struct("point", "s", "n"), F.struct("train", -F.col("point"))).alias("b")).groupBy(F.col("b.point").alias("point")).agg((F.sum("b.s") / F.sum("b.n")).alias("held_out"))
+    return sums.groupBy("point").agg((F.sum("s") / F.sum("n")).alias("ndcg")).join(best, "point", "left")
+
+
 # -- reports ----------------------------------------------------------------------------------------
 
 

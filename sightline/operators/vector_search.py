@@ -13,16 +13,17 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sightline.functions import vectors as V
 from sightline.operators.ranking import page
+from sightline.session import cut
 from sightline.sources import files
 
 QUERY_BLOCK = 2_000
@@ -235,6 +236,23 @@ def empty_reason(queries_ok: bool, k: int, rows: int, live: int, passing: int, s
     return next((r for r, bad in zip(EMPTY_REASONS, checks) if bad), None)
 
 
+# -- embedding what is new ------------------------------------------------------------------
+
+
+def embed_cached(documents: DataFrame, cache: DataFrame, embed: Callable[[Column], Column], embedder_id: str, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((doc_id, content_hash, vector) of all documents, new cache entries (embedder_id, content_hash, vector)).
+
+    Texts the cache (embedder_id, content_hash, vector) holds are not embedded again, and each new text is once, however
+    many documents share it. Documents without text have no vector.
+    """
+    keyed = documents.select(F.col(doc_id).alias("doc_id"), F.sha2(F.col(text), 256).alias("content_hash"), F.col(text).alias("_text"))
+    known = cache.where(F.col("embedder_id") == embedder_id).groupBy("content_hash").agg(F.min("vector").alias("vector"))
+    todo = keyed.where("_text IS NOT NULL").groupBy("content_hash").agg(F.first("_text").alias("_text")).join(known, "content_hash", "left_anti")
+    new = cut(todo.select(F.lit(embedder_id).alias("embedder_id"), "content_hash", embed(F.col("_text")).alias("vector")), "embedded")
+    rows = keyed.drop("_text").join(known.unionByName(new.drop("embedder_id")), "content_hash", "left")
+    return rows.select("doc_id", "content_hash", "vector"), new
+
+
 # -- the base with its increments --------------------------------------------------------
 
 

@@ -126,6 +126,41 @@ def fuse_pool_minmax(spark, folder):
     return f.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
+def vec_embed_cached(spark, folder):
+    """Documents with a vector and new cache entries, where the texts of notes were embedded before."""
+    d = table(spark, folder, "documents")
+    embed = lambda c: V.hash_embedding(c, 16)
+    none = spark.createDataFrame([], "embedder_id string, content_hash string, vector array<float>")
+    _, cache = S.embed_cached(d.where("doc_type = 'note'"), none, embed, "hash-16")
+    all_rows, new = S.embed_cached(d, cache, embed, "hash-16")
+    counted = [("documents", all_rows), ("embedded", all_rows.where("vector IS NOT NULL")), ("added", new), ("cached", cache)]
+    out = None
+    for name, rows in counted:
+        one = rows.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def online_blend_state(spark, folder):
+    """Evidence of each query class, added up from the states of every phase."""
+    s = table(spark, folder, "search_events").select(F.coalesce(F.lower(F.trim("query_class")), F.lit("none")).alias("query_class"), F.coalesce(F.lower(F.trim("phase")), F.lit("")).alias("phase"), F.lit(True).alias("one"))
+    s = s.withColumn("quality_won", F.col("phase") == "refined")
+    state = A.blend_state(s.where("phase = 'refined'"), A.blend_state(s.where("phase <> 'refined'")))
+    return A.blend_evidence(state).select("query_class", "n", "w", "a", "b", F.round("mean", 9).alias("mean"), "warm")
+
+
+def eval_sweep(spark, folder):
+    """How five weights of the lexical and the semantic list do, and whether what folds choose holds."""
+    lists = _lists(spark, folder)
+    scores = None
+    for name in ("lexical", "semantic"):
+        one = U.normalized(lists[name], ["query_id"]).select("query_id", "doc_id", F.lit(name).alias("list"), F.col("normalized").alias("score"))
+        scores = one if scores is None else scores.unionByName(one)
+    grid = spark.createDataFrame([(n, name, w) for n in range(5) for name, w in (("lexical", n / 4), ("semantic", 1 - n / 4))], "point int, list string, weight double")
+    r = E.sweep(scores, _run(spark, folder)[1].distinct(), grid)
+    return r.select("point", F.round("ndcg", 6).alias("ndcg"), F.coalesce(F.col("held_out").between(0, 1), F.lit(True)).alias("sound"))
+
+
 def fuse_hash_ties(spark, folder):
     """Lists of equal scores fused by reciprocal rank, ties by the hash of the document."""
     lists = _lists(spark, folder)
@@ -363,12 +398,12 @@ def online_circuit_breaker(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    vec_exact, vec_truncated, vec_int8, vec_int4, vec_filtered, vec_live, vec_cells, vec_quantizer, vec_scalar, vec_hash_embedding,
+    vec_exact, vec_truncated, vec_int8, vec_int4, vec_filtered, vec_live, vec_cells, vec_embed_cached, vec_quantizer, vec_scalar, vec_hash_embedding,
     fuse_rrf, fuse_weighted_rrf, fuse_pool_minmax, fuse_hash_ties, fuse_labels, fuse_coverage, fuse_dense_weights, fuse_blend, fuse_federated_rrf, fuse_comb_mnz, fuse_z_scores, fuse_commitment, fuse_rank_changes,
-    eval_measures, eval_calibration, eval_outliers, eval_median_mad, eval_off_policy, eval_conformal,
+    eval_measures, eval_calibration, eval_outliers, eval_median_mad, eval_off_policy, eval_conformal, eval_sweep,
     refine_mmr, refine_feedback_expansion, refine_smoothing, refine_hubness, refine_pagerank, refine_explanations,
     refine_rerank, refine_priors, refine_feedback, refine_mutual, refine_hub_penalty, refine_structure, refine_short_circuit,
-    online_blend, online_k, online_phase_gate, online_circuit_breaker,
+    online_blend, online_blend_state, online_k, online_phase_gate, online_circuit_breaker,
 )}
 
 _V = """
@@ -446,6 +481,21 @@ ORACLE = {
     "vec_exact": _EXACT,
     "vec_int8": _EXACT,
     "vec_int4": _EXACT,
+    "vec_embed_cached": """
+        WITH n AS (SELECT DISTINCT text FROM documents WHERE doc_type = 'note' AND text IS NOT NULL)
+        SELECT 'documents' AS what, count(*) AS n FROM documents UNION ALL SELECT 'embedded', count(text) FROM documents
+        UNION ALL SELECT 'added', count(DISTINCT text) - (SELECT count(*) FROM n) FROM documents UNION ALL SELECT 'cached', count(*) FROM n""",
+    "online_blend_state": """
+        SELECT coalesce(lower(trim(query_class)), 'none') AS query_class, count(*) AS n, count_if(lower(trim(phase)) = 'refined') AS w, 7.0::DOUBLE + count_if(lower(trim(phase)) = 'refined') AS a,
+            3.0::DOUBLE + count(*) - count_if(lower(trim(phase)) = 'refined') AS b, round((7.0::DOUBLE + count_if(lower(trim(phase)) = 'refined')) / (10.0::DOUBLE + count(*)), 9) AS mean, count(*) >= 50 AS warm FROM search_events GROUP BY 1""",
+    "eval_sweep": f"""
+        WITH {_L}, s AS (SELECT query_id, doc_id, source, CASE WHEN high - low > 1e-12 THEN (score - low) / (high - low) ELSE 0.5 END AS s FROM l WHERE source IN ('lexical', 'semantic_fast')),
+        f AS (SELECT p.point, query_id, doc_id, round(sum(s * CASE source WHEN 'lexical' THEN p.point / 4 ELSE 1 - p.point / 4 END), 9) AS f FROM s, range(5) p(point) GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY point, query_id ORDER BY f DESC, doc_id) - 1 AS rank FROM f),
+        rel AS (SELECT DISTINCT query_id, doc_id::VARCHAR AS doc_id FROM hit_explanations WHERE rank_after <= 3), n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
+        g AS (SELECT r.point, r.query_id, sum(1 / log2(rank + 2)) AS dcg FROM r JOIN rel USING (query_id, doc_id) WHERE rank < 10 GROUP BY ALL)
+        SELECT p.point::INT AS point, round(avg(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg, true AS sound
+        FROM n CROSS JOIN range(5) p(point) LEFT JOIN g ON g.query_id = n.query_id AND g.point = p.point GROUP BY 1""",
     "vec_live": "SELECT vec_id AS doc_id, CASE WHEN label < 4 THEN label + 100 ELSE label END AS label FROM embeddings WHERE label <> 2",
     "vec_cells": "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
     "fuse_hash_ties": f"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sightline.operators.changefeed import BucketedTable, catalog_changes
+from sightline.operators.segments import SegmentedIndex
 from sightline.sources import frames
 
 
@@ -51,6 +52,24 @@ def apply_changelog(feed: DataFrame, path: str, checkpoint: str, buckets: int =
     return _start(feed.writeStream.foreachBatch(run), checkpoint, available_now)
 
 
+def refresh_index(documents: DataFrame, path: str, checkpoint: str, fields: dict[str, str] | None = None, doc_id: str = "doc_id", fan_out: int = 8, available_now: bool = True) -> StreamingQuery:
+    """Keeps the segmented index in ``path`` current with a stream of new and changed documents, merging segments as they add up.
+
+    Of a batch's rows with one id any one counts. A batch that is repeated after a failure replaces its own documents, which changes no result.
+    """
+
+    def run(batch: DataFrame, _: int) -> None:
+        index = SegmentedIndex(batch.sparkSession, path, fields, doc_id)
+        rows = batch.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+        if rows.isEmpty():
+            return
+        index.add(rows)
+        if due := index.due(fan_out):
+            index.merge(due)
+
+    return _start(documents.writeStream.foreachBatch(run), checkpoint, available_now)
+
+
 def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """``step`` over every batch, with its number, which stays the same if the batch is repeated."""
     return _start(stream.writeStream.foreachBatch(step), checkpoint, available_now)

@@ -103,3 +103,17 @@ def test_streamed_folds_equal_the_batch_folds(spark):
     got = {r.k: r.ewma for r in spark.read.parquet(out).collect()}
     want = {r.k: r.ewma for r in A.ewma(spark.createDataFrame(data, schema), ["k"], "seq", "v").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_a_stream_of_documents_keeps_a_segmented_index_current(spark, tmp_path):
+    from sightline.operators import lexical as L
+    from sightline.operators.segments import SegmentedIndex
+
+    source, index = str(tmp_path / "in"), SegmentedIndex(spark, shared_dir(spark, "live"), {"content": "text"})
+    for n, rows in enumerate([[("a", "red"), ("b", "red")], [("a", "blue"), (None, "red")], [("c", "red")]]):
+        spark.createDataFrame(rows, "doc_id string, text string").coalesce(1).write.mode("append").parquet(source)
+        S.refresh_index(S.read_parquet_stream(spark, source), index.path, str(tmp_path / "checkpoint"), {"content": "text"}, fan_out=2).awaitTermination()
+        assert index.version() >= n + 1
+    q = spark.createDataFrame([(1, "red")], "item_id int, query string")
+    assert {r.doc_id for r in L.search_queries(index.open(), q, 9, "item_id", "query").collect()} == {"b", "c"}
+    assert len(index.manifest()["segments"]) < 3
