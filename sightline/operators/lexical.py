@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import text as X
 from sightline.operators.ranking import page
+from sightline.session import cut
 
 K1, B = 1.2, 0.75
 FIELD_BOOSTS = {"content": 1.0, "title": 2.0}
@@ -57,8 +58,8 @@ class LexicalIndex:
     terms: DataFrame | None = None
 
     def write(self, path: str) -> None:
-        """Postings sorted by term within files, so that a query's terms prune row groups."""
-        self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{path}/postings")
+        """Postings sorted by term within files, so that a query's terms prune row groups; a hot term is parted by document."""
+        self.postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{path}/postings")
         written = self.postings.sparkSession.read.parquet(f"{path}/postings")
         # a task's terms are whole but at the ends of its range: counted once more after a small shuffle
         written.groupBy("field", "term").agg(F.count("*").alias("df")).sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/terms")
@@ -71,13 +72,19 @@ class LexicalIndex:
         return cls(**tables)
 
 
-def build_index(documents: DataFrame, doc_id: str = "doc_id", fields: Mapping[str, str] | None = None, positions: bool = True) -> LexicalIndex:
-    """Index of the text columns ``fields`` ({field: column}); null texts are empty, null ids are left out."""
+def build_index(documents: DataFrame, doc_id: str = "doc_id", fields: Mapping[str, str] | None = None, positions: bool = True, once: bool = False) -> LexicalIndex:
+    """Index of the text columns ``fields`` ({field: column}); null texts are empty, null ids are left out.
+
+    ``once`` writes the words of the texts to the shared folder, for an index whose tables are all
+    needed, as ``write`` needs them: texts are then analyzed once.
+    """
     fields = fields or {"content": "text"}
     parts = [documents.where(F.col(doc_id).isNotNull()).select(F.lit(name).alias("field"), F.col(doc_id).cast("string").alias("doc_id"), X.tokens(F.coalesce(F.col(column), F.lit(""))).alias("terms")) for name, column in fields.items()]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    if once:
+        rows = cut(rows, "words")
     lengths = rows.select("field", "doc_id", F.size("terms").cast("bigint").alias("length"))
     statistics = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.sum("length").alias("total"))
     each = rows.select("field", "doc_id", F.size("terms").cast("bigint").alias("length"), F.posexplode("terms").alias("pos", "term")).where(F.octet_length("term") <= X.MAX_TERM_BYTES)

@@ -77,7 +77,7 @@ class SegmentedIndex:
         """
         base, state = self._state()
         number = state["next"]
-        segment = self._segment(build_index(documents, self.doc_id, self.fields), number)
+        segment = self._segment(build_index(documents, self.doc_id, self.fields, once=True), number)
         graves = [self._bury(documents.select(F.col(self.doc_id).cast("string").alias("doc_id")), number)] if state["segments"] else []
         return self._commit(base, {"segments": [*state["segments"], segment], "tombstones": [*state["tombstones"], *graves], "next": number + 1})
 

@@ -21,7 +21,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def _index(spark: SparkSession, folder: str) -> L.LexicalIndex:
     """The written index of the documents, made once and read by every query."""
-    at = stored_once(spark, "lexical", folder, lambda path: L.build_index(_documents(spark, folder), fields=FIELDS).write(path))
+    at = stored_once(spark, "lexical", folder, lambda path: L.build_index(_documents(spark, folder), fields=FIELDS, once=True).write(path))
     return L.LexicalIndex.read(spark, at)
 
 

@@ -68,12 +68,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return _MADE[-1]
 
 
-def clear_shared(spark: SparkSession) -> None:
-    """Deletes what this process wrote by ``shared_dir``; results that still read it must be written before."""
+def clear_shared(spark: SparkSession, stored: bool = False) -> None:
+    """Deletes what this process wrote by ``shared_dir``, and by ``stored_once`` if asked for; results that still read it must be written before."""
     from sightline.sources import files
 
     while _MADE:
         files.delete(spark, _MADE.pop())
+    while stored and _STORED:
+        files.delete(spark, _STORED.popitem()[1])
 
 
 def cut(df: DataFrame, purpose: str) -> DataFrame:
@@ -93,6 +95,7 @@ def stored_once(spark: SparkSession, purpose: str, of: str, write: Callable[[str
     key = spark.sparkContext.applicationId, purpose, of
     if key not in _STORED or not files.exists(spark, _STORED[key]):
         at = shared_dir(spark, purpose)
+        _MADE.remove(at)  # what is stored outlives the query that made it
         write(at)
         _STORED[key] = at
     return _STORED[key]
