@@ -10,9 +10,12 @@ top k of each query is taken with a partial limit before its shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,8 @@ class LexicalIndex:
 def build_index(documents: DataFrame, doc_id: str = "doc_id", fields: Mapping[str, str] | None = None, positions: bool = True, once: bool = False) -> LexicalIndex:
     """Index of the text columns ``fields`` ({field: column}); null texts are empty, null ids are left out.
 
+    A row is a document. Rows that repeat an id are documents that count under one: its scores add up (``index_report`` finds them).
+
     ``once`` writes the words of the texts to the shared folder, for an index whose tables are all
     needed, as ``write`` needs them: texts are then analyzed once.
     """
@@ -87,9 +92,35 @@ def build_index(documents: DataFrame, doc_id: str = "doc_id", fields: Mapping[st
         rows = cut(rows, "words")
     lengths = rows.select("field", "doc_id", F.size("terms").cast("bigint").alias("length"))
     statistics = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.sum("length").alias("total"))
-    each = rows.select("field", "doc_id", F.size("terms").cast("bigint").alias("length"), F.posexplode("terms").alias("pos", "term")).where(F.octet_length("term") <= X.MAX_TERM_BYTES)
-    more = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
-    return LexicalIndex(each.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("length").alias("length"), *more), lengths, statistics)
+    columns = "field string, term string, doc_id string, tf bigint, length bigint" + (", positions array<int>" if positions else "")
+    return LexicalIndex(rows.mapInArrow(_poster(positions), columns), lengths, statistics)
+
+
+def _poster(positions: bool):
+    """The postings of each row's words, without a shuffle: a document's words are together as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not size.sum():
+                continue
+            words = lists.flatten().dictionary_encode()
+            code, doc = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+            short = pc.less_equal(pc.binary_length(words.dictionary), X.MAX_TERM_BYTES).to_numpy(zero_copy_only=False)[code]
+            code, doc, place = code[short], doc[short], place[short]
+            order = np.lexsort((code, doc))  # stable: places of a word stay in order
+            code, doc, place = code[order], doc[order], place[order]
+            starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])][: len(code)])
+            tf = np.diff(np.r_[starts, len(code)])
+            of = pa.array(doc[starts])
+            out = [batch.column("field").take(of), words.dictionary.take(pa.array(code[starts])), batch.column("doc_id").take(of), pa.array(tf), pa.array(size[doc[starts]])]
+            if positions:
+                out.append(pa.ListArray.from_arrays(pa.array(np.r_[starts, len(code)].astype(np.int32)), pa.array(place.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(out, ["field", "term", "doc_id", "tf", "length", "positions"][: len(out)])
+
+    return run
 
 
 def document_frequencies(index: LexicalIndex) -> DataFrame:
